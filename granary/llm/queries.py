@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, substring_dedup
+from . import decontaminate, jaccard_join, substring_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op1_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op3_substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -21,11 +25,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_substring_dedup, op6_decontaminate)}
+    return {f.__name__: f for f in (op1_jaccard_join, op3_substring_dedup, op6_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_jaccard_join": jaccard_join.ORACLE,
         "op3_substring_dedup": substring_dedup.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
     }
