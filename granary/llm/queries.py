@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, quality, substring_dedup, toxicity
+from . import bpe, decontaminate, jaccard_join, line_dedup, quality, sharding, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,32 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op6_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op7_line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op8_sharding(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+OPERATORS: tuple[Query, ...] = (
+    op1_jaccard_join,
+    op3_substring_dedup,
+    op4_bpe,
+    op5_toxicity,
+    op6_decontaminate,
+    op7_line_dedup,
+    op8_sharding,
+    op9_quality,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jaccard_join, op3_substring_dedup, op4_bpe, op5_toxicity, op6_decontaminate, op9_quality)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -45,4 +65,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_jaccard_join": jaccard_join.ORACLE,
         "op3_substring_dedup": substring_dedup.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
+        "op7_line_dedup": line_dedup.ORACLE,
+        "op8_sharding": sharding.oracle(),
     }
