@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, quality, sharding, substring_dedup, toxicity
+from . import bpe, decontaminate, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.op1_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op2_packing(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op3_substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS: tuple[Query, ...] = (
     op1_jaccard_join,
+    op2_packing,
     op3_substring_dedup,
     op4_bpe,
     op5_toxicity,
