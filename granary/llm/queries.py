@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, toxicity
+from . import bpe, decontaminate, jaccard_join, line_dedup, near_vectors, packing, quality, sharding, substring_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.op10_near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 OPERATORS: tuple[Query, ...] = (
     op1_jaccard_join,
     op2_packing,
@@ -58,6 +62,7 @@ OPERATORS: tuple[Query, ...] = (
     op7_line_dedup,
     op8_sharding,
     op9_quality,
+    op10_near_vectors,
 )
 
 
@@ -71,5 +76,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": substring_dedup.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
+        "op10_near_vectors": near_vectors.ORACLE,
         "op8_sharding": sharding.oracle(),
     }
