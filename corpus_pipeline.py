@@ -1,8 +1,69 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: what a corpus goes through on its way to training.
+
+Each stage works on all that the stage before kept, and its output is written as Parquet and
+read again.  ORACLE_SQL is None: SQL can't express the classifier nor the encoder; the tests
+hold the stages against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.llm.bpe import op4_bpe
+from granary.llm.common import cut, small, table
+from granary.llm.decontaminate import ADDED, decontaminate
+from granary.llm.jaccard_join import JaccardJoin
+from granary.llm.line_dedup import deduplicate_lines
+from granary.llm.quality import THRESHOLD, fit_quality, score_quality
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, accepts."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).filter(F.col("score") >= THRESHOLD).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the line runs that occur earlier."""
+    cleaned = deduplicate_lines(docs)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the least id."""
+    groups = JaccardJoin(docs).components()
+    gone = cut(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    return docs.join(small(gone, gone.count() * 16), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("items") == 0).drop(*ADDED).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of the token ids of each document, and digest of what they decode to."""
+    return op4_bpe(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_of_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("bpe", encode),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .common import cut
@@ -31,7 +32,8 @@ LANE = 256
 SHARD_BYTES = 16 << 20
 _TABLE_BITS = 18
 
-SCHEMA = "doc_id long, n_words long, hit_start array<int>, hit_end array<int>, items array<string>"
+ADDED = ["n_words", "hit_start", "hit_end", "items"]
+_KINDS = "n_words long, hit_start array<int>, hit_end array<int>, items array<string>"
 
 
 class SearchGroup:
@@ -132,6 +134,7 @@ def _scan(groups_of, again: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = groups_of.value
         for batch in batches:
+            own = [c for c in batch.schema.names if c not in ADDED]
             text = batch.column("text")
             before = batch.select(["hit_start", "hit_end", "items"]).to_pylist() if again else None
             n_words, starts, ends, items = [], [], [], []
@@ -157,14 +160,12 @@ def _scan(groups_of, again: bool):
                     items.append(sorted(which))
                 n_words.extend(b.words.tolist())
             columns = [
-                batch.column("doc_id"),
                 pa.array(n_words, pa.int64()),
                 pa.array(starts, pa.list_(pa.int32())),
                 pa.array(ends, pa.list_(pa.int32())),
                 pa.array(items, pa.list_(pa.string())),
             ]
-            names = ["doc_id", "n_words", "hit_start", "hit_end", "items"]
-            yield pa.RecordBatch.from_arrays([*columns, text], names=[*names, "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *columns], names=[*own, *ADDED])
 
     return scan
 
@@ -174,15 +175,16 @@ def decontaminate(
 ) -> DataFrame:
     """Occurrences of benchmark windows in documents.
 
-    ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` needs ``item_id`` and ``text``; other
-    columns are ignored.  One row per input row: ``doc_id``, ``text``, ``n_words``, the disjoint
-    word spans ``hit_start[i]:hit_end[i]`` that occurrences cover, and ``items``, the sorted ids
+    ``docs`` needs ``text`` and keeps all its columns but those named like an added one;
+    ``benchmark`` needs ``item_id`` and ``text``.  One row per input row; added are ``n_words``, the
+    disjoint word spans ``hit_start[i]:hit_end[i]`` that occurrences cover, and ``items``, the sorted ids
     (as text) of the items that occur.  Null and empty texts have no words and no hits; items
     without words, or with a null id, match nothing; items that repeat count once; an empty
     benchmark hits nothing.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.drop(*ADDED)
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_KINDS).fields])
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).filter(
         "item_id is not null and text is not null"
     )
@@ -193,14 +195,14 @@ def decontaminate(
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == i)
         rows = [(r.item_id, r.text) for r in part.toLocalIterator()]
         shared = spark.sparkContext.broadcast(build_groups(rows, window))
-        out = out.mapInArrow(_scan(shared, i > 0), SCHEMA + ", text string")
+        out = out.mapInArrow(_scan(shared, i > 0), schema)
         if shards > 1:
             out = cut(out, "scan")
     return out
 
 
 def op6_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = decontaminate(docs, benchmark)
+    found = decontaminate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
     n_hit = F.aggregate(
         F.zip_with("hit_start", "hit_end", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y
     )
