@@ -1 +1 @@
-"""Spark-first analytics engine."""
+"""Scalar functions on bytes, names and numbers, as column expressions."""

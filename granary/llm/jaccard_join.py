@@ -38,7 +38,7 @@ SHINGLE, NUM, DEN = 5, 75, 100
 #: Frequent shingles only make a subset dearer; results don't depend on them.
 OFTEN, CHUNK, OFTEN_KEPT = 8, 1 << 20, 1 << 16
 SIGNATURES = 1 << 20
-SIGNATURES_PER_PART = 1 << 20
+SIGNATURES_PER_PART = 1 << 21
 LEADERS = 16
 #: How a signature takes part: indexed and probed, indexed only, one-deletion indexed,
 #: one-deletion probed, indexed and probed up to one deletion.
@@ -423,7 +423,9 @@ class JaccardJoin:
         n = pairs.count()
         num, den = self.bands.num, self.bands.den
         with_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(small(pairs, 24 * n), "b")
-        both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        leaders = small(pairs.select(F.col("a").alias("id")).distinct(), 16 * n)
+        with_a = sets.join(leaders, "id", "left_semi").select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+        both = with_b.join(with_a, "a")
         shared = F.size(F.array_intersect("sa", "sb"))
         similar = den * shared >= num * (F.size("sa") + F.size("sb") - shared)
         quick = F.least(F.size("sa"), F.size("sb")) * den >= num * F.greatest(F.size("sa"), F.size("sb"))
@@ -445,18 +447,21 @@ class JaccardJoin:
             more = self._signed(often, seed)
             again = cut(again.intersect(more.filter("b is null and members is null").select("a")), "again")
             found = found.unionByName(more)
-        stars = self._rep(found.filter("b is not null").select("a", "b"), "a", "b").filter("a <> b")
+        stars = cut(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+        stars = self._rep(stars, "a", "b").filter("a <> b")
         stars = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
         ids = stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct()
         wanted = cut(self.classes.join(ids, "rep").select(F.col("rep").alias("id"), "v1", "v2"), "ids")
         n = wanted.count() * 32
         texts = self.docs.join(small(wanted.select(F.col("id").alias("doc_id")).distinct(), n), "doc_id", "left_semi")
         sets = texts.mapInArrow(_sets(self.shingle), "id long, v1 long, v2 long, shingles array<long>")
-        sets = cut(sets.join(small(wanted, n), ["id", "v1", "v2"], "left_semi").dropDuplicates(["id", "v1"]), "sets")
+        sets = sets.join(small(wanted, n), ["id", "v1", "v2"], "left_semi")
+        named, several = self._twice_named()
+        sets = cut(sets.dropDuplicates(["id", "v1"]) if several else sets, "sets")
 
-        first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        first = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
         links = self._verified(first, sets)
-        links = links.unionByName(self._twice_named())
+        links = links.unionByName(named)
         labels = cut(connected_components(links), "labels")
         rest = stars.join(first.withColumn("done", F.lit(True)), ["a", "b"], "left").filter("done is null").drop("done")
         rest = cut(self._apart(rest, labels), "pairs")
@@ -465,13 +470,13 @@ class JaccardJoin:
             labels = cut(connected_components(links), "labels")
         return self._settle(found, links, labels, sets)
 
-    def _twice_named(self) -> DataFrame:
-        """Links between the classes of one doc_id that has several sets."""
+    def _twice_named(self) -> tuple[DataFrame, int]:
+        """Links between the classes of one doc_id that has several sets; how many ids have several rows."""
         keyed = self.rows.filter("n_shingles > 0 and doc_id is not null")
-        several = keyed.groupBy("doc_id").agg(F.min("v1").alias("x"), F.max("v1").alias("y")).filter("x <> y").select("doc_id")
+        several = cut(keyed.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"), "several")
         some = keyed.join(several, "doc_id").join(self.classes, ["v1", "v2"])
-        return cut(some.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("r")).select(
-            "a", F.explode("r").alias("b")).filter("a <> b"), "named")
+        some = some.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("r"))
+        return cut(some.select("a", F.explode("r").alias("b")).filter("a <> b"), "named"), several.count()
 
     def _apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs whose ends aren't connected yet."""
@@ -546,7 +551,8 @@ def op1_jaccard_join(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w from documents),
 s as materialized (
   select distinct doc_id, md5(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) as t
   from d, unnest(range(1, len(w) - least(5, len(w)) + 2)) as r(i) where len(w) > 0),

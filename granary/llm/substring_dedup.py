@@ -247,7 +247,8 @@ class FingerprintIndex:
             .mapInArrow(_windows(self.window, self.gram), "fp long, w long, doc_id long, part int, pos int")
         )
         first = windows.groupBy("fp", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-        later = windows.join(first.drop("hi"), ["fp", "w"]).filter("doc_id > lo")
+        first = cut(first.drop("hi"), "first")  # read anew, so that the join below can split a hot window
+        later = windows.join(first, ["fp", "w"]).filter("doc_id > lo")
         if history is not None:
             low, high = batch.agg(F.min("doc_id"), F.max("doc_id")).first()
             later = later.filter(F.col("doc_id").between(low, high)) if low is not None else later.limit(0)
@@ -257,6 +258,7 @@ class FingerprintIndex:
             "spans",
         )
         drop(lists)
+        drop(first)
         size = spans.agg(F.sum(F.size("span_start") * 8 + 48)).first()[0] or 0
         self.compact()
         return _keyed(batch).join(small(spans, size), ["doc_id", "part"], "left").mapInArrow(

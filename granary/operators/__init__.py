@@ -1 +1 @@
-"""Spark-first analytics engine."""
+"""Relational forms of byte-catalog work: search, claims, gaps, matching, naming, checks."""

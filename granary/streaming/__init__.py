@@ -1 +1 @@
-"""Spark-first analytics engine."""
+"""The same operators over folders that fill up."""
