@@ -15,8 +15,9 @@ def big_endian(data: Column, offset: int, width: int) -> Column:
 
 
 def little_endian(data: Column, offset: int, width: int) -> Column:
-    part = F.reverse(F.substring(data, offset + 1, width))
-    return F.when(F.octet_length(part) == width, F.conv(F.hex(part), 16, 10).cast("long"))
+    """Bytes are put in order one by one, as ``reverse`` takes binary for UTF-8 text."""
+    digits = F.concat(*[F.hex(F.substring(data, offset + 1 + i, 1)) for i in reversed(range(width))])
+    return F.when(F.length(digits) == 2 * width, F.conv(digits, 16, 10).cast("long"))
 
 
 def likely_big(data: Column, offset: int, width: int) -> Column:

@@ -1 +1 @@
-"""Spark-first analytics engine."""
+"""Queries over the driver's tables."""
