@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def big_endian(data: Column, offset: int, width: int) -> Column:
@@ -48,7 +49,7 @@ def clock(seconds: Column) -> Column:
     return F.when(h > 0, long_).otherwise(short)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def name_hash(names: pd.Series) -> pd.Series:
     """One-at-a-time hash (32 bits) of lower-case names; all names of a batch step together."""
     data = [(n or "").lower().encode() for n in names]
