@@ -87,22 +87,23 @@ def deduplicate_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
     later = suffix_ranks(docs, min_lines).filter(F.col("first") != F.struct("doc_id", "part", "i"))
-    gone = later.groupBy(F.col("doc_id").alias("_id"), F.col("part").alias("_part")).agg(
-        F.array_distinct(F.flatten(F.collect_list("ns"))).alias("_gone")
-    )
+    gone = later.groupBy(F.col("doc_id").alias("id"), "part").agg(F.array_distinct(F.flatten(F.collect_list("ns"))).alias("gone"))
     gone = cut(gone, "gone")
-    size = gone.agg(F.sum(F.size("_gone") * 4 + 48)).first()[0] or 0
-    rows = _keyed(docs.drop("n_lines", "n_removed")).withColumn("_id", F.col("doc_id").cast("long"))
-    rows = rows.join(small(gone, size), ["_id", "_part"], "left")
+    size = gone.agg(F.sum(F.size("gone") * 4 + 48)).first()[0] or 0
+    base = docs.drop("n_lines", "n_removed")
+    # the caller's columns travel in one struct, so that none of their names can clash
+    rows = base.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("part"), "text"
+    ).join(small(gone, size), ["id", "part"], "left")
     lines = _lines(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda n: F.get(lines, n)), "\n")
     )
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    rows = rows.withColumn("n_lines", n_lines).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("n_removed", F.greatest("n_removed", F.lit(0)).cast("long")).withColumn("text", text)
-    return rows.select(*docs.drop("n_lines", "n_removed").columns, "n_lines", "n_removed")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    own = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in base.columns]
+    return rows.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op7_line_dedup(docs: DataFrame) -> DataFrame:
