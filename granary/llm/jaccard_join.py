@@ -13,7 +13,7 @@ counts double.  So each set
   H + 1.  The cost of a subset falls with its size and rises if its shingles are frequent.
 
 Hashes that two sets share make buckets.  Buckets give candidate pairs, and an exact
-comparison of the sets decides.  A bucket is a star around its least document first; only
+comparison of the sets decides.  A larger bucket is a star around its least document first; only
 buckets that this leaves in more than one component give further pairs, so no group of
 copies or near copies is expanded into all its pairs.
 """
@@ -290,10 +290,10 @@ def _first(sizes: list[int]) -> np.ndarray:
 
 
 def _buckets(parts: int, gap: int):
-    """Stars and members of the buckets of each part.
+    """The buckets of each part.
 
-    Rows (a, b, null): a candidate pair with the bucket's least document; (null, null,
-    documents): a bucket of three or more; (a, null, null): a document to sign again.
+    Rows (a, b, null): a bucket of two, which is a candidate pair; (null, null, documents): a
+    bucket of three or more, least document first; (a, null, null): a document to sign again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +338,7 @@ def _buckets(parts: int, gap: int):
         begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         count = np.diff(np.r_[begin, len(docs)])
         lead = np.repeat(begin, count)
-        pair = (lead != np.arange(len(docs))) & (np.abs(step[lead] - step) <= gap)
+        pair = (lead != np.arange(len(docs))) & (np.abs(step[lead] - step) <= gap) & (np.repeat(count, count) == 2)
         pairs = np.unique(np.stack([docs[lead[pair]], docs[pair]], axis=1), axis=0)
         n = len(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, kinds[2])], names=names)
@@ -447,7 +447,14 @@ class JaccardJoin:
             more = self._signed(often, seed)
             again = cut(again.intersect(more.filter("b is null and members is null").select("a")), "again")
             found = found.unionByName(more)
-        stars = cut(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+        members = found.filter("members is not null").select(
+            F.monotonically_increasing_id().alias("bucket"), F.get("members", F.lit(0)).alias("a"), F.explode("members").alias("m")
+        )
+        members = cut(members, "members")
+        stars = found.filter("b is not null").select("a", "b").unionByName(
+            members.filter("a <> m").select("a", F.col("m").alias("b"))
+        )
+        stars = cut(stars.distinct(), "pairs")
         stars = self._rep(stars, "a", "b").filter("a <> b")
         stars = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
         ids = stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct()
@@ -468,7 +475,7 @@ class JaccardJoin:
         if rest.count():
             links = links.unionByName(self._verified(rest, sets))
             labels = cut(connected_components(links), "labels")
-        return self._settle(found, links, labels, sets)
+        return self._settle(members.select("bucket", "m"), links, labels, sets)
 
     def _twice_named(self) -> tuple[DataFrame, int]:
         """Links between the classes of one doc_id that has several sets; how many ids have several rows."""
@@ -486,13 +493,10 @@ class JaccardJoin:
             pairs = pairs.join(name, c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
         return pairs.filter("a_in <> b_in").select("a", "b")
 
-    def _settle(self, found: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _settle(self, members: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Compare what is left: in rounds, LEADERS documents of each bucket that isn't in one
         component against its others in other components; then they leave the bucket."""
-        buckets = found.filter("members is not null").select(
-            F.monotonically_increasing_id().alias("bucket"), F.explode("members").alias("m")
-        )
-        buckets = cut(self._rep(buckets, "m"), "members")
+        buckets = cut(self._rep(members, "m"), "members")
         while True:
             side = small(labels.withColumnRenamed("id", "m"), labels.count() * 24)
             now = buckets.join(side, "m", "left").withColumn("component", F.coalesce("component", "m"))
