@@ -10,8 +10,9 @@ from granary.operators.search import all_hits
 
 def watch_files(spark: SparkSession, root: str, patterns: list[bytes], per_trigger: int = 1_000) -> DataFrame:
     """Streaming (path, pattern, offset) of signature hits in the files that appear below ``root``."""
+    schema = spark.read.format("binaryFile").load(root).schema
     stream = (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+        spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", per_trigger).load(root)
     )
     return all_hits(stream, "path", "content", patterns)
