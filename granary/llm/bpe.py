@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Pre-tokens longer than this stream through the transducer and are not remembered.
 REMEMBERED = 64
 #: Entries of one of two generations of remembered pre-tokens.
-GENERATION = 400_000
+GENERATION = 250_000
 CHUNK = 1 << 16
 _FAR = 1 << 62
 
