@@ -60,3 +60,20 @@ def test_query(both, awkward, empty):
         want.append((r.doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert sorted(map(tuple, bpe.op4_bpe(awkward).collect()), key=str) == sorted(want, key=str)
     assert bpe.op4_bpe(empty).count() == 0
+
+
+def test_classes_of_the_plain_pattern(both):
+    codec, reference = both
+    every = [chr(c) for c in range(0x2B0)]
+    texts = ["".join(f"a{c}b 1{c}2 {c}{c} ." for c in every), " ".join(every), "".join(every)]
+    for t in texts:
+        assert bpe._PLAIN.findall(t) == codec.v.pattern.findall(t)
+        assert codec.encode(t) == reference(t)[0]
+
+
+def test_settled_on_demand_equals_settled_in_turn(both):
+    codec, _ = both
+    rnd, t = random.Random(2), bpe.Transducer(codec.v)
+    for _ in range(3_000):
+        data = "".join(rnd.choice("aeinrst ---==é") for _ in range(rnd.randint(1, 40))).encode()
+        assert t.whole(data) == t.feed(data) + t.finish()
