@@ -12,8 +12,11 @@
    range found, the search goes on over its neighbours until nothing more is in range.
 6. Pairs found are verified by cosine in double precision and counted once, in the least
    cluster that both ends belong to.
-7. Recall is audited against brute force for a sample of vertices over all vertices; under
-   ``recall``, the search is repeated with twice the beam and one more cluster for each vertex.
+7. Recall is audited against brute force over all vertices, for growing blocks of vertices, until
+   linked ones of ``AUDITED_GROUPS`` groups were seen or all vertices are used.  It is the least
+   of three shares: of links, of each linked vertex's pairs, and of each group's pairs.  Under
+   ``recall``, the search is repeated with twice the beam and one more cluster for each vertex;
+   if the widest beam fails too, the links are found by brute force, block by block.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, small
+from .common import BROADCAST_BYTES, cut, drop, scratch_path, small
 from .components import connected_components
 
 COSINE, RECALL = 0.95, 0.9
 CLUSTER_ROWS, UNIT_ROWS, CLUSTERS, FIT_ROWS, OVERLAP = 1_500, 4_096, 1_024, 20_000, 2
 DEGREE, BEAM, ALPHA, BATCH = 24, 32, 1.2, 512
-AUDITED = 256
+#: Vertices in the first block of an audit (it doubles up to BLOCK_ROWS), and groups that it has to see.
+AUDITED, AUDITED_GROUPS, BLOCK_ROWS = 256, 100, 4_096
+_SLICE = 1_024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -191,7 +196,7 @@ def _search(least: float, beam: int):
         cluster = int(unit.column("cluster")[0].as_py())
         homes = unit.column("homes").combine_chunks()
         homes = homes.flatten().to_numpy().reshape(n, -1)
-        links = np.zeros(n, dtype=np.int64)
+        links, pairs = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         near: list[np.ndarray] = []
         for u in range(n):
             v = np.flatnonzero(found[u])
@@ -200,13 +205,14 @@ def _search(least: float, beam: int):
             common = np.where((homes[v][:, :, None] == homes[u][None, None, :]).any(axis=2), homes[v], np.int64(1) << 62)
             mine = (common.min(axis=1) == cluster) & ((first == second) | (block[v] != block[u])) if len(v) else v
             links[u] = weight[v[mine]].sum() if len(v) else 0
+            pairs[u] = len(v[mine])
         label = ids.copy()
         while True:
             new = np.array([min(label[u], label[v].min()) if len(v) else label[u] for u, v in enumerate(near)])
             if (new == label).all():
                 break
             label = new
-        return pa.table({"vid": pa.array(ids), "links": pa.array(links), "root": pa.array(label)})
+        return pa.table({"vid": pa.array(ids), "links": pa.array(links), "pairs": pa.array(pairs), "root": pa.array(label)})
 
     return run
 
@@ -218,7 +224,8 @@ class NearVectors:
     empty, zero or holds a null or a component that isn't finite links with nothing; vectors
     of different lengths don't link; equal vectors link with each other.  Rows that repeat an
     id are vectors of their own with one name.  After ``result()``, ``audited`` holds the recall
-    of the links for the audited vectors (1.0 without links).
+    of the links for the audited vectors (1.0 without links and after brute force); it is never
+    under ``recall``.
     """
 
     def __init__(self, vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, unit_rows: int = UNIT_ROWS):
@@ -263,50 +270,124 @@ class NearVectors:
         unit = ["cluster", "b1", "b2"]
         built = units.groupBy(*unit).applyInArrow(_build(DEGREE, beam, ALPHA), "vid long, near array<long>")
         near = cut(built.groupBy("vid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-        searched = units.join(near, "vid").groupBy(*unit).applyInArrow(_search(self.cosine, beam), "vid long, links long, root long")
+        searched = units.join(near, "vid").groupBy(*unit).applyInArrow(_search(self.cosine, beam), "vid long, links long, pairs long, root long")
         return cut(searched, "found")
 
-    def _audit(self, rows: DataFrame, found: DataFrame) -> float:
-        """Share of the links of a sample of vertices that were found, by brute force."""
+    def _blocks(self, rows: DataFrame, n: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All vertices in the order of a hash, in blocks of about ``first`` rows, doubling to the bound."""
+        parts = max(1, -(-n // first))
+        bound = max(1, min(BLOCK_ROWS, BROADCAST_BYTES // (8 * rows.select(F.size("v")).first()[0])) // first)
+        at, size = 0, 1
+        while at < parts:
+            block = rows.filter(F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(parts)).between(at, at + size - 1))
+            block = block.select("vid", "v").toArrow()
+            if len(block):
+                yield _table(block)
+            at, size = at + size, min(2 * size, bound)
+
+    def _audit(self, rows: DataFrame, found: DataFrame, components: DataFrame, n: int) -> float:
+        """Recall of ``found`` by brute force: the least of the shares of links, of the pairs of a
+        linked vertex and of the pairs of a group."""
         least = self.cosine
-        sample = rows.orderBy(F.xxhash64("vid", F.lit(1)), "vid").limit(AUDITED).select("vid", "v").toArrow()
-        ids, x = _table(sample)
-        shared = self.spark.sparkContext.broadcast((ids, x))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qs, q = shared.value
-            for batch in batches:
-                mine, x = _table(pa.Table.from_batches([batch]))
-                hit = (x @ q.T >= least) & (mine[:, None] != qs[None, :])
-                true = batch.column("weight").to_numpy() @ hit
-                yield pa.RecordBatch.from_arrays([pa.array(qs), pa.array(true)], names=["vid", "true"])
-
-        true = rows.select("vid", "v", "weight").mapInArrow(run, "vid long, true long").groupBy("vid").agg(F.sum("true").alias("true"))
-        got = found.join(F.broadcast(true), "vid").groupBy("vid", "true").agg(F.sum("links").alias("got"))
-        r = got.agg(F.sum(F.least("got", "true")).alias("g"), F.sum("true").alias("t")).first()
-        return r.g / r.t if r.t else 1.0
+        labelled = rows.join(small(components.withColumnRenamed("id", "vid"), n * 16), "vid", "left")
+        labelled = cut(labelled.select("vid", "v", "weight", F.coalesce("component", "vid").alias("component")), "audit")
+        sums = found.groupBy("vid").agg(F.sum("links").alias("got"), F.sum("pairs").alias("got_pairs"))
+        sums = cut(sums, "sums")
+        got = true = 0
+        shares: list[float] = []
+        groups: dict[int, list[float]] = {}
+        for ids, x in self._blocks(rows, n, AUDITED):
+            shared = self.spark.sparkContext.broadcast((ids, x))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                qs, q = shared.value
+                for batch in batches:
+                    ids, x = _table(pa.Table.from_batches([batch]))
+                    weight, component = batch.column("weight").to_numpy(), batch.column("component").to_numpy()
+                    for i in range(0, len(ids), _SLICE):
+                        k = slice(i, i + _SLICE)
+                        a, b = np.nonzero((x[k] @ q.T >= least) & (ids[k][:, None] != qs[None, :]))
+                        on, b = np.unique(b, return_inverse=True)
+                        links, group = np.zeros(len(on), np.int64), np.full(len(on), np.iinfo(np.int64).max)
+                        np.add.at(links, b, weight[k][a])
+                        np.minimum.at(group, b, component[k][a])
+                        columns = [qs[on], links, np.bincount(b, minlength=len(on)), group]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["vid", "links", "pairs", "group"])
+
+            hits = labelled.mapInArrow(run, "vid long, links long, pairs long, group long").groupBy("vid")
+            hits = hits.agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"), F.min("group").alias("group"))
+            for r in F.broadcast(hits).join(sums, "vid", "left").toLocalIterator():
+                got, true = got + min(r.got or 0, r.links), true + r.links
+                shares.append(min(r.got_pairs or 0, r.pairs) / r.pairs)
+                groups.setdefault(r.group, []).append(shares[-1])
+            shared.destroy()
+            if len(groups) >= AUDITED_GROUPS:
+                break
+        drop(labelled)
+        drop(sums)
+        if not groups:
+            return 1.0
+        return float(min(got / true, np.mean(shares), np.mean([np.mean(g) for g in groups.values()])))
+
+    def _exact(self, rows: DataFrame, n: int) -> DataFrame:
+        """The links by brute force, a block of vertices against all at a time."""
+        least, schema = self.cosine, "vid long, links long, pairs long, root long"
+        path = scratch_path(self.spark, "exact")
+        for ids, x in self._blocks(rows, n, min(n, BLOCK_ROWS)):
+            shared = self.spark.sparkContext.broadcast((ids, x))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                qs, q = shared.value
+                for batch in batches:
+                    ids, x = _table(pa.Table.from_batches([batch]))
+                    weight = batch.column("weight").to_numpy()
+                    for i in range(0, len(ids), _SLICE):
+                        k = slice(i, i + _SLICE)
+                        hit = (x[k] @ q.T >= least) & (ids[k][:, None] != qs[None, :])
+                        a, b = np.nonzero(hit)
+                        links, mine, others = np.zeros(len(qs), np.int64), ids[k].copy(), qs.copy()
+                        np.add.at(links, b, weight[k][a])
+                        while True:
+                            before = mine.sum(), others.sum()
+                            np.minimum.at(others, b, mine[a])
+                            np.minimum.at(mine, a, others[b])
+                            if (mine.sum(), others.sum()) == before:
+                                break
+                        on, of = hit.any(axis=0), hit.any(axis=1)
+                        none = np.zeros(int(of.sum()), np.int64)
+                        columns = [
+                            np.r_[qs[on], ids[k][of]], np.r_[links[on], none], np.r_[hit.sum(axis=0)[on], none], np.r_[others[on], mine[of]],
+                        ]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["vid", "links", "pairs", "root"])
+
+            rows.select("vid", "v", "weight").mapInArrow(run, schema).write.mode("append").parquet(path)
+            shared.destroy()
+        return self.spark.read.schema(schema).parquet(path)
 
     def result(self) -> DataFrame:
         """vec_id, n_links, component_id and kept of every row."""
         lengths = [r[0] for r in self.vertices.groupBy(F.size("v").alias("d")).count().filter("count > 1").select("d").orderBy("d").collect()]
-        found, recalls = None, []
+        found, roots, recalls = None, None, []
         for d in lengths:
             rows = self.vertices.filter(F.size("v") == d)
             n, overlap, beam = rows.count(), OVERLAP, BEAM
             while True:
-                part = self._links(rows, n, overlap, beam)
-                recalls.append(self._audit(rows, part))
-                if recalls[-1] >= self.recall or beam >= 16 * BEAM:
+                exact = beam > 16 * BEAM
+                part = self._exact(rows, n) if exact else self._links(rows, n, overlap, beam)
+                tops = connected_components(part.select(F.col("vid").alias("a"), F.col("root").alias("b")))
+                recall = 1.0 if exact else self._audit(rows, part, tops, n)
+                if exact or recall >= self.recall:
                     break
-                recalls.pop()
                 drop(part)
                 overlap, beam = overlap + 1, 2 * beam
+            recalls.append(recall)
             found = part if found is None else found.unionByName(part)
+            roots = tops if roots is None else roots.unionByName(tops)
         self.audited = min(recalls, default=1.0)
         if found is None:
-            found = self.spark.createDataFrame([], "vid long, links long, root long")
+            found = self.spark.createDataFrame([], "vid long, links long")
+            roots = self.spark.createDataFrame([], "id long, component long")
         counts = found.groupBy("vid").agg(F.sum("links").alias("links"))
-        roots = connected_components(found.select(F.col("vid").alias("a"), F.col("root").alias("b")))
         named = self.vertices.join(counts, "vid", "left").join(roots.withColumnRenamed("id", "vid"), "vid", "left")
         named = cut(named.select("vid", "v", "least", "weight", "links", F.coalesce("component", "vid").alias("component")), "named")
         tops = named.groupBy("component").agg(F.min("least").alias("component_id"))

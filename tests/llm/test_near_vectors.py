@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from granary.llm import near_vectors as nv
 
 
@@ -59,3 +60,52 @@ def test_awkward_rows(spark):
     assert got(out) == brute(rows)
     assert {r.vec_id: r.kept for r in out.collect()}[9] is False
     assert nv.op10_near_vectors(df.limit(0)).count() == 0
+
+
+def _sparse():
+    """700 unlinked vectors and two pairs of near copies."""
+    x = np.random.default_rng(6).normal(size=(700, 32))
+    return [(i, v.tolist()) for i, v in enumerate(np.r_[x, x[[30, 400]] * 1.5 + 0.01])], lambda vids: []
+
+
+def _one_large_group():
+    """A group of 150 vectors, 20 pairs."""
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(21, 32))
+    x = np.r_[x[:1] + rnd.normal(size=(150, 32)) * 0.01, x[1:], x[1:] + 0.01]
+    return [(i, v.tolist()) for i, v in enumerate(x)], lambda vids: [i for i in vids if i < 150]
+
+
+@pytest.mark.parametrize("case", [_sparse, _one_large_group])
+def test_lost_links_are_seen_and_not_accepted(spark, monkeypatch, case):
+    rows, kept = case()
+    tried = []
+
+    def lossy(self, vertices, n, overlap, beam):
+        tried.append(beam)
+        least = {r.vid: r.least for r in vertices.select("vid", "least").collect()}
+        large = [v for v, i in least.items() if i in kept(least.values())]
+        out = [(v, len(large) - 1, len(large) - 1, min(large)) if v in large else (v, 0, 0, v) for v in least]
+        return spark.createDataFrame(out, "vid long, links long, pairs long, root long")
+
+    monkeypatch.setattr(nv.NearVectors, "_links", lossy)
+    join = nv.NearVectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got(join.result()) == brute(rows)
+    assert tried == [nv.BEAM << k for k in range(5)] and join.audited == 1.0
+
+
+def test_audit_stops_at_enough_groups(spark, monkeypatch):
+    monkeypatch.setattr(nv, "AUDITED", 16)
+    monkeypatch.setattr(nv, "AUDITED_GROUPS", 5)
+    blocks = []
+    cut_up = nv.NearVectors._blocks
+
+    def counted(self, *args):
+        for ids, x in cut_up(self, *args):
+            blocks.append(len(ids))
+            yield ids, x
+
+    monkeypatch.setattr(nv.NearVectors, "_blocks", counted)
+    rows = vectors(8, 300)
+    assert got(nv.NearVectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).result()) == brute(rows)
+    assert 0 < sum(blocks) < 250
