@@ -16,7 +16,8 @@
    linked ones of ``AUDITED_GROUPS`` groups were seen or all vertices are used.  It is the least
    of three shares: of links, of each linked vertex's pairs, and of each group's pairs.  Under
    ``recall``, the search is repeated with twice the beam and one more cluster for each vertex;
-   if the widest beam fails too, the links are found by brute force, block by block.
+   if the widest beam fails too, or the first over at most ``EXACT_ROWS`` vertices, the links are
+   found by brute force, block by block.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ DEGREE, BEAM, ALPHA, BATCH = 24, 32, 1.2, 512
 #: Vertices in the first block of an audit (it doubles up to BLOCK_ROWS), and groups that it has to see.
 AUDITED, AUDITED_GROUPS, BLOCK_ROWS = 256, 100, 4_096
 _SLICE = 1_024
+#: Up to so many vertices brute force follows the first beam that fails: it costs less than a wider one.
+EXACT_ROWS = 20_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -372,7 +375,7 @@ class NearVectors:
             rows = self.vertices.filter(F.size("v") == d)
             n, overlap, beam = rows.count(), OVERLAP, BEAM
             while True:
-                exact = beam > 16 * BEAM
+                exact = beam > (BEAM if n <= EXACT_ROWS else 16 * BEAM)
                 part = self._exact(rows, n) if exact else self._links(rows, n, overlap, beam)
                 tops = connected_components(part.select(F.col("vid").alias("a"), F.col("root").alias("b")))
                 recall = 1.0 if exact else self._audit(rows, part, tops, n)
