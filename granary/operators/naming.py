@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.scratch import cut
+
 
 def number_rows(df: DataFrame, group: str, order: list[str], label: str | None = None) -> DataFrame:
     """``df`` with ``track_name``: the three-digit number in its group, and the label if there is one."""
@@ -15,21 +16,20 @@ def number_rows(df: DataFrame, group: str, order: list[str], label: str | None =
     return df.withColumn("track_name", number if label is None else F.concat_ws(" ", number, F.col(label)))
 
 
-def dense_ids(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``track_id`` 0, 1, 2, ... by ``order``, without one task that sees all rows:
-    rows are range-sorted, and each partition adds the count of those before it."""
-    spark = df.sparkSession
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    rows = rows.withColumn("_m", F.monotonically_increasing_id())
-    counts = rows.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("low")).orderBy("_p").collect()
-    at, places = 0, []
-    for r in counts:
-        places.append((r["_p"], at - r["low"]))
-        at += r["n"]
-    if not places:
-        return df.withColumn("track_id", F.lit(0).cast("long"))
-    shift = F.broadcast(spark.createDataFrame(places, "_p int, _shift long"))
-    return rows.join(shift, "_p").withColumn("track_id", F.col("_m") + F.col("_shift")).drop("_p", "_m", "_shift")
+def dense_ids(df: DataFrame, order: list[str], name: str = "track_id") -> DataFrame:
+    """``df`` with ``track_id`` 0, 1, 2, ... by ``order``, without one task that sees all rows.
+
+    Rows are range-sorted and written once, with the partition and the place in it; counts and
+    ids are both taken from what was written, so they agree whatever the range bounds were.
+    Rows that tie get different ids in some order; an empty table stays empty.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(rows.select(F.struct("*").alias("row"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "sorted")
+    counts = rows.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("low"))  # one row a partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select("p", (before - F.col("low")).alias("shift"))
+    out = rows.join(F.broadcast(shift), "p")
+    return out.select(*[F.col("row")[c].alias(c) for c in df.columns], (F.col("m") + F.col("shift")).alias(name))
 
 
 def unique_names(df: DataFrame, group: str, name: str, order: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.scratch import cut
+
 DEPTH, LEAST, MOST, MEMBERS = 3, 64, 512 << 20, 4_096
 _PACKED = re.compile(rb"(?=\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda])")
 _SCHEMA = "entry long, path string, content binary"
@@ -100,7 +102,7 @@ def expand(entries: DataFrame, depth: int = DEPTH) -> DataFrame:
     level = entries.select("entry", "path", "content")
     out = level
     for _ in range(depth):
-        level = level.mapInArrow(_open, _SCHEMA).checkpoint()
+        level = cut(level.mapInArrow(_open, _SCHEMA), "members")
         if level.isEmpty():
             break
         out = out.unionByName(level)
