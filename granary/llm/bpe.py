@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Pre-tokens longer than this stream through the transducer and are not remembered.
 REMEMBERED = 64
 #: Entries of one of two generations of remembered pre-tokens.
@@ -336,7 +338,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return rows.mapInArrow(tidy(run), "doc_id long, ids binary, decoded string")
 
 
 def op4_bpe(docs: DataFrame) -> DataFrame:

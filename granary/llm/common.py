@@ -2,56 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its measured size is at most this; beyond it the join shuffles.
-BROADCAST_BYTES = 32 << 20
+from granary.scratch import BROADCAST_BYTES, cut, drop, drop_path, scratch_path, shared_folder, small
 
+__all__ = ["BROADCAST_BYTES", "crc_split", "cut", "drop", "drop_path", "scratch_path", "shared_folder", "small", "table", "tidy"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="granary-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
+Batches = Iterator[pa.RecordBatch]
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/granary-{what}-{uuid.uuid4().hex}"
 
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read back: later steps need nothing from before, and no
-    executor's loss costs more than the step in work."""
-    path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop(df: DataFrame) -> None:
-    """Remove a table made by ``cut`` once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/granary-" in path:
-            drop_path(df.sparkSession, path)
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` that gives freed memory back to the system at its end: a worker process lives on for
+    later tasks and stages, and would else keep what its largest task took."""
 
+    def tidied(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
 
-def small(df: DataFrame, n_bytes: int, bound: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast for a side whose size was measured; beyond the bound leave a shuffled join."""
-    return F.broadcast(df) if n_bytes <= bound else df
+    return tidied
 
 
 def crc_split(doc_id: Column) -> Column:

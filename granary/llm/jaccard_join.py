@@ -26,20 +26,26 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import cut, drop, small
+from .common import cut, drop, small, tidy
 from .components import connected_components
 
 SHINGLE, NUM, DEN = 5, 75, 100
 #: A shingle counts as frequent if this many documents have it in a run of CHUNK shingles.
 #: Frequent shingles only make a subset dearer; results don't depend on them.
 OFTEN, CHUNK, OFTEN_KEPT = 8, 1 << 20, 1 << 16
-SIGNATURES = 1 << 20
-SIGNATURES_PER_PART = 1 << 21
+#: Signatures of one block of a task and of one part; both bound a task's memory.
+SIGNATURES = 1 << 19
+SIGNATURES_PER_PART = 1 << 20
+#: Documents of a bucket that are compared with all its others in the first round; twice as many in each later one.
 LEADERS = 16
+#: Documents of a bucket in one row.
+LISTED = 1 << 16
+#: Passes with signatures of segments; sets that none of them serves are compared by single shingles in one more.
+SEEDS = 3
 #: How a signature takes part: indexed and probed, indexed only, one-deletion indexed,
 #: one-deletion probed, indexed and probed up to one deletion.
 BOTH, INDEX, LESS_INDEX, LESS_PROBE, WIDE = range(5)
@@ -222,6 +228,12 @@ def _step(l: int) -> int:
     return int(8 * np.log2(l))
 
 
+def token_signatures(s: np.ndarray, bands: Bands, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every shingle as a signature, probed only by sets that no seed serves: similar sets share one."""
+    served = any(signatures(s, bands, often, seed)[2] for seed in range(SEEDS))
+    return tk.mix(s * _K2 ^ _K1), np.full(len(s), INDEX if served else BOTH, dtype=np.uint8)
+
+
 _BLOCKS = "part int, base long, low binary, mid binary, doc binary, meta binary"
 
 
@@ -267,7 +279,10 @@ def _signed_blocks(size: int, bands: Bands, often_of, parts: int, seed: int):
                     if not len(s) or (x := int(_set_hash(s)[0])) in seen:
                         continue
                     seen.add(x)
-                    hashes, roles, reach = signatures(s, bands, often, seed)
+                    if seed < SEEDS:
+                        hashes, roles, reach = signatures(s, bands, often, seed)
+                    else:
+                        (hashes, roles), reach = token_signatures(s, bands, often), True
                     if not reach:
                         hashes, roles = np.r_[hashes[:1], hashes], np.r_[roles[:1], roles]
                     meta = roles.astype(np.uint16) | np.uint16(_step(len(s)) << 3)
@@ -292,34 +307,40 @@ def _first(sizes: list[int]) -> np.ndarray:
 def _buckets(parts: int, gap: int):
     """The buckets of each part.
 
-    Rows (a, b, null): a bucket of two, which is a candidate pair; (null, null, documents): a
-    bucket of three or more, least document first; (a, null, null): a document to sign again.
+    Rows (a, b, null): a bucket of two, which is a candidate pair; (a, name, documents): documents of
+    the bucket ``name`` of three or more, at most LISTED a row, ``a`` the least of all; (a, null, null):
+    a document to sign again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, docs, meta, again = [], [], [], []
         for batch in batches:
-            for r in batch.to_pylist():
-                kind = np.uint32 if len(r["doc"]) == len(r["low"]) else np.uint64
-                doc = np.frombuffer(r["doc"], dtype=kind).astype(np.int64) + r["base"]
-                if r["part"] == parts:
+            for r in (dict(zip(batch.schema.names, x, strict=True)) for x in zip(*batch.columns, strict=True)):
+                planes = {c: r[c].as_buffer() for c in ("low", "mid", "doc", "meta")}
+                kind = np.uint32 if planes["doc"].size == planes["low"].size else np.uint64
+                doc = np.frombuffer(planes["doc"], dtype=kind).astype(np.int64) + r["base"].as_py()
+                if r["part"].as_py() == parts:
                     again.append(np.unique(doc))
                     continue
-                low, mid = np.frombuffer(r["low"], np.uint32), np.frombuffer(r["mid"], np.uint16)
-                part = np.uint64(r["part"]) << np.uint64(48)
+                low, mid = np.frombuffer(planes["low"], np.uint32), np.frombuffer(planes["mid"], np.uint16)
+                part = np.uint64(r["part"].as_py()) << np.uint64(48)
                 h.append(low.astype(np.uint64) | (mid.astype(np.uint64) << np.uint64(32)) | part)
                 docs.append(doc)
-                meta.append(np.frombuffer(r["meta"], np.uint16))
+                meta.append(np.frombuffer(planes["meta"], np.uint16).copy())
         names = ["a", "b", "members"]
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+        def rows(n: int, *columns: pa.Array | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else c for c, k in zip(columns, kinds, strict=True)], names=names)
+
         if again:
             a = np.unique(np.concatenate(again))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), kinds[1]), pa.nulls(len(a), kinds[2])], names=names)
+            yield rows(len(a), pa.array(a), None, None)
         if not h:
             return
         h, docs, meta = np.concatenate(h), np.concatenate(docs), np.concatenate(meta)
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
+        order = np.argsort(h).astype(np.uint32)
+        same = h[order[1:]] == h[order[:-1]]
         order = order[np.r_[same, False] | np.r_[False, same]]
         if not len(order):
             return
@@ -330,9 +351,9 @@ def _buckets(parts: int, gap: int):
         probed = np.maximum.reduceat(np.isin(role, (BOTH, LESS_PROBE, WIDE)), begin)
         new = np.r_[True, (h[1:] != h[:-1]) | (docs[1:] != docs[:-1])]
         bucket = np.cumsum(np.r_[False, h[1:] != h[:-1]])
-        bucket, docs, step = bucket[new], docs[new], step[new]
+        bucket, docs, step, named = bucket[new], docs[new], step[new], h[new]
         keep = probed[bucket] & (np.bincount(bucket)[bucket] > 1)
-        bucket, docs, step = bucket[keep], docs[keep], step[keep]
+        bucket, docs, step, named = bucket[keep], docs[keep], step[keep], named[keep]
         if not len(docs):
             return
         begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -340,17 +361,19 @@ def _buckets(parts: int, gap: int):
         lead = np.repeat(begin, count)
         pair = (lead != np.arange(len(docs))) & (np.abs(step[lead] - step) <= gap) & (np.repeat(count, count) == 2)
         pairs = np.unique(np.stack([docs[lead[pair]], docs[pair]], axis=1), axis=0)
-        n = len(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, kinds[2])], names=names)
+        yield rows(len(pairs), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), None)
         name = np.add.reduceat(tk.mix(docs.view(np.uint64)), begin)
         _, first = np.unique(name, return_index=True)
         first = first[count[first] > 2]
-        for i in range(0, len(first), 1 << 14):
-            some = first[i : i + (1 << 14)]
-            size = count[some]
-            at = np.repeat(begin[some] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(docs[at]))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), kinds[0]), pa.nulls(len(some), kinds[1]), lists], names=names)
+        pieces = -(-count[first] // LISTED)
+        piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        of = np.repeat(first, pieces)
+        size = np.minimum(count[of] - piece * LISTED, LISTED)
+        for i in range(0, len(of), 1 << 14):
+            k = slice(i, i + (1 << 14))
+            at = np.repeat(begin[of[k]] + piece[k] * LISTED - np.r_[0, np.cumsum(size[k])[:-1]], size[k]) + np.arange(size[k].sum())
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[k])], pa.int32()), pa.array(docs[at]))
+            yield rows(len(lists), pa.array(docs[begin[of[k]]]), pa.array(tk.signed(named[begin[of[k]]])), lists)
 
     return run
 
@@ -377,6 +400,9 @@ class JaccardJoin:
     have no shingles and link with nothing, and so do rows with a null ``doc_id``.  Two
     documents link if den * intersection >= num * union.  Rows that repeat a ``doc_id`` belong
     to one document, which has the links of all of them.
+
+    Thresholds low enough that a set's subsets can't reach H + 1 cost further passes: SEEDS with
+    other segments, then one in which such sets probe by every single shingle, which is exact.
     """
 
     def __init__(self, docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN):
@@ -385,12 +411,13 @@ class JaccardJoin:
         self.spark, self.shingle, self.bands = docs.sparkSession, shingle, Bands(num, den)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         kinds = "doc_id long, n_shingles long, v1 long, v2 long"
-        said = cut(self.docs.mapInArrow(_summaries(shingle), kinds), "sizes")
+        said = cut(self.docs.mapInArrow(tidy(_summaries(shingle)), kinds), "sizes")
+        self._tables: list[DataFrame] = []
         self.rows = said.filter("n_shingles >= 0")
         self.often = said.filter("n_shingles < 0")
         keyed = self.rows.filter("n_shingles > 0 and doc_id is not null")
         #: Classes of equal sets: (v1, v2) and the least document, which stands for the class.
-        self.classes = cut(keyed.groupBy("v1", "v2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+        self.classes = self._cut(keyed.groupBy("v1", "v2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
         self.n_classes = self.classes.count()
 
     def _frequent(self) -> np.ndarray:
@@ -411,12 +438,12 @@ class JaccardJoin:
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), total // SIGNATURES_PER_PART + 1)
         parts = min(parts, 1 << 16)
         rows = self.docs.filter("doc_id is not null and text is not null")
-        blocks = rows.mapInArrow(_signed_blocks(self.shingle, self.bands, often, parts, seed), _BLOCKS)
+        blocks = rows.mapInArrow(tidy(_signed_blocks(self.shingle, self.bands, often, parts, seed)), _BLOCKS)
         gap = int(8 * np.log2(self.bands.den / self.bands.num)) + 2
         found = blocks.repartitionById(parts, F.col("part") % parts).mapInArrow(
-            _buckets(parts, gap), "a long, b long, members array<long>"
+            tidy(_buckets(parts, gap)), "a long, b long, members array<long>"
         )
-        return cut(found, "buckets")
+        return self._cut(found, "buckets")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets link."""
@@ -429,15 +456,19 @@ class JaccardJoin:
         shared = F.size(F.array_intersect("sa", "sb"))
         similar = den * shared >= num * (F.size("sa") + F.size("sb") - shared)
         quick = F.least(F.size("sa"), F.size("sb")) * den >= num * F.greatest(F.size("sa"), F.size("sb"))
-        return cut(both.filter(quick).filter(similar).select("a", "b"), "links")
+        return self._cut(both.filter(quick).filter(similar).select("a", "b"), "links")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """(links, components): links (a, b) between representatives that connect whatever is
-        connected, and (id, component) for representatives that link."""
+        """(links, components): links (a, b) between representatives of equal sets that connect whatever
+        is connected, and (id, component) for representatives that link.
+
+        Not every linked pair is among them: a group of copies is a star.  All pairs of a group
+        follow from ``components()`` joined with itself on ``component_id`` and compared.
+        """
         reps = self.rows.filter("n_shingles > 0 and doc_id is not null").join(
             small(self.classes, self.n_classes * 32), ["v1", "v2"]
         )
-        self.others = cut(reps.filter("doc_id <> rep").select("doc_id", "rep", "v1", "v2").distinct(), "others")
+        self.others = self._cut(reps.filter("doc_id <> rep").select("doc_id", "rep", "v1", "v2").distinct(), "others")
         self.n_others = self.others.count()
         often = self.spark.sparkContext.broadcast(self._frequent())
         found = self._signed(often, 0)
@@ -445,45 +476,57 @@ class JaccardJoin:
         while again.count():
             seed += 1
             more = self._signed(often, seed)
-            again = cut(again.intersect(more.filter("b is null and members is null").select("a")), "again")
+            again = self._cut(again.intersect(more.filter("b is null and members is null").select("a")), "again")
             found = found.unionByName(more)
-        members = found.filter("members is not null").select(
-            F.monotonically_increasing_id().alias("bucket"), F.get("members", F.lit(0)).alias("a"), F.explode("members").alias("m")
-        )
-        members = cut(members, "members")
-        stars = found.filter("b is not null").select("a", "b").unionByName(
-            members.filter("a <> m").select("a", F.col("m").alias("b"))
-        )
-        stars = cut(stars.distinct(), "pairs")
-        stars = self._rep(stars, "a", "b").filter("a <> b")
-        stars = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+        members = found.filter("members is not null").select(F.col("b").alias("bucket"), "a", F.explode("members").alias("m"))
+        stars = found.filter("b is not null and members is null").select("a", "b").unionByName(members.filter("a <> m").select("a", F.col("m").alias("b")))
+        pairs = cut(stars.distinct(), "pairs")
+        stars = self._rep(pairs, "a", "b").filter("a <> b")
+        stars = self._cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+        drop(pairs)
         ids = stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct()
-        wanted = cut(self.classes.join(ids, "rep").select(F.col("rep").alias("id"), "v1", "v2"), "ids")
+        wanted = self._cut(self.classes.join(ids, "rep").select(F.col("rep").alias("id"), "v1", "v2"), "ids")
         n = wanted.count() * 32
         texts = self.docs.join(small(wanted.select(F.col("id").alias("doc_id")).distinct(), n), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_sets(self.shingle), "id long, v1 long, v2 long, shingles array<long>")
+        sets = texts.mapInArrow(tidy(_sets(self.shingle)), "id long, v1 long, v2 long, shingles array<long>")
         sets = sets.join(small(wanted, n), ["id", "v1", "v2"], "left_semi")
         named, several = self._twice_named()
-        sets = cut(sets.dropDuplicates(["id", "v1"]) if several else sets, "sets")
+        sets = self._cut(sets.dropDuplicates(["id", "v1"]) if several else sets, "sets")
 
-        first = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+        first = self._cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
         links = self._verified(first, sets)
         links = links.unionByName(named)
-        labels = cut(connected_components(links), "labels")
+        labels = self._labels(links)
         rest = stars.join(first.withColumn("done", F.lit(True)), ["a", "b"], "left").filter("done is null").drop("done")
-        rest = cut(self._apart(rest, labels), "pairs")
+        rest = self._cut(self._apart(rest, labels), "pairs")
         if rest.count():
             links = links.unionByName(self._verified(rest, sets))
-            labels = cut(connected_components(links), "labels")
+            labels = self._labels(links)
         return self._settle(members.select("bucket", "m"), links, labels, sets)
 
+    def _cut(self, df: DataFrame, what: str) -> DataFrame:
+        """A table that ``close`` removes."""
+        self._tables.append(cut(df, what))
+        return self._tables[-1]
+
+    def close(self) -> None:
+        """Remove the tables of all steps but the sizes; what ``links`` returned can't be read any more."""
+        drop(*self._tables)
+        self._tables = []
+
+    def _labels(self, links: DataFrame) -> DataFrame:
+        found = connected_components(links)
+        labels = self._cut(found, "labels")
+        drop(found)
+        return labels
+
     def _twice_named(self) -> tuple[DataFrame, int]:
         """Links between the classes of one doc_id that has several sets; how many ids have several rows."""
         keyed = self.rows.filter("n_shingles > 0 and doc_id is not null")
-        several = cut(keyed.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"), "several")
+        several = self._cut(keyed.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"), "several")
         some = keyed.join(several, "doc_id").join(self.classes, ["v1", "v2"])
         some = some.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("r"))
-        return cut(some.select("a", F.explode("r").alias("b")).filter("a <> b"), "named"), several.count()
+        return self._cut(some.select("a", F.explode("r").alias("b")).filter("a <> b"), "named"), several.count()
 
     def _apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs whose ends aren't connected yet."""
@@ -494,39 +537,35 @@ class JaccardJoin:
         return pairs.filter("a_in <> b_in").select("a", "b")
 
     def _settle(self, members: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Compare what is left: in rounds, LEADERS documents of each bucket that isn't in one
-        component against its others in other components; then they leave the bucket."""
-        buckets = cut(self._rep(members, "m"), "members")
+        """Compare what is left: in rounds, the least documents of each bucket that isn't in one component
+        against its others in other components; then they leave the bucket.  A bucket stays in
+        rows, and each task keeps only its least documents to find them, so no bucket is ever gathered."""
+        buckets, tried, most = self._rep(members, "m").distinct(), None, LEADERS
         while True:
             side = small(labels.withColumnRenamed("id", "m"), labels.count() * 24)
             now = buckets.join(side, "m", "left").withColumn("component", F.coalesce("component", "m"))
             ends = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-            open_ = cut(ends.filter("x <> y").select("bucket"), "open")
+            open_ = self._cut(ends.filter("x <> y").select("bucket"), "open")
             n = open_.count()
             if not n:
                 return links, labels
-            held = now.join(small(open_, n * 16), "bucket", "left_semi").dropDuplicates(["bucket", "m"])
-            lists = held.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("m", "component"))).alias("l"))
-            lists = cut(lists, "lists")
-            lead = F.explode(F.slice("l", 1, LEADERS))
-            heads = lists.select("bucket", "l", lead.alias("h"))
-            pairs = heads.select(F.col("h").alias("h"), F.explode("l").alias("o")).filter(
-                "h.m < o.m and h.component <> o.component"
-            )
-            pairs = pairs.select(F.col("h.m").alias("a"), F.col("o.m").alias("b")).distinct()
-            tried = getattr(self, "_tried", None)
+            held = self._cut(now.join(small(open_, n * 16), "bucket", "left_semi"), "held")
+            place = F.row_number().over(Window.partitionBy("bucket").orderBy("m"))
+            lead = held.withColumn("place", place).filter(F.col("place") <= most)
+            lead = self._cut(lead.select("bucket", F.col("m").alias("a"), F.col("component").alias("of")), "leaders")
+            n = lead.count()
+            pairs = held.join(small(lead, n * 32), "bucket").filter("a < m and of <> component")
+            pairs = pairs.select("a", F.col("m").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = cut(pairs, "pairs")
-            self._tried = pairs if tried is None else tried.unionByName(pairs)
+            pairs = self._cut(pairs, "pairs")
+            tried = pairs if tried is None else tried.unionByName(pairs)
             if pairs.count():
                 links = links.unionByName(self._verified(pairs, sets))
-                labels = cut(connected_components(links), "labels")
-            buckets = cut(
-                lists.select("bucket", F.slice("l", LEADERS + 1, F.greatest(F.size("l"), F.lit(1))).alias("l"))
-                .select("bucket", F.explode("l").alias("o")).select("bucket", F.col("o.m").alias("m")),
-                "members",
-            )
+                labels = self._labels(links)
+            gone = small(lead.select("bucket", F.col("a").alias("m")), n * 24)
+            buckets = held.select("bucket", "m").join(gone, ["bucket", "m"], "left_anti")
+            most *= 2
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles and component_id (least document reachable by links) of every row."""
@@ -538,6 +577,7 @@ class JaccardJoin:
             ),
             "named",
         )
+        self.close()
         side = small(named, self.n_classes * 32)
         return self.rows.join(side, ["v1", "v2"], "left").select(
             "doc_id",

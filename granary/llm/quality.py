@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import crc_split
+from .common import crc_split, tidy
 
 BINS, LEAVES, RATE, ROUNDS, PAIRS, PAIR_BINS, PAIR_ROUNDS = 32, 4, 0.1, 150, 8, 8, 50
 SAMPLE_ROWS = 20_000
@@ -206,7 +206,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
                 y = batch.column("y").slice(b.first, b.n_docs)
                 yield pa.RecordBatch.from_arrays([x.cast(pa.list_(pa.float64())), y], names=["x", "y"])
 
-    rows = labelled_sample(docs, labels, label, sample_rows).mapInArrow(run, "x array<double>, y int").toArrow()
+    rows = labelled_sample(docs, labels, label, sample_rows).mapInArrow(tidy(run), "x array<double>, y int").toArrow()
     x = rows.column("x").combine_chunks()
     x = x.values.to_numpy().reshape(-1, len(FEATURES)) if len(rows) else np.zeros((0, len(FEATURES)))
     y = rows.column("y").to_numpy().astype(float)
@@ -230,7 +230,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
             score = pa.array(np.concatenate(scores) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

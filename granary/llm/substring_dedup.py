@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import cut, drop, drop_path, scratch_path, small
+from .common import cut, drop, drop_path, scratch_path, small, tidy
 
 WINDOW, GRAM, FANOUT = 50, 10, 4
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -207,7 +207,7 @@ class FingerprintIndex:
     def append(self, docs: DataFrame) -> str:
         """Write the postings of documents as a run of level 0; rows with a null id have none."""
         rows = _keyed(docs).filter("doc_id is not null and text is not null")
-        return self._write(0, rows.mapInArrow(_postings(self.window, self.gram), "fp long, doc_id long, part int"))
+        return self._write(0, rows.mapInArrow(tidy(_postings(self.window, self.gram)), "fp long, doc_id long, part int"))
 
     def compact(self) -> None:
         """Merge runs while some level has ``fanout`` of them."""
@@ -244,7 +244,7 @@ class FingerprintIndex:
         windows = (
             rows.filter("text is not null")
             .join(small(lists, size), ["doc_id", "part"])
-            .mapInArrow(_windows(self.window, self.gram), "fp long, w long, doc_id long, part int, pos int")
+            .mapInArrow(tidy(_windows(self.window, self.gram)), "fp long, w long, doc_id long, part int, pos int")
         )
         first = windows.groupBy("fp", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
         first = cut(first.drop("hi"), "first")  # read anew, so that the join below can split a hot window

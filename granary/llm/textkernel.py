@@ -40,7 +40,10 @@ _LOWER[0x41:0x5B] += 0x20
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd base and of its inverse modulo 2**64, grown on demand; what one long text
+    needed beyond KEPT isn't kept."""
+
+    KEPT = 4 << 20
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -48,12 +51,14 @@ class _Powers:
         self.down = np.ones(1, dtype=np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
+        up, down = self.up, self.down
+        while len(up) < n:
+            k = len(up)
             step = np.array([pow(self.base, k, 1 << 64), pow(self.inverse, k, 1 << 64)], dtype=np.uint64)
-            self.up = np.concatenate([self.up, self.up * step[0]])
-            self.down = np.concatenate([self.down, self.down * step[1]])
-        return self.up[:n], self.down[:n]
+            up, down = np.concatenate([up, up * step[0]]), np.concatenate([down, down * step[1]])
+            if len(up) <= self.KEPT:
+                self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 _BYTES, _WORDS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
@@ -116,8 +121,11 @@ def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((total[end] - total[start]) * down[start])
 
 
-def blocks(column: pa.Array, word_bytes: np.ndarray, lower: bool, block: int = BLOCK) -> Iterator[Block]:
-    """Words of every text of a string column, a block of documents at a time."""
+def blocks(column: pa.Array, word_bytes: np.ndarray, lower: bool, block: int = BLOCK, inner: int | None = None) -> Iterator[Block]:
+    """Words of every text of a string column, a block of documents at a time.
+
+    ``inner``: a byte that belongs to a word if it stands between two word bytes.
+    """
     raw_all, offsets = string_buffer(column)
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -128,6 +136,10 @@ def blocks(column: pa.Array, word_bytes: np.ndarray, lower: bool, block: int = B
         doc_at = offsets[i : j + 1] - offsets[i]
         inside = np.zeros(len(raw) + 2, dtype=bool)
         inside[1:-1] = word_bytes[raw]
+        if inner is not None:
+            at = np.flatnonzero(raw == inner)
+            at = at[~(np.isin(at, doc_at) | np.isin(at + 1, doc_at))]
+            inside[1 + at[inside[at] & inside[at + 2]]] = True
         begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
         cut = doc_at[(doc_at > 0) & (doc_at < len(raw))]
         begins[cut] = inside[1:-1][cut]
