@@ -21,6 +21,7 @@ def awkward(spark):
         (6, " ".join(base)), (6, " ".join(base)), (7, " ".join(near)), (8, "one two"), (9, "One TWO"), (10, "\n".join(lines)),
         (11, "\n".join(lines[3:9])), (12, "x\n\n" + "\n".join(lines[2:5]) + "\n"), (13, "é ñ 日本 😀 <|endoftext|> 'll   z"), (14, "a" * 70_000),
         (6, "other text of the same id"), (None, None), (15, "Idiot! You are pathetic.\nShe said he is not stupid."), (16, "\x00 nul \x7f"),
+        (17, "x" + " " * 1_000_000 + "y"), (18, "\n" * 300_000),
     ]
     rows = [(i, t, "en", "s", len(t or ""), *([0] * 5), *["x"] * 3, 1, 2, 3, 4) for i, t in texts]
     rows = [(i, t, g, s, n, 1, 2, 3, 4, 0.5, 6, "x", "y", "z", 1, 2, 3, 4) for i, t, g, s, n, *_ in rows]

@@ -41,3 +41,41 @@ def test_best_fit():
         bins = pk.best_fit_decreasing(sizes, row)
         assert len(bins) == n and sorted(i for b in bins for i in b) == list(range(len(sizes)))
         assert sorted(row - sum(int(sizes[i]) for i in b) for b in bins) == sorted(free)
+
+
+def test_long_runs_do_not_stop_the_encoder():
+    """Runs of a million characters, alone and inside words; ids are those of the library where it copes."""
+    code = pk.encoder(pk.default_ranks())
+    n = 1_000_000
+    for t in (" " * n, "\n" * n, "a" + " " * n + "b", "a" + "\n" * n, "x " * 1_000 + "\t" * n + "'ll " * 1_000, "z" * n, "7" * n, "-" * n):
+        assert code.code.decode(code.encode(t)) == t
+    for k in (255, 256, 257, 1_000):
+        for t in (" " * k + "b", "a" + "\n" * k + "b", "a" + " " * k, "a \n" * k + " " * k + "12", "\r\n" * k + "..", " " * k + "<|endoftext|>"):
+            assert code.encode(t).tolist() == code.code.encode_ordinary(t)
+
+
+def test_written_matrix_comes_back(spark, awkward, tmp_path):
+    packed = pk.pack(awkward, row=64, buffer_rows=8)
+    path = f"file://{tmp_path}/matrix"
+    pk.write_packed(packed, path, row=64)
+    rows = sorted((bytes(r["ids"]), tuple(r.cu_seqlens)) for r in packed.collect())
+    found = []
+    for ids, limits, resets in pk.read_packed(path):
+        assert ids.dtype == np.uint16 and ids.shape == (len(limits), 64)
+        want = []
+        for k, (line, cu) in enumerate(zip(ids, limits)):
+            assert (line[cu[-1] :] == pk.SEPARATOR).all()
+            found.append((line[: cu[-1]].tobytes(), tuple(cu.tolist())))
+            want += [64 * k + int(c) for c in cu if c < 64]
+        assert resets.tolist() == want
+    assert sorted(found) == rows
+
+
+def test_larger_vocabularies_get_wider_ids(spark, tmp_path):
+    import base64
+
+    ranks = tmp_path / "wide.tiktoken"
+    tokens = [bytes([i]) for i in range(256)] + [f"{i:05d}".encode() for i in range(70_000 - 256)]
+    ranks.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+    row = pk.pack(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), ranks=str(ranks), row=8).first()
+    assert np.frombuffer(row["ids"], "<u4").tolist() == [97, 98, 70_000]
