@@ -58,3 +58,33 @@ def test_ranks_are_in_the_order_of_the_suffixes(spark):
 def test_plan_has_no_python(spark, awkward):
     plan = ld.op7_line_dedup(awkward)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_runs_are_maximal_and_their_lengths_exact(spark):
+    """Every run is one of the source, too, line for line, can't be longer, and no run lies inside another."""
+    rows = corpus(7, 60, vocabulary=7, longest=40, copies=0.6, line="\n") + [(600, "\n".join(["same"] * 37)), (601, "\n".join(["same"] * 12))]
+    long_ = "\n".join(f"line {k}" for k in range(75))
+    rows += [(700, "first\n" + long_ + "\nend"), (701, long_ + "\nother"), (702, "x\n" + long_)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {i: [x for x in t.split("\n") if x.strip()] for i, t in rows}
+    runs = ld.repeated_runs(df, 2).collect()
+    seen = {}
+    for r in runs:
+        mine, other = text[r.doc_id][r.i :], text[r.source.doc_id][r.source.i :]
+        common = next((k for k, (a, b) in enumerate(zip(mine, other)) if a != b), min(len(mine), len(other)))
+        assert common == r.n >= 2 and (r.source.doc_id, r.source.i) < (r.doc_id, r.i)
+        seen.setdefault(r.doc_id, []).append((r.i, r.i + r.n))
+    for spans in seen.values():
+        assert not any(a != b and b[0] <= a[0] and a[1] <= b[1] for a in spans for b in spans)
+    assert {(r.doc_id, r.i, r.n, r.source.doc_id, r.source.i) for r in runs} >= {(701, 0, 75, 700, 1), (702, 1, 75, 700, 1), (601, 0, 12, 600, 0), (600, 1, 36, 600, 0)}
+    assert got(ld.deduplicate_lines(df)) == brute(rows, 2)
+    shown = {r.doc_id: r.runs for r in ld.deduplicate_lines(df).collect()}
+    assert [tuple(x) for x in shown[702]] == [(1, 75, 700, 1)]
+
+
+def test_levels_double_until_no_suffix_is_repeated(spark):
+    text = "\n".join(f"l{k}" for k in range(20))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    levels = ld.suffix_levels(df, 3)
+    assert [d for d, _ in levels] == [1, 2, 3, 6, 12]
+    assert [level.count() for _, level in levels] == [40, 38, 36, 30, 18]
