@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import pytest
@@ -58,3 +59,23 @@ def test_awkward_rows(spark, awkward, empty):
     assert set(awkward.columns) <= set(out.columns)
     assert dc.op6_decontaminate(empty, items).count() == 0
     assert dc.op6_decontaminate(awkward, items.limit(0)).filter("contaminated").count() == 0
+
+
+def test_what_is_sent_is_bounded_and_the_table_stays_sparse():
+    """2 MB of items of invented words: bytes sent for each byte of text, and the share of blocks that stop a jump."""
+    rnd = random.Random(3)
+    items = [(str(i), " ".join(f"{rnd.choice('bcdfgh')}{rnd.randrange(1 << 16):x}" for _ in range(200))) for i in range(1_700)]
+    size = sum(len(t) for _, t in items)
+    groups = dc.build_groups(items, 10)
+    assert len(pickle.dumps(groups)) <= size * dc.SENT_BYTES / dc.SHARD_BYTES
+    assert all((g.shift == 0).mean() <= 1 / dc.SPARSE for g in groups)
+
+
+def test_shards_larger_than_the_bound_are_halved(spark):
+    items = [(str(i), f"a{i} b{i} c{i} d{i}") for i in range(40)]
+    df = spark.createDataFrame(items, "item_id string, text string")
+    shards = list(dc.shards_of(df, 3, 1 << 20, 9_000))
+    assert len(shards) > 1 and all(len(pickle.dumps(s)) <= 9_000 for s in shards)
+    assert sorted({n for s in shards for g in s for n in g.words.names}) == sorted(i for i, _ in items)
+    with pytest.raises(ValueError):
+        list(dc.shards_of(df, 3, 1 << 20, 100))
