@@ -74,8 +74,8 @@ def test_what_is_sent_is_bounded_and_the_table_stays_sparse():
 def test_shards_larger_than_the_bound_are_halved(spark):
     items = [(str(i), f"a{i} b{i} c{i} d{i}") for i in range(40)]
     df = spark.createDataFrame(items, "item_id string, text string")
-    shards = list(dc.shards_of(df, 3, 1 << 20, 9_000))
-    assert len(shards) > 1 and all(len(pickle.dumps(s)) <= 9_000 for s in shards)
+    shards = list(dc.shards_of(df, 3, 1 << 20, 6_000))
+    assert len(shards) > 1 and all(len(pickle.dumps(s)) <= 6_000 for s in shards)
     assert sorted({n for s in shards for g in s for n in g.words.names}) == sorted(i for i, _ in items)
     with pytest.raises(ValueError):
         list(dc.shards_of(df, 3, 1 << 20, 100))
