@@ -199,6 +199,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
+    """Model of at most ``sample_rows`` labelled rows.
+
+    Labels with a null id or other than 0 and 1 teach nothing; a null text counts as empty; rows
+    that repeat count once.  Without labelled rows, as for empty tables, every text scores 0.5.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tk.blocks(batch.column("text"), tk.SPACED, False):
@@ -217,7 +222,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
 def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """All columns of ``docs`` (which needs ``text``) and ``score``; null scores as empty text.
 
-    A column named score is replaced.
+    A column named score is replaced; rows that repeat stay and score alike; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score")
@@ -234,6 +239,8 @@ def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
 
 def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row; null and empty texts score alike, rows that repeat, too;
+    a null id stays null and isn't held out; an empty table stays empty."""
     scored = score_quality(_rows(docs), fit_quality(docs, labels))
     return scored.select(
         "doc_id",

@@ -63,3 +63,45 @@ def test_clauses():
     block = next(tk.blocks(pa.array(["You are an idiot.", "He said you are an idiot.", "You are not an idiot.", "nothing here", None]), tk.ALNUM, True))
     w = m.measures(block)[:, 0]
     assert w[0] > w[1] > 0 and w[0] > w[2] > 0 and w[3] == w[4] == 0
+
+
+def _features_by_hand(text):
+    """The numbers of a text by plain loops over its bytes and words."""
+    raw = (text or "").encode()
+    words = [w for w in __import__("re").split(rb"[ \t-\r]+", raw) if w]
+    n, marks = max(len(words), 1), set(quality._MARKS)
+    is_ = {"upper": lambda c: 65 <= c <= 90, "lower": lambda c: 97 <= c <= 122, "high": lambda c: c >= 128}
+    letters = [sum(is_["upper"](c) or is_["lower"](c) or is_["high"](c) for c in w) for w in words]
+    uppers = [sum(map(is_["upper"], w)) for w in words]
+    share = lambda f: sum(map(f, raw)) / max(len(raw), 1)
+    count = [words.count(w) for w in set(words)]
+    return [
+        np.log1p(len(words)), np.log1p(len(raw)), sum(map(len, words)) / n, sum(len(w) > 12 for w in words) / n, sum(len(w) <= 3 for w in words) / n,
+        share(is_["upper"]), share(lambda c: 48 <= c <= 57), share(is_["high"]), share(lambda c: c in marks), share(lambda c: c == 32), share(lambda c: c == 10),
+        sum(a == b for a, b in zip(words, words[1:])) / n, sum(a == b for a, b in zip(words, words[2:])) / n, len(count) / n if words else 0, max(count, default=0) / n,
+        sum(k == 0 for k in letters) / n, sum(sum(c in marks for c in w) >= 2 for w in words) / n, sum(u > 1 and u >= k for u, k in zip(uppers, letters)) / n,
+        *(share(lambda c, m=m: c == m) for m in b"!?.,|*#&$%@"),
+    ]
+
+
+def test_features_against_loops():
+    rnd = __import__("random").Random(2)
+    pieces = ["word", "WORD", "Aa", "é", "12", "!!", "a", " ", "\n", "\t", "x" * 14, "word", "#tag", "日本"]
+    texts = ["".join(rnd.choice(pieces) + rnd.choice(["", " ", " "]) for _ in range(rnd.randint(0, 60))) for _ in range(120)] + ["", None, "   ", "z"]
+    got = np.concatenate([quality.features(b) for b in tk.blocks(pa.array(texts), tk.SPACED, False, block=900)])
+    assert np.allclose(got, np.array([_features_by_hand(t) for t in texts]))
+
+
+def test_score_is_a_sum_of_looked_up_bins():
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(400, 5)).round(1)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float)
+    model = quality.AdditiveModel.fit(x, y)
+    for row, score in zip(x[:60], model.score(x[:60])):
+        z = model.base
+        bin_ = lambda edges, v: sum(e < v for e in edges)
+        for f, table_ in enumerate(model.tables):
+            z += table_[bin_(model.edges[f], row[f])]
+        for (i, j), grid in zip(model.pairs, model.grids):
+            z += grid[bin_(model.coarse[i], row[i]), bin_(model.coarse[j], row[j])]
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
