@@ -39,7 +39,7 @@ SHINGLE, NUM, DEN = 5, 75, 100
 OFTEN, CHUNK, OFTEN_KEPT = 8, 1 << 20, 1 << 16
 #: Signatures of one block of a task and of one part; both bound a task's memory.
 SIGNATURES = 1 << 19
-SIGNATURES_PER_PART = 1 << 20
+SIGNATURES_PER_PART = 1 << 21
 #: Documents of a bucket that are compared with all its others in the first round; twice as many in each later one.
 LEADERS = 16
 #: Documents of a bucket in one row.
@@ -308,8 +308,9 @@ def _buckets(parts: int, gap: int):
     """The buckets of each part.
 
     Rows (a, b, null): a bucket of two, which is a candidate pair; (a, name, documents): documents of
-    the bucket ``name`` of three or more, at most LISTED a row, ``a`` the least of all; (a, null, null):
-    a document to sign again.
+    the bucket ``name`` of three or more, at most LISTED a row, ``a`` the least that probes, each with twice its
+    size step and 1 more if it probes; (a, null, null): a document to sign again.  Buckets of the
+    same documents in the same roles have one name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +329,7 @@ def _buckets(parts: int, gap: int):
                 docs.append(doc)
                 meta.append(np.frombuffer(planes["meta"], np.uint16).copy())
         names = ["a", "b", "members"]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("m", pa.int64()), ("s", pa.int32())]))]
 
         def rows(n: int, *columns: pa.Array | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else c for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -347,24 +348,26 @@ def _buckets(parts: int, gap: int):
         h, docs, meta = h[order], docs[order], meta[order]
         order = np.lexsort((docs, h))
         h, docs, role, step = h[order], docs[order], meta[order] & 7, (meta[order] >> 3).astype(np.int64)
+        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (docs[1:] != docs[:-1])])
+        probes = np.maximum.reduceat(np.isin(role, (BOTH, LESS_PROBE, WIDE)), new)
+        h, docs, step = h[new], docs[new], step[new]
         begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        probed = np.maximum.reduceat(np.isin(role, (BOTH, LESS_PROBE, WIDE)), begin)
-        new = np.r_[True, (h[1:] != h[:-1]) | (docs[1:] != docs[:-1])]
-        bucket = np.cumsum(np.r_[False, h[1:] != h[:-1]])
-        bucket, docs, step, named = bucket[new], docs[new], step[new], h[new]
-        keep = probed[bucket] & (np.bincount(bucket)[bucket] > 1)
-        bucket, docs, step, named = bucket[keep], docs[keep], step[keep], named[keep]
+        count = np.diff(np.r_[begin, len(h)])
+        keep = np.repeat(np.maximum.reduceat(probes, begin) & (count > 1), count)
+        h, docs, step, probes = h[keep], docs[keep], step[keep], probes[keep]
         if not len(docs):
             return
-        begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         count = np.diff(np.r_[begin, len(docs)])
         lead = np.repeat(begin, count)
         pair = (lead != np.arange(len(docs))) & (np.abs(step[lead] - step) <= gap) & (np.repeat(count, count) == 2)
         pairs = np.unique(np.stack([docs[lead[pair]], docs[pair]], axis=1), axis=0)
         yield rows(len(pairs), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), None)
-        name = np.add.reduceat(tk.mix(docs.view(np.uint64)), begin)
+        name = np.add.reduceat(tk.mix(docs.view(np.uint64) + probes * _K1), begin)
         _, first = np.unique(name, return_index=True)
         first = first[count[first] > 2]
+        star = np.minimum.reduceat(np.where(probes, docs, np.iinfo(np.int64).max), begin)
+        said = (2 * step + probes).astype(np.int32)
         pieces = -(-count[first] // LISTED)
         piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         of = np.repeat(first, pieces)
@@ -372,8 +375,9 @@ def _buckets(parts: int, gap: int):
         for i in range(0, len(of), 1 << 14):
             k = slice(i, i + (1 << 14))
             at = np.repeat(begin[of[k]] + piece[k] * LISTED - np.r_[0, np.cumsum(size[k])[:-1]], size[k]) + np.arange(size[k].sum())
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[k])], pa.int32()), pa.array(docs[at]))
-            yield rows(len(lists), pa.array(docs[begin[of[k]]]), pa.array(tk.signed(named[begin[of[k]]])), lists)
+            values = pa.StructArray.from_arrays([pa.array(docs[at]), pa.array(said[at])], names=["m", "s"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[k])], pa.int32()), values)
+            yield rows(len(lists), pa.array(star[of[k]]), pa.array(tk.signed(name[of[k]])), lists)
 
     return run
 
@@ -441,7 +445,7 @@ class JaccardJoin:
         blocks = rows.mapInArrow(tidy(_signed_blocks(self.shingle, self.bands, often, parts, seed)), _BLOCKS)
         gap = int(8 * np.log2(self.bands.den / self.bands.num)) + 2
         found = blocks.repartitionById(parts, F.col("part") % parts).mapInArrow(
-            tidy(_buckets(parts, gap)), "a long, b long, members array<long>"
+            tidy(_buckets(parts, gap)), "a long, b long, members array<struct<m: long, s: int>>"
         )
         return self._cut(found, "buckets")
 
@@ -478,7 +482,10 @@ class JaccardJoin:
             more = self._signed(often, seed)
             again = self._cut(again.intersect(more.filter("b is null and members is null").select("a")), "again")
             found = found.unionByName(more)
-        members = found.filter("members is not null").select(F.col("b").alias("bucket"), "a", F.explode("members").alias("m"))
+        # parts may have the same bucket; a row of a bucket is known by its first document
+        listed = found.filter("members is not null").withColumn("at", F.get("members", F.lit(0))["m"]).dropDuplicates(["b", "at"])
+        members = listed.select(F.col("b").alias("bucket"), "a", F.explode("members").alias("x")).select("bucket", "a", "x.m", "x.s")
+        members = self._cut(members, "members")
         stars = found.filter("b is not null and members is null").select("a", "b").unionByName(members.filter("a <> m").select("a", F.col("m").alias("b")))
         pairs = cut(stars.distinct(), "pairs")
         stars = self._rep(pairs, "a", "b").filter("a <> b")
@@ -500,9 +507,10 @@ class JaccardJoin:
         rest = stars.join(first.withColumn("done", F.lit(True)), ["a", "b"], "left").filter("done is null").drop("done")
         rest = self._cut(self._apart(rest, labels), "pairs")
         if rest.count():
-            links = links.unionByName(self._verified(rest, sets))
-            labels = self._labels(links)
-        return self._settle(members.select("bucket", "m"), links, labels, sets)
+            more = self._verified(rest, sets)
+            links = links.unionByName(more)
+            labels = self._labels(links) if not more.isEmpty() else labels
+        return self._settle(members.select("bucket", "m", "s"), links, labels, sets)
 
     def _cut(self, df: DataFrame, what: str) -> DataFrame:
         """A table that ``close`` removes."""
@@ -537,34 +545,39 @@ class JaccardJoin:
         return pairs.filter("a_in <> b_in").select("a", "b")
 
     def _settle(self, members: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Compare what is left: in rounds, the least documents of each bucket that isn't in one component
-        against its others in other components; then they leave the bucket.  A bucket stays in
-        rows, and each task keeps only its least documents to find them, so no bucket is ever gathered."""
-        buckets, tried, most = self._rep(members, "m").distinct(), None, LEADERS
+        """Compare what is left: in rounds, the least documents that probe of each bucket that isn't in one
+        component against its others of like size in other components; then they leave the bucket.  A
+        bucket stays in rows, and each task keeps only its least documents to find them, so none is ever gathered."""
+        gap = int(8 * np.log2(self.bands.den / self.bands.num)) + 2
+        buckets = self._rep(members, "m").groupBy("bucket", "m").agg(F.max("s").alias("s"))
+        buckets, tried, most = self._cut(buckets, "members"), None, LEADERS
+        probes = F.col("s") % 2 == 1
         while True:
             side = small(labels.withColumnRenamed("id", "m"), labels.count() * 24)
             now = buckets.join(side, "m", "left").withColumn("component", F.coalesce("component", "m"))
-            ends = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-            open_ = self._cut(ends.filter("x <> y").select("bucket"), "open")
+            ends = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.col("s") % 2).alias("p"))
+            open_ = self._cut(ends.filter("x <> y and p = 1").select("bucket"), "open")
             n = open_.count()
             if not n:
                 return links, labels
             held = self._cut(now.join(small(open_, n * 16), "bucket", "left_semi"), "held")
             place = F.row_number().over(Window.partitionBy("bucket").orderBy("m"))
-            lead = held.withColumn("place", place).filter(F.col("place") <= most)
-            lead = self._cut(lead.select("bucket", F.col("m").alias("a"), F.col("component").alias("of")), "leaders")
+            lead = held.filter(probes).withColumn("place", place).filter(F.col("place") <= most)
+            lead = self._cut(lead.select("bucket", F.col("m").alias("a"), F.col("component").alias("of"), F.col("s").alias("t")), "leaders")
             n = lead.count()
-            pairs = held.join(small(lead, n * 32), "bucket").filter("a < m and of <> component")
-            pairs = pairs.select("a", F.col("m").alias("b")).distinct()
+            like = F.abs(F.floor(F.col("s") / 2) - F.floor(F.col("t") / 2)) <= gap
+            pairs = held.join(small(lead, n * 40), "bucket").filter("of <> component").filter(like)
+            pairs = pairs.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = self._cut(pairs, "pairs")
             tried = pairs if tried is None else tried.unionByName(pairs)
             if pairs.count():
-                links = links.unionByName(self._verified(pairs, sets))
-                labels = self._labels(links)
+                more = self._verified(pairs, sets)
+                links = links.unionByName(more)
+                labels = self._labels(links) if not more.isEmpty() else labels
             gone = small(lead.select("bucket", F.col("a").alias("m")), n * 24)
-            buckets = held.select("bucket", "m").join(gone, ["bucket", "m"], "left_anti")
+            buckets = self._cut(held.select("bucket", "m", "s").join(gone, ["bucket", "m"], "left_anti"), "members")
             most *= 2
 
     def components(self) -> DataFrame:

@@ -3,14 +3,20 @@
 A passage is a window of ``window`` consecutive words.  Of the ``gram``-word hashes inside a
 window the least one is the window's fingerprint, so equal windows have equal fingerprints,
 and a text keeps only about one fingerprint for every twenty words.  The index holds postings
-``(fp, doc_id, part)`` in immutable runs sorted by fingerprint.  A new batch of documents
-
-1. writes its postings as a run of level 0,
-2. is merge-joined with all runs to find fingerprints that another document has too,
-3. has the windows under those fingerprints hashed, on both sides, and joined on
-   (fingerprint, window hash): the verification,
+``(fp, doc_id, part, n)``, ``n`` windows of a document under a fingerprint, in immutable runs that are
+dealt into buckets by fingerprint and sorted in them.  A new batch of documents
+
+1. is turned into postings dealt and sorted in the same way,
+2. is merge-joined with each run, bucket by bucket: history is read where it lies and never
+   exchanged; only postings of fingerprints that the batch has, too, are taken from it,
+3. has the windows under fingerprints that another document has, too, hashed, and those of the
+   documents found in the runs, the only texts of history that are looked at; both sides are joined on
+   (fingerprint, window hash): the verification, by two hashes of 64 bits each, not by the words,
 4. loses each word covered by a window that also starts in a document with a smaller id,
-5. triggers compaction of any level that has ``fanout`` runs.
+5. leaves its postings as a run of level 0, without those whose windows all start in a document
+   with a smaller id: whoever has them later meets that document.  So a passage that everyone
+   has keeps few postings,
+6. triggers compaction of any level that has ``fanout`` runs, the one step that rewrites history.
 
 Joins are shuffled unless the measured size of a side allows a broadcast.  No step gathers
 the holders of a fingerprint or of a window in one place: both are reduced to their least
@@ -19,6 +25,7 @@ document by pre-aggregated sums and joined back, where a hot key's rows can be s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +37,8 @@ from . import textkernel as tk
 from .common import cut, drop, drop_path, scratch_path, small, tidy
 
 WINDOW, GRAM, FANOUT = 50, 10, 4
+#: Batches of a whole table: enough for a compaction.
+BATCHES = FANOUT + 1
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -55,12 +64,6 @@ def _window_minima(b: tk.Block, window: int, gram: int) -> tuple[np.ndarray, np.
     return grams[:n], least, starts
 
 
-def _chosen(grams: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
-    """Words where a gram starts that is the least of some window around it."""
-    padded = np.concatenate([np.zeros(span - 1, dtype=np.uint64), least])
-    return np.flatnonzero((_sliding(padded, span, np.maximum) == grams) & (grams != _TOP))
-
-
 def _postings(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,16 +71,17 @@ def _postings(window: int, gram: int):
             for b in tk.blocks(batch.column("text"), tk.SPACED, False):
                 if len(b.hash) < window:
                     continue
-                grams, least, _ = _window_minima(b, window, gram)
-                at = _chosen(grams, least, window - gram + 1)
-                doc, fp = b.doc_of_word()[at], grams[at]
+                _, least, starts = _window_minima(b, window, gram)
+                if not starts.any():
+                    continue
+                doc, fp = b.doc_of_word()[starts], least[starts]
                 order = np.lexsort((fp, doc))
                 doc, fp = doc[order], fp[order]
-                new = np.ones(len(fp), dtype=bool)
-                new[1:] = (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])
+                new = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])])
+                n = np.diff(np.r_[new, len(fp)])
                 doc, fp = b.first + doc[new], fp[new]
-                columns = [pa.array(tk.signed(fp)), pa.array(ids[doc]), pa.array(parts[doc])]
-                yield pa.RecordBatch.from_arrays(columns, names=["fp", "doc_id", "part"])
+                columns = [pa.array(tk.signed(fp)), pa.array(ids[doc]), pa.array(parts[doc]), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "doc_id", "part", "n"])
 
     return run
 
@@ -110,20 +114,28 @@ def _windows(window: int, gram: int):
     return run
 
 
+_POSTING = "fp long, doc_id long, part int, n int"
+_SPANS = "doc_id long, part int, span_start array<int>, span_end array<int>, fps array<long>, counts array<int>"
+
+
 def _spans(window: int):
-    """Sorted disjoint word spans from the first words of covered windows."""
+    """Sorted disjoint word spans from the first words of covered windows, and how many of them each fingerprint has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, ends = [], []
-            for pos in batch.column("pos"):
-                p = np.unique(pos.values.to_numpy())
+            starts, ends, fps, counts = [], [], [], []
+            for found in batch.column("found"):
+                p = np.unique(found.values.field("pos").to_numpy())
                 new = np.r_[True, np.diff(p) > window]
                 starts.append(p[new])
                 ends.append(p[np.r_[np.flatnonzero(new)[1:] - 1, len(p) - 1]] + window)
+                fp, n = np.unique(found.values.field("fp").to_numpy(), return_counts=True)
+                fps.append(fp)
+                counts.append(n)
             columns = [batch.column("doc_id"), batch.column("part")]
             columns += [pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "span_start", "span_end"])
+            columns += [pa.array(fps, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "span_start", "span_end", "fps", "counts"])
 
     return run
 
@@ -167,18 +179,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of postings below a folder that driver and executors share.
+    """Immutable runs of postings below a folder that driver and executors share, bucketed and sorted by fingerprint.
 
     ``path``: an index left there is opened again.  ``fanout``: so many runs of one level are
-    merged into one of the next.
+    merged into one of the next.  ``buckets``: of each run; of an index opened again, those it has
+    (default: the number of shuffle partitions).
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
+    def __init__(
+        self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT,
+        buckets: int | None = None,
+    ):
         if not 0 < gram <= window:
             raise ValueError("gram must be from 1 to window")
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
         self.path = path or scratch_path(spark, "index")
-        self.runs: list[tuple[int, str]] = self._found()
+        self.tables: dict[str, str] = {}
+        found = self._found()
+        self.buckets = int(found[0][1].rsplit("-", 1)[1]) if found else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[tuple[int, str]] = found
 
     def _found(self) -> list[tuple[int, str]]:
         folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -187,28 +206,51 @@ class FingerprintIndex:
         done = [n for n in names if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
         return sorted((int(n.split("-")[1]), f"{self.path}/{n}") for n in done if n.startswith("run-"))
 
+    def _bucketed(self, postings: DataFrame, path: str) -> None:
+        """Write a table at ``path``: one sorted file for each bucket."""
+        rows = postings.repartition(self.buckets, "fp").sortWithinPartitions("fp", "doc_id")
+        name = self._name(path)
+        rows.write.bucketBy(self.buckets, "fp").sortBy("fp", "doc_id").option("path", path).format("parquet").saveAsTable(name)
+
+    def _name(self, path: str) -> str:
+        return self.tables.setdefault(path, f"granary_run_{uuid.uuid4().hex}")
+
     def _write(self, level: int, postings: DataFrame) -> str:
-        used = [int(p.rsplit("-", 1)[1]) for _, p in self.runs]
-        path = f"{self.path}/run-{level}-{max(used, default=-1) + 1:06d}"
-        postings.repartition("fp").sortWithinPartitions("fp", "doc_id").write.parquet(path)
+        used = [int(p.rsplit("-", 2)[1]) for _, p in self.runs]
+        path = f"{self.path}/run-{level}-{max(used, default=-1) + 1:06d}-{self.buckets}"
+        self._bucketed(postings, path)
         self.runs.append((level, path))
         return path
 
     def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("fp long, doc_id long, part int").parquet(path)
+        """A run as a bucketed table of this session's catalog."""
+        name = self._name(path)
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(
+                f"create table {name} ({_POSTING}) using parquet clustered by (fp) sorted by (fp, doc_id) "
+                f"into {self.buckets} buckets location '{path}'"
+            )
+        return self.spark.table(name)
+
+    def _remove(self, path: str) -> None:
+        self.spark.sql(f"drop table if exists {self._name(path)}")
+        self.tables.pop(path)
+        drop_path(self.spark, path)
+
+    def remove(self) -> None:
+        """Remove the index and all that it has below ``path``."""
+        for _, path in self.runs:
+            self._remove(path)
+        self.runs = []
+        drop_path(self.spark, self.path)
 
     def postings(self) -> DataFrame:
         """All postings of all runs."""
-        out = self.spark.createDataFrame([], "fp long, doc_id long, part int")
+        out = self.spark.createDataFrame([], _POSTING)
         for _, path in self.runs:
             out = out.unionByName(self._read(path))
         return out
 
-    def append(self, docs: DataFrame) -> str:
-        """Write the postings of documents as a run of level 0; rows with a null id have none."""
-        rows = _keyed(docs).filter("doc_id is not null and text is not null")
-        return self._write(0, rows.mapInArrow(tidy(_postings(self.window, self.gram)), "fp long, doc_id long, part int"))
-
     def compact(self) -> None:
         """Merge runs while some level has ``fanout`` of them."""
         while full := [lv for lv in {lv for lv, _ in self.runs} if sum(x == lv for x, _ in self.runs) >= self.fanout]:
@@ -217,62 +259,81 @@ class FingerprintIndex:
             merged = self._read(old[0][1])
             for _, path in old[1:]:
                 merged = merged.unionByName(self._read(path))
-            self._write(level + 1, merged.distinct())
+            self._write(level + 1, merged.dropDuplicates(["fp", "doc_id", "part"]))
             self.runs = [r for r in self.runs if r not in old]
             for _, path in old:
-                drop_path(self.spark, path)
+                self._remove(path)
+
+    def known(self, new: DataFrame, run: str) -> DataFrame:
+        """(fp, doc_id, part) of a run for the fingerprints that the bucketed postings ``new`` have, too.
+
+        A merge join of two tables bucketed alike: neither side is exchanged.
+        """
+        return self._read(run).hint("merge").join(new.select("fp").distinct(), "fp").select("fp", "doc_id", "part")
 
     def deduplicate(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Add a batch and remove from it what documents with smaller ids have, in it or before it.
 
-        ``history``: the documents indexed so far, for the comparison of their texts.  One row
+        ``history``: the documents indexed so far, for the windows of those that the index finds.  One row
         per row of the batch: ``doc_id``, ``n_words``, ``n_removed``, ``kept_text`` and the removed
         word spans ``span_start[i]:span_end[i]`` (null: none).  Null and empty texts have no
         words; rows with a null id keep all words and take none from others; rows that repeat
-        an id are compared by text, and none of them is earlier than another.
+        an id are compared by text, and none of them is earlier than another; an empty batch
+        gives no rows.
         """
-        run = self._read(self.append(batch))
-        known = self.postings()
-        new = run.select("fp").distinct().withColumn("new", F.lit(True)) if history is not None else None
-        ends = known.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        shared = ends.filter("lo < hi").select("fp")
-        if new is not None:
-            shared = shared.join(new, "fp", "left_semi")
-        lists = cut(known.join(shared, "fp").groupBy("doc_id", "part").agg(F.collect_set("fp").alias("fps")), "fps")
-        size = lists.agg(F.sum(F.size("fps") * 8 + 48)).first()[0] or 0
-        rows = _keyed(batch) if history is None else _keyed(batch).unionByName(_keyed(history))
-        windows = (
-            rows.filter("text is not null")
-            .join(small(lists, size), ["doc_id", "part"])
-            .mapInArrow(tidy(_windows(self.window, self.gram)), "fp long, w long, doc_id long, part int, pos int")
-        )
-        first = windows.groupBy("fp", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+        fresh = f"{self.path}/batch-{uuid.uuid4().hex}"
+        rows = _keyed(batch).filter("doc_id is not null and text is not null")
+        self._bucketed(rows.mapInArrow(tidy(_postings(self.window, self.gram)), _POSTING), fresh)
+        new = self._read(fresh)
+        found = self.spark.createDataFrame([], "fp long, doc_id long, part int")
+        for _, path in self.runs if history is not None else []:
+            found = found.unionByName(self.known(new, path))
+        found = cut(found, "known")
+        ends = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        shared = cut(ends.filter("lo < hi").select("fp").union(found.select("fp")).distinct(), "shared")
+        mine = new.join(small(shared, shared.count() * 16), "fp", "left_semi")
+        windows = self._windows_of(_keyed(batch), mine)
+        every = windows
+        if history is not None and not found.isEmpty():
+            every = windows.unionByName(self._windows_of(_keyed(history), found))
+        first = every.groupBy("fp", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
         first = cut(first.drop("hi"), "first")  # read anew, so that the join below can split a hot window
         later = windows.join(first, ["fp", "w"]).filter("doc_id > lo")
-        if history is not None:
-            low, high = batch.agg(F.min("doc_id"), F.max("doc_id")).first()
-            later = later.filter(F.col("doc_id").between(low, high)) if low is not None else later.limit(0)
-        spans = cut(
-            later.groupBy("doc_id", "part").agg(F.collect_list("pos").alias("pos"))
-            .mapInArrow(_spans(self.window), "doc_id long, part int, span_start array<int>, span_end array<int>"),
-            "spans",
-        )
-        drop(lists)
-        drop(first)
-        size = spans.agg(F.sum(F.size("span_start") * 8 + 48)).first()[0] or 0
+        spans = later.groupBy("doc_id", "part").agg(F.collect_list(F.struct("fp", "pos")).alias("found"))
+        spans = cut(spans.mapInArrow(tidy(_spans(self.window)), _SPANS), "spans")
+        drop(found, shared, first, *self._lists)
+        self._lists = []
+        covered = spans.select("doc_id", "part", F.explode(F.arrays_zip("fps", "counts")).alias("x"))
+        covered = covered.select(F.col("x.fps").alias("fp"), "doc_id", "part", F.col("x.counts").alias("n"))
+        self._write(0, new.join(covered, ["fp", "doc_id", "part", "n"], "left_anti"))
+        self._remove(fresh)
         self.compact()
+        size = spans.agg(F.sum(F.size("span_start") * 8 + 48)).first()[0] or 0
+        spans = spans.drop("fps", "counts")
         return _keyed(batch).join(small(spans, size), ["doc_id", "part"], "left").mapInArrow(
-            _without,
+            tidy(_without),
             "doc_id long, n_words long, n_removed long, kept_text string, span_start array<int>, span_end array<int>",
         )
 
+    _lists: list[DataFrame] = []
+
+    def _windows_of(self, rows: DataFrame, postings: DataFrame) -> DataFrame:
+        """Hashed windows under the given postings, from the texts of their documents only."""
+        lists = cut(postings.groupBy("doc_id", "part").agg(F.collect_set("fp").alias("fps")), "fps")
+        self._lists = [*self._lists, lists]
+        size = lists.agg(F.sum(F.size("fps") * 8 + 48)).first()[0] or 0
+        texts = rows.filter("text is not null").join(small(lists, size), ["doc_id", "part"])
+        return texts.mapInArrow(tidy(_windows(self.window, self.gram)), "fp long, w long, doc_id long, part int, pos int")
+
 
-def deduplicate_substrings(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Whole table in ``batches`` steps of rising ``doc_id`` through one index (see ``deduplicate``)."""
+def deduplicate_substrings(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Whole table in ``batches`` steps of rising ``doc_id`` through one index (see ``deduplicate``), which is removed at the end."""
     index = FingerprintIndex(docs.sparkSession, window=window, gram=gram)
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
-        return index.deduplicate(docs)
+        out = index.deduplicate(docs)
+        index.remove()
+        return out
     edges = [low + (high + 1 - low) * i // batches for i in range(1, batches)]
     edges = sorted({e for e in edges if low < e <= high})
     out = None
@@ -282,6 +343,7 @@ def deduplicate_substrings(docs: DataFrame, batches: int = 2, window: int = WIND
         batch = docs.filter(inside | F.col("doc_id").isNull() if i == 0 else inside)
         part = index.deduplicate(batch, docs.filter(F.col("doc_id") < a) if i else None)
         out = part if out is None else out.unionByName(part)
+    index.remove()
     return out
 
 

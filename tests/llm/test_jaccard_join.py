@@ -102,3 +102,23 @@ def test_large_bucket_that_is_no_component_is_settled(spark):
         rows.append((i, " ".join(shared + own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(jj.JaccardJoin(df).components()) == brute(rows)
+
+
+def test_bucket_whose_links_are_all_away_from_its_star(spark, monkeypatch):
+    """Links within a bucket that don't touch its least document are found by settling it."""
+    rows, found = [], []
+    shared = " ".join(f"s{i}" for i in range(12))
+    for k in range(8):
+        base = [f"o{k}x{i}" for i in range(60)]
+        rows += [(10 * k, shared + " " + " ".join(base)), (10 * k + 1, shared + " " + " ".join([*base[:-3], "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    join = jj.JaccardJoin(df)
+    one = [{"m": i, "s": 2 * 48 + 1} for i, _ in rows]
+    monkeypatch.setattr(join, "_signed", lambda often, seed: spark.createDataFrame([(0, 77, one)], "a long, b long, members array<struct<m: long, s: int>>"))
+    assert got(join.components()) == brute(rows)
+
+
+def test_low_thresholds_end_and_are_exact(spark):
+    rows = corpus(6, 60, vocabulary=15, longest=30, copies=0.7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert got(jj.JaccardJoin(df, num=25).components()) == brute(rows, 25)

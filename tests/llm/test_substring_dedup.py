@@ -49,3 +49,36 @@ def test_index_grows_compacts_and_opens_again(spark, tmp_path):
         before = p if before is None else before.unionByName(p)
     assert sorted(out, key=str) == brute(rows, 6)
     assert [level for level, _ in index.runs] == [2]
+
+
+def test_history_is_merged_where_it_lies(spark, tmp_path):
+    """The join of a batch with a run reads buckets and exchanges neither side."""
+    rows = corpus(8, 90, vocabulary=10, longest=40, copies=0.6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = sd.FingerprintIndex(spark, f"file://{tmp_path}/index", window=6, gram=3, buckets=4)
+    for a, b in ((0, 90), (90, 180)):
+        index.deduplicate(df.filter(f"doc_id > {a} and doc_id <= {b}"), df.filter(f"doc_id <= {a}"))
+    old, new = (path for _, path in index.runs)
+    found = index.known(index._read(new), old)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2
+
+
+def test_postings_that_an_earlier_document_has_are_left_out(spark):
+    """A passage that many documents have keeps the postings of the first."""
+    shared = " ".join(f"s{k}" for k in range(40))
+    rows = [(i, f"{shared} own{i} " + " ".join(f"o{i}x{k}" for k in range(9))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = sd.FingerprintIndex(spark, window=8, gram=4)
+    out = []
+    for a, b in ((-1, 9), (9, 19), (19, 29)):
+        out += got(index.deduplicate(df.filter(f"doc_id > {a} and doc_id <= {b}"), df.filter(f"doc_id <= {a}") if a > 0 else None))
+    assert sorted(out, key=str) == brute(rows, 8)
+    hot = index.postings().groupBy("fp").count()
+    assert hot.agg({"count": "max"}).first()[0] == 1
+    path = index.path.removeprefix("file:")
+    index.remove()
+    import os
+
+    assert not os.path.exists(path)
