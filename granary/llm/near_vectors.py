@@ -1,17 +1,19 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 1. Equal vectors become one vertex with a weight (pre-aggregated).
-2. Centroids are fitted on a bounded sample; each vertex belongs to its two nearest clusters,
-   so clusters overlap.  A cluster over ``unit_rows`` is cut into blocks, and each pair of blocks
-   makes a unit, so no task holds more than two blocks.
-3. In each unit a graph is built by inserting vertices in doubling batches: a greedy search
+2. Centroids are fitted on a bounded sample, in two levels beyond CLUSTERS of them, so that a cluster has
+   about CLUSTER_ROWS vertices however many there are.  Each vertex is a member of its ``overlap``
+   nearest clusters, so clusters overlap, and a visitor of VISITS more.  A cluster over ``unit_rows`` is cut into blocks, and each
+   pair of blocks makes a unit, so no task holds more than two blocks and their visitors.
+3. In each unit a graph is built of its members by inserting them in doubling batches: a greedy search
    from the medoid gives candidates, robust pruning keeps those that no kept one is nearer to
    by the factor ``alpha``.
 4. The adjacency lists that a vertex has in several units are united.
-5. Every vertex searches its units on the united lists, greedily from the medoid; from each vertex in
-   range found, the search goes on over its neighbours until nothing more is in range.
+5. Every vertex searches the units that it belongs to or visits on the united lists, greedily from the medoid; from each vertex in
+   range found, the search goes on over its neighbours until nothing more is in range.  So a pair is met
+   where either end belongs to a cluster that the other belongs to or visits.
 6. Pairs found are verified by cosine in double precision and counted once, in the least
-   cluster that both ends belong to.
+   cluster in which they can meet.
 7. Recall is audited against brute force over all vertices, for growing blocks of vertices, until
    linked ones of ``AUDITED_GROUPS`` groups were seen or all vertices are used.  It is the least
    of three shares: of links, of each linked vertex's pairs, and of each group's pairs.  Under
@@ -26,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, drop, scratch_path, small
+from .common import BROADCAST_BYTES, cut, drop, scratch_path, small, tidy
 from .components import connected_components
 
 COSINE, RECALL = 0.95, 0.9
 CLUSTER_ROWS, UNIT_ROWS, CLUSTERS, FIT_ROWS, OVERLAP = 1_500, 4_096, 1_024, 20_000, 2
+#: Clusters that a vertex visits beside its own; those of the upper level in which it looks for them; rows that the centroids of each are fitted on.
+VISITS, UPPER, LOWER_FIT_ROWS = 2, 2, 5_000
 DEGREE, BEAM, ALPHA, BATCH = 24, 32, 1.2, 512
 #: Vertices in the first block of an audit (it doubles up to BLOCK_ROWS), and groups that it has to see.
 AUDITED, AUDITED_GROUPS, BLOCK_ROWS = 256, 100, 4_096
@@ -43,6 +47,8 @@ EXACT_ROWS = 20_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, as squares of large ones overflow and of small ones vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -136,16 +142,20 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     return graph, medoid
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, start: int, least: float, beam: int) -> np.ndarray:
-    """Boolean matrix of the pairs with cosine over ``least`` that greedy search and expansion find."""
+def range_search(x: np.ndarray, graph: np.ndarray, start: int, least: float, beam: int, queries: np.ndarray | None = None) -> np.ndarray:
+    """Boolean matrix (queries by vertices) of the pairs with cosine over ``least`` that greedy search and expansion find.
+
+    ``queries``: the vertices themselves, then any others (default: none).
+    """
     n = len(x)
-    found = np.zeros((n, n), dtype=bool)
-    for i in range(0, n, BATCH):
-        ids, near = greedy_search(x, graph, start, x[i : i + BATCH], beam)
+    queries = x if queries is None else queries
+    found = np.zeros((len(queries), n), dtype=bool)
+    for i in range(0, len(queries), BATCH):
+        ids, near = greedy_search(x, graph, start, queries[i : i + BATCH], beam)
         for q in range(len(ids)):
             me = i + q
-            good = ids[q][(near[q] >= least) & (ids[q] >= 0)]
-            front = np.unique(np.r_[good, me])
+            front = ids[q][(near[q] >= least) & (ids[q] >= 0)]
+            front = np.unique(np.r_[front, me]) if me < n else front
             seen = np.zeros(n, dtype=bool)
             seen[front] = True
             while len(front):
@@ -154,9 +164,10 @@ def range_search(x: np.ndarray, graph: np.ndarray, start: int, least: float, bea
                 more = np.unique(more[more >= 0])
                 more = more[~seen[more]]
                 seen[more] = True
-                front = more[x[more] @ x[me] >= least]
-    np.fill_diagonal(found, False)
-    return found | found.T
+                front = more[x[more] @ queries[me] >= least]
+    np.fill_diagonal(found[:n], False)
+    found[:n] |= found[:n].T
+    return found
 
 
 def _table(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -178,43 +189,57 @@ def _build(degree: int, beam: int, alpha: float):
     return run
 
 
-def _search(least: float, beam: int):
+def _meeting(clusters: np.ndarray, u: int, v: np.ndarray, overlap: int) -> np.ndarray:
+    """Least cluster that u or each of v belongs to and the other belongs to or visits."""
+    mine, theirs = clusters[u], clusters[v]
+    far = np.int64(1) << 62
+    a = np.where((theirs[:, :overlap, None] == mine[None, None, :]).any(axis=2), theirs[:, :overlap], far)
+    b = np.where((theirs[:, :, None] == mine[None, None, :overlap]).any(axis=2), theirs, far)
+    return np.minimum(a.min(axis=1), b.min(axis=1))
+
+
+def _search(least: float, beam: int, overlap: int):
     def run(unit: pa.Table) -> pa.Table:
+        unit = unit.take(pa.array(np.argsort(~unit.column("member").to_numpy(), kind="stable")))  # members first
         ids, x = _table(unit)
-        n = len(ids)
-        lists = unit.column("near").combine_chunks()
-        size = lists.value_lengths().fill_null(0).to_numpy()
-        to = lists.flatten().to_numpy()
-        order = np.argsort(ids)
-        k = np.minimum(np.searchsorted(ids, to, sorter=order), n - 1)
-        to = np.where(ids[order[k]] == to, order[k], -1)
-        graph = np.full((n, max(1, int(size.max()))), -1, dtype=np.int64)
-        row = np.repeat(np.arange(n), size)
-        graph[row, np.arange(len(to)) - np.repeat(np.cumsum(size) - size, size)] = to
-        low = x.astype(np.float32)
-        found = range_search(low, graph, int(np.argmax(low @ low.mean(axis=0))), least - 1e-4, beam)
-        weight = unit.column("weight").to_numpy()
-        block = unit.column("block").to_numpy()
-        first, second = int(unit.column("b1")[0].as_py()), int(unit.column("b2")[0].as_py())
-        cluster = int(unit.column("cluster")[0].as_py())
-        homes = unit.column("homes").combine_chunks()
-        homes = homes.flatten().to_numpy().reshape(n, -1)
-        links, pairs = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        near: list[np.ndarray] = []
-        for u in range(n):
-            v = np.flatnonzero(found[u])
-            v = v[x[v] @ x[u] >= least]
-            near.append(v)
-            common = np.where((homes[v][:, :, None] == homes[u][None, None, :]).any(axis=2), homes[v], np.int64(1) << 62)
-            mine = (common.min(axis=1) == cluster) & ((first == second) | (block[v] != block[u])) if len(v) else v
-            links[u] = weight[v[mine]].sum() if len(v) else 0
-            pairs[u] = len(v[mine])
-        label = ids.copy()
-        while True:
-            new = np.array([min(label[u], label[v].min()) if len(v) else label[u] for u, v in enumerate(near)])
-            if (new == label).all():
-                break
-            label = new
+        n, k = len(ids), int(unit.column("member").to_numpy().sum())
+        links, pairs, label = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), ids.copy()
+        if k:
+            lists = unit.column("near").combine_chunks().slice(0, k)
+            size = lists.value_lengths().fill_null(0).to_numpy()
+            to = lists.flatten().to_numpy()
+            order = np.argsort(ids[:k])
+            at = np.minimum(np.searchsorted(ids[:k], to, sorter=order), k - 1)
+            to = np.where(ids[order[at]] == to, order[at], -1)
+            graph = np.full((k, max(1, int(size.max()))), -1, dtype=np.int64)
+            graph[np.repeat(np.arange(k), size), np.arange(len(to)) - np.repeat(np.cumsum(size) - size, size)] = to
+            low = x.astype(np.float32)
+            found = range_search(low[:k], graph, int(np.argmax(low[:k] @ low[:k].mean(axis=0))), least - 1e-4, beam, low)
+            weight, block = unit.column("weight").to_numpy(), unit.column("block").to_numpy()
+            one_block = unit.column("b1")[0] == unit.column("b2")[0]
+            cluster = unit.column("cluster")[0].as_py()
+            clusters = unit.column("clusters").combine_chunks()
+            clusters = clusters.flatten().to_numpy().reshape(n, -1)
+            near: list[np.ndarray] = []
+            for u in range(n):
+                v = np.flatnonzero(found[u])
+                v = v[x[v] @ x[u] >= least]
+                near.append(v)
+                if len(v):
+                    mine = v[(_meeting(clusters, u, v, overlap) == cluster) & (one_block | (block[v] != block[u]))]
+                    links[u] += weight[mine].sum()
+                    pairs[u] += len(mine)
+                    if u >= k:  # members don't look for visitors
+                        links[mine] += weight[u]
+                        pairs[mine] += 1
+            while True:
+                before = label.copy()
+                for u, v in enumerate(near):
+                    if len(v):
+                        label[u] = min(label[u], label[v].min())
+                        label[v] = np.minimum(label[v], label[u])
+                if (before == label).all():
+                    break
         return pa.table({"vid": pa.array(ids), "links": pa.array(links), "pairs": pa.array(pairs), "root": pa.array(label)})
 
     return run
@@ -234,6 +259,7 @@ class NearVectors:
     def __init__(self, vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, unit_rows: int = UNIT_ROWS):
         self.spark, self.cosine, self.recall, self.unit_rows = vectors.sparkSession, cosine, recall, unit_rows
         self.audited = 1.0
+        self._tables: list[DataFrame] = []
         v = F.transform("embedding", lambda e: e.cast("double"))
         rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
         bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
@@ -243,38 +269,104 @@ class NearVectors:
         #: One vertex for each distinct vector.
         self.vertices = cut(groups.withColumn("vid", F.monotonically_increasing_id()), "vertices")
 
-    def _units(self, rows: DataFrame, n: int, overlap: int) -> DataFrame:
-        """Rows of units: a vertex once for each unit that it is in."""
-        k = max(1, min(CLUSTERS, -(-n // CLUSTER_ROWS)))
+    def _clusters(self, rows: DataFrame, n: int, keep: int) -> DataFrame:
+        """vid, v, weight and ``clusters``: the numbers of the ``keep`` nearest clusters (fewer if there are fewer), nearest first."""
+        k = max(1, -(-n // CLUSTER_ROWS))
         sample = rows.orderBy(F.xxhash64("vid"), "vid").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()
         x = _unit(sample.flatten().to_numpy().reshape(len(sample), -1))
-        shared = self.spark.sparkContext.broadcast(fit_centroids(x, min(k, len(x))))
-        keep = min(overlap, min(k, len(x)))
+        upper = min(k, CLUSTERS, len(x))
+        shared = self.spark.sparkContext.broadcast(fit_centroids(x, upper))
+        lower = min(-(-k // upper), CLUSTERS)
+        near = min(keep if lower == 1 else UPPER, upper)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, x = _table(pa.Table.from_batches([batch]))
-                near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :keep].astype(np.int64)
-                lists = pa.array(list(near), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "homes"])
-
-        homes = rows.select("vid", "v", "weight").mapInArrow(assign, "vid long, v array<double>, weight long, homes array<long>")
-        homes = cut(homes, "homes")
-        sizes = homes.select(F.explode("homes").alias("cluster")).groupBy("cluster").agg(F.count("*").alias("size"))
+                _, x = _table(pa.Table.from_batches([batch]))
+                lists = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :near].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(lists), pa.list_(pa.int64()))], names=[*batch.schema.names, "clusters"])
+
+        rows = rows.select("vid", "v", "weight").mapInArrow(tidy(assign), "vid long, v array<double>, weight long, clusters array<long>")
+        rows = self._cut(rows, "clusters")
+        return rows if lower == 1 else self._lower_clusters(rows, upper, lower, keep, x.shape[1])
+
+    def _lower_clusters(self, rows: DataFrame, upper: int, lower: int, keep: int, width: int) -> DataFrame:
+        """The same from a second level: each upper cluster has centroids of its own, fitted on a bounded sample of its
+        rows; they are sent for so many upper clusters at a time as the bound of a broadcast allows."""
+        mine = rows.select(F.get("clusters", F.lit(0)).alias("top"), "vid", "v")
+        place = F.row_number().over(Window.partitionBy("top").orderBy(F.xxhash64("vid"), "vid"))
+        sample = mine.withColumn("place", place).filter(F.col("place") <= LOWER_FIT_ROWS).select("top", "vid", "v")
+
+        def fit(group: pa.Table) -> pa.Table:
+            ids, x = _table(group)
+            c = fit_centroids(x[np.argsort(ids)], min(lower, len(x)))
+            top = group.column("top")[0].as_py()
+            return pa.table({"top": pa.array([top] * len(c), pa.int64()), "c": pa.array(list(c), pa.list_(pa.float64()))})
+
+        fitted = self._cut(sample.groupBy("top").applyInArrow(fit, "top long, c array<double>"), "centroids")
+        some = max(1, BROADCAST_BYTES // (8 * width * lower))
+        path = scratch_path(self.spark, "nearest")
+        for first in range(0, upper, some):
+            inside = fitted.filter(F.col("top").between(first, first + some - 1)).toArrow()
+            tops, c = inside.column("top").to_numpy(), inside.column("c").combine_chunks().flatten().to_numpy().reshape(-1, width)
+            shared = self.spark.sparkContext.broadcast({int(t): c[tops == t] for t in np.unique(tops)})
+
+            def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    ids, x = _table(pa.Table.from_batches([batch]))
+                    tops = batch.column("top").to_numpy()
+                    for t in np.unique(tops).tolist():
+                        if (c := shared.value.get(t)) is None:
+                            continue
+                        on = np.flatnonzero(tops == t)
+                        cosine = x[on] @ c.T
+                        best = np.argsort(-cosine, axis=1, kind="stable")[:, :keep]
+                        columns = [np.repeat(ids[on], best.shape[1]), (t * CLUSTERS + best).ravel(), -np.take_along_axis(cosine, best, axis=1).ravel()]
+                        yield pa.RecordBatch.from_arrays([pa.array(a) for a in columns], names=["vid", "cluster", "far"])
+
+            looking = rows.select("vid", "v", F.explode("clusters").alias("top")).filter(F.col("top").between(first, first + some - 1))
+            looking.mapInArrow(tidy(nearest), "vid long, cluster long, far double").write.mode("append").parquet(path)
+            shared.destroy()
+        found = self.spark.read.schema("vid long, cluster long, far double").parquet(path)
+        self._tables.append(found)
+        best = F.slice(F.array_sort(F.collect_list(F.struct("far", "cluster"))), 1, keep)
+        # lists are as long as each other: the last cluster is repeated where fewer were found
+        best = found.groupBy("vid").agg(best.alias("best")).select("vid", F.col("best.cluster").alias("clusters"))
+        full = F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), lambda i: F.get("clusters", F.least(i, F.size("clusters") - 1)))
+        return self._cut(rows.drop("clusters").join(best, "vid").select("vid", "v", "weight", full.alias("clusters")), "clusters")
+
+    def _units(self, rows: DataFrame, n: int, overlap: int) -> DataFrame:
+        """Rows of units: a vertex once for each unit that it belongs to or visits."""
+        rows = self._clusters(rows, n, overlap + VISITS)
+        at = F.posexplode(F.array_distinct("clusters")).alias("place", "cluster")
+        rows = rows.select("vid", "v", "weight", "clusters", at).withColumn("member", F.col("place") < overlap)
+        sizes = rows.filter("member").groupBy("cluster").agg(F.count("*").alias("size"))
         blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / self.unit_rows)).cast("int")
-        sizes = sizes.select("cluster", blocks.alias("m"))
-        rows = homes.withColumn("cluster", F.explode("homes")).join(F.broadcast(sizes), "cluster")  # one row a cluster, at most CLUSTERS
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("vid"), F.col("m")).cast("int"))
-        others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("block", j).alias("b1"), F.greatest("block", j).alias("b2")))
-        return rows.withColumn("p", F.explode(others)).select("vid", "v", "weight", "homes", "cluster", "block", "p.b1", "p.b2")
+        sizes = self._cut(sizes.select("cluster", blocks.alias("m")), "sizes")
+        rows = rows.join(small(sizes, sizes.count() * 12), "cluster")
+        rows = rows.withColumn("block", F.when(F.col("member"), F.pmod(F.xxhash64("vid"), F.col("m")).cast("int")).otherwise(-1))
+        every = F.sequence(F.lit(0), F.col("m") - 1)
+        pairs = F.transform(every, lambda j: F.struct(F.least("block", j).alias("b1"), F.greatest("block", j).alias("b2")))
+        visits = F.transform(every, lambda j: F.struct(j.alias("b1"), j.alias("b2")))
+        rows = rows.withColumn("p", F.explode(F.when(F.col("member"), pairs).otherwise(visits)))
+        return rows.select("vid", "v", "weight", "clusters", "cluster", "member", "block", "p.b1", "p.b2")
 
     def _links(self, rows: DataFrame, n: int, overlap: int, beam: int) -> DataFrame:
         units = self._units(rows, n, overlap)
         unit = ["cluster", "b1", "b2"]
-        built = units.groupBy(*unit).applyInArrow(_build(DEGREE, beam, ALPHA), "vid long, near array<long>")
-        near = cut(built.groupBy("vid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-        searched = units.join(near, "vid").groupBy(*unit).applyInArrow(_search(self.cosine, beam), "vid long, links long, pairs long, root long")
-        return cut(searched, "found")
+        built = units.filter("member").groupBy(*unit).applyInArrow(_build(DEGREE, beam, ALPHA), "vid long, near array<long>")
+        near = self._cut(built.groupBy("vid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+        searched = units.join(near, "vid", "left").groupBy(*unit).applyInArrow(
+            _search(self.cosine, beam, overlap), "vid long, links long, pairs long, root long"
+        )
+        found = cut(searched, "found")
+        drop(*self._tables)
+        self._tables = []
+        return found
+
+    def _cut(self, df: DataFrame, what: str) -> DataFrame:
+        """A table that goes once the links are found."""
+        self._tables.append(cut(df, what))
+        return self._tables[-1]
 
     def _blocks(self, rows: DataFrame, n: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All vertices in the order of a hash, in blocks of about ``first`` rows, doubling to the bound."""
@@ -368,7 +460,7 @@ class NearVectors:
         return self.spark.read.schema(schema).parquet(path)
 
     def result(self) -> DataFrame:
-        """vec_id, n_links, component_id and kept of every row."""
+        """vec_id, n_links, component_id, kept and the audited ``recall`` of all links, for every row."""
         lengths = [r[0] for r in self.vertices.groupBy(F.size("v").alias("d")).count().filter("count > 1").select("d").orderBy("d").collect()]
         found, roots, recalls = None, None, []
         for d in lengths:
@@ -402,12 +494,12 @@ class NearVectors:
         component = F.coalesce("component_id", "vec_id")
         return joined.select(
             "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-            F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+            F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(self.audited).alias("recall"),
         )
 
 
 def op10_near_vectors(vectors: DataFrame) -> DataFrame:
-    return NearVectors(vectors).result()
+    return NearVectors(vectors).result().drop("recall")
 
 
 ORACLE = r"""

@@ -110,3 +110,44 @@ def test_audit_stops_at_enough_groups(spark, monkeypatch):
     rows = vectors(8, 300)
     assert got(nv.NearVectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).result()) == brute(rows)
     assert 0 < sum(blocks) < 250
+
+
+def planted(seed, n, groups, d=24):
+    """n spread vectors and ``groups`` groups of 2 to 40 near copies around new centres."""
+    rnd = np.random.default_rng(seed)
+    x = [rnd.normal(size=(n, d))]
+    for _ in range(groups):
+        size = int(rnd.choice([2, 3, 5, 12, 40]))
+        x.append(rnd.normal(size=(1, d)) + rnd.normal(size=(size, d)) * rnd.choice([0.02, 0.12]))
+    x = np.concatenate(x)[rnd.permutation(n + sum(len(g) for g in x[1:]))]
+    return [(i, v.tolist()) for i, v in enumerate(x)]
+
+
+@pytest.mark.parametrize("clusters", [1_024, 4])
+def test_planted_groups_over_many_clusters(spark, monkeypatch, clusters):
+    """The graph search alone, without the exact pass, over one and two levels of clusters: thousands of pairs."""
+    monkeypatch.setattr(nv, "CLUSTER_ROWS", 250)
+    monkeypatch.setattr(nv, "CLUSTERS", clusters)
+    monkeypatch.setattr(nv, "EXACT_ROWS", 0)
+    rows = planted(11, 2_000, 120)
+    x = np.array([e for _, e in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() > 4_000
+    join = nv.NearVectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    tried = []
+    links = join._links
+    monkeypatch.setattr(join, "_links", lambda r, n, o, b: tried.append(links(r, n, o, b)) or tried[-1])
+    got_ = {r.vec_id: r for r in join.result().collect()}
+    assert len(tried) == 1 and join.audited >= 0.9
+    assert all(r.recall == join.audited for r in got_.values())
+    n_links = np.array([got_[i].n_links for i in range(len(rows))])
+    assert (n_links <= near.sum(axis=1)).all() and n_links.sum() >= 0.98 * near.sum()
+
+
+def test_large_and_small_components_do_not_overflow(spark):
+    rows = [(1, [1e200, 1e200]), (2, [3e-200, 3e-200]), (3, [1.0, 1.0]), (4, [1e300, -1e300])]
+    out = nv.op10_near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got(out) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+    assert "recall" not in out.columns
