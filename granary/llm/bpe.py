@@ -9,8 +9,10 @@ so a token is stable, and leaves the transducer, once all those prefixes lead ba
 What is held is bounded by that lookahead, not by the text.
 
 Before that, texts are cut into pre-tokens by the vocabulary's pattern, chunk by chunk; a
-pre-token is stable if it ends two characters before the end of what was read.  Pre-tokens of
-ordinary length are remembered with their ids in a table of bounded size.
+pre-token is stable if it ends two characters before the end of what was read.  A pre-token
+that goes on over chunks is fed to the transducer as it comes, by the class of characters that carries it on, so
+neither a text nor a pre-token is held whole.  Pre-tokens of ordinary length are remembered with
+their ids in a table of bounded size; those within the lookahead are settled from their end.
 """
 
 from __future__ import annotations
@@ -92,6 +94,8 @@ class Vocabulary:
         self.pattern = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         )
+        #: What carries on a pre-token that began with a character of the class; white space leaves its last character.
+        self.classes = [(regex.compile(first), regex.compile(on)) for first, on in ((r" ?\p{L}", r"\p{L}+"), (r" ?\p{N}", r"\p{N}+"), (r" ?[^\s\p{L}\p{N}]", r"[^\s\p{L}\p{N}]+"), (r"\s", r"\s+"))]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.known_fits: dict[int, bool] = {}
 
@@ -270,10 +274,14 @@ class Codec:
 
     def encode_stream(self, chunks: Iterable[str]) -> Iterator[bytes]:
         """Ids (unsigned 32 bits, little-endian) of a text without added tokens that comes in chunks."""
-        held = ""
+        held, going = "", None  # the class of a pre-token of which a part was fed
+        transducer = Transducer(self.v)
         for chunk in chunks:
             held += chunk
-            if len(held) < CHUNK:
+            if going is not None:
+                ids, held, going = self._carry_on(transducer, held, going, False)
+                yield _packed(ids)
+            if len(held) < CHUNK or going is not None:
                 continue
             words = self.v.cut(held)
             end, n = len(held), len(words)
@@ -282,8 +290,28 @@ class Codec:
                 end -= len(words[n])
             yield b"".join(map(self.memory.__getitem__, words[:n]))
             held = held[end:]
+            if len(held) >= CHUNK // 2:
+                going = next(on for first, on in self.v.classes if first.match(held))
+                lead = 1 if held[0] == " " and not going.match(held) else 0  # a space before the class's characters
+                ids = transducer.feed(held[:lead].encode())
+                more, held, going = self._carry_on(transducer, held[lead:], going, False)
+                yield _packed(ids + more)
+        if going is not None:
+            ids, held, _ = self._carry_on(transducer, held, going, True)
+            yield _packed(ids)
         yield b"".join(map(self.memory.__getitem__, self.v.cut(held)))
 
+    def _carry_on(self, transducer: Transducer, held: str, going: regex.Pattern, last: bool) -> tuple[list[int], str, regex.Pattern | None]:
+        """Feed what of ``held`` belongs to the pre-token that is going on: (ids, what is left, the class if it still goes on)."""
+        end = m.end() if (m := going.match(held)) else 0
+        space = going is self.v.classes[-1][1]
+        if end == len(held) and not last:
+            keep = max(0, end - 1) if space else end
+            return transducer.feed(held[:keep].encode()), held[keep:], going
+        if space and end < len(held):
+            end = max(0, end - 1)
+        return transducer.feed(held[:end].encode()) + transducer.finish(), held[end:], None
+
     def encode(self, text: str) -> bytes:
         out = []
         for piece in self.v.split.split(text) if self.added else [text]:

@@ -77,3 +77,32 @@ def test_settled_on_demand_equals_settled_in_turn(both):
     for _ in range(3_000):
         data = "".join(rnd.choice("aeinrst ---==é") for _ in range(rnd.randint(1, 40))).encode()
         assert t.whole(data) == t.feed(data) + t.finish()
+
+
+def test_pre_tokens_longer_than_chunks_are_fed_on(both, monkeypatch):
+    """Runs of each class over many chunks, of every phase against the chunks' borders, and what is held meanwhile."""
+    codec, reference = both
+    monkeypatch.setattr(bpe, "CHUNK", 64)
+    held = []
+    feed = bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, piece: held.append(len(piece)) or feed(self, piece))
+    rnd = random.Random(5)
+    for run in ("a", "é", "7", "-", " ", "\n", "日", "ab"):
+        for n in (30, 63, 64, 65, 127, 128, 129, 130, 1_000):
+            for before, after in (("", ""), ("x ", "y"), ("1 ", "'ll go"), (" ", " z"), ("..", "\n"), ("w", ".")):
+                t = before + run * n + after
+                for size in (64, rnd.randint(1, 50)):
+                    pieces = [t[i : i + size] for i in range(0, len(t), size)]
+                    assert b"".join(codec.encode_stream(pieces)) == reference(t)[0], (run, n, before, after, size)
+    assert max(held) <= 2 * 64 * 4
+
+
+def test_both_ways_agree_at_the_lookahead(both):
+    codec, _ = both
+    rnd, t, n = random.Random(3), bpe.Transducer(codec.v), codec.v.lookahead
+    for size in range(n - 3, n + 4):
+        for _ in range(20):
+            data = "".join(rnd.choice("aeinrst-=") for _ in range(size)).encode()
+            fed = t.feed(data) + t.finish()
+            assert t.whole(data) == fed
+            assert b"".join(codec.v.bytes_of[i] for i in fed) == data
