@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Device names that a file must not have.
-RESERVED = ("con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10)))
+#: Device names that a file must not have, whatever follows their first dot.
+RESERVED = r"(?i)^(con|prn|aux|nul|(com|lpt)[0-9])(\.|$)"
 
 
 def last_part(path: Column) -> Column:
@@ -24,16 +24,36 @@ def stem(path: Column) -> Column:
 
 
 def sanitize(name: Column) -> Column:
-    """A file name: control and forbidden characters become _, spaces at the ends go, device
-    names get a _ in front, and it has at most 120 characters; "untitled" if nothing is left."""
-    clean = F.left(F.trim(F.regexp_replace(name, r'[\x00-\x1f<>:"/\\|?*]', "_")), F.lit(120))
-    clean = F.when(F.lower(clean).isin(*RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
-    return F.when(F.length(clean) > 0, clean).otherwise("untitled")
+    """A file name: control and forbidden characters become _, white space at the ends and dots at the
+    end go ("untitled" if nothing is left), device names get a _ in front, and it has at most 120 characters."""
+    clean = F.regexp_replace(name, r'[\x00-\x1f\x7f-\x9f<>:"/\\|?*]', "_")
+    clean = F.regexp_replace(F.regexp_replace(clean, r"^\p{Z}+|\p{Z}+$", ""), r"[. ]+$", "")
+    clean = F.when(F.length(clean) > 0, clean).otherwise("untitled")
+    clean = F.when(clean.rlike(RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
+    return F.when(name.isNotNull(), F.left(clean, F.lit(120)))
+
+
+def printable(label: Column) -> Column:
+    """A label without white space at its ends; null unless it has printable ASCII characters only, and one at least."""
+    clean = F.trim(label)
+    return F.when(clean.rlike(r"^[\x20-\x7e]+$"), clean)
 
 
 def serial(text: Column) -> Column:
-    """AAAA-ddddd of a boot line such as BOOT2 = cdrom0:\\AAAA_ddd.dd;1."""
-    found = F.regexp_extract(text, r"BOOT2?\s*=\s*\S*?([A-Za-z]{4})[_-]([0-9]{3})\.?([0-9]{2})", 1)
-    head = F.regexp_extract(text, r"BOOT2?\s*=\s*\S*?[A-Za-z]{4}[_-]([0-9]{3})\.?[0-9]{2}", 1)
-    tail = F.regexp_extract(text, r"BOOT2?\s*=\s*\S*?[A-Za-z]{4}[_-][0-9]{3}\.?([0-9]{2})", 1)
-    return F.when(F.length(found) > 0, F.concat(F.upper(found), F.lit("-"), head, tail))
+    """AAAA-ddddd of the first line BOOT or BOOT2 = DRIVE:\\AAAA_ddd.dd;1; null if it has none.
+
+    What follows the last slash, backslash or colon counts, up to a semicolon: four letters, an
+    underscore, and five digits among whatever else.
+    """
+    file = F.regexp_extract(text, r"(?im)^[ \t]*BOOT2?[ \t]*=[^\r\n]*?([^\\:/\r\n=]*)$", 1)
+    file = F.trim(F.split(file, ";").getItem(0))
+    digits = F.regexp_replace(F.substring(file, F.lit(6), F.length(file)), "[^0-9]", "")
+    fine = file.rlike("^[A-Za-z]{4}_") & (F.length(digits) == 5)
+    return F.when(fine, F.concat(F.upper(F.left(file, F.lit(4))), F.lit("-"), digits))
+
+
+def titled(title: Column, serial: Column) -> Column:
+    """The title with the serial in brackets, unless its letters and digits hold those of the serial."""
+    plain = lambda c: F.upper(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    named = serial.isNotNull() & ~F.contains(plain(title), plain(serial))
+    return F.when(named, F.concat(title, F.lit(" ("), serial, F.lit(")"))).otherwise(title)

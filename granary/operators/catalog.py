@@ -32,12 +32,32 @@ def quoted(text: Column) -> Column:
     return F.when(text.rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def manifest(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """One ``line`` of CSV for each row."""
-    return df.select(F.concat_ws(",", *[quoted(F.coalesce(c.cast("string"), F.lit(""))) for c in columns.values()]).alias("line"))
+def manifest(df: DataFrame, columns: dict[str, Column], *keys: str) -> DataFrame:
+    """One ``line`` of CSV for each row, and its ``keys``."""
+    return df.select(*keys, F.concat_ws(",", *[quoted(F.coalesce(c.cast("string"), F.lit(""))) for c in columns.values()]).alias("line"))
 
 
 def preview(df: DataFrame, group: str, time: str, seconds: int) -> DataFrame:
     """Rows within so many seconds of the first of their group."""
     first = F.min(time).over(Window.partitionBy(group))
     return df.withColumn("_first", first).filter(F.col(time) < F.col("_first") + F.make_dt_interval(secs=F.lit(seconds))).drop("_first")
+
+
+def select_ids(df: DataFrame, key: str, ids: list[int] | None = None) -> DataFrame:
+    """Rows with the given ids; all rows if there is no list.  An empty list selects nothing."""
+    return df if ids is None else df.filter(F.col(key).isin(ids)) if ids else df.limit(0)
+
+
+def default_selection(df: DataFrame, note: str = "note") -> DataFrame:
+    """Rows that can be exported: those without a note."""
+    return df.filter(F.col(note).isNull())
+
+
+def byte_range(header: Column, size: Column) -> Column:
+    """(first, last) of a header such as ``bytes=5-9`` or ``bytes=5-`` over ``size`` bytes; null if it isn't one or lies outside."""
+    form = r"^bytes=(\d+)-(\d*)$"
+    first = F.try_to_number(F.regexp_extract(header, form, 1), F.lit("999999999999999999")).cast("long")
+    last = F.regexp_extract(header, form, 2)
+    last = F.when(F.length(last) > 0, F.try_to_number(last, F.lit("999999999999999999")).cast("long")).otherwise(size - 1)
+    fine = header.rlike(form) & (first <= last) & (last < size)
+    return F.when(fine, F.struct(first.alias("first"), last.alias("last")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,24 +22,25 @@ def claim_greedy(df: DataFrame, entry: str, start: str, end: str) -> DataFrame:
     begins before the end of the last one taken.
 
     Not a running maximum: a losing interval claims nothing.  An interval that begins after
-    all before it have ended starts anew, so each island is folded on its own.  Null bounds
-    lose; of equal starts the least end wins.
+    all before it have ended starts anew, so islands are dealt out and each is read as a sorted
+    stream, of which only the last end is held.  Null bounds lose; of equal starts the least end wins.
     """
     rows = islands(df.select(entry, start, end).dropna(), entry, start, end)
-    kind = df.schema[end].dataType.simpleString()
-    begin = F.struct(F.array().cast(f"array<struct<s:{kind},e:{kind}>>").alias("won"), F.lit(None).cast(kind).alias("upto"))
-    items = F.array_sort(F.collect_list(F.struct(F.col(start).cast(kind).alias("s"), F.col(end).alias("e"))))
-    folds = rows.groupBy(entry, "island").agg(items.alias("items"))
-    won = F.aggregate(
-        "items",
-        begin,
-        lambda a, x: F.when(
-            a["upto"].isNull() | (x["s"] >= a["upto"]),
-            F.struct(F.concat(a["won"], F.array(x)).alias("won"), x["e"].alias("upto")),
-        ).otherwise(a),
-        lambda a: a["won"],
-    )
-    return folds.select(entry, F.explode(won).alias("x")).select(entry, F.col("x.s").alias(start), F.col("x.e").alias(end))
+    schema = rows.drop("island").schema
+    rows = rows.repartition(entry, "island").sortWithinPartitions(entry, "island", start, end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, upto = None, None
+        for batch in batches:
+            keys = zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            won = []
+            for i, (key, s, e) in enumerate(zip(keys, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if key != island or s >= upto:
+                    island, upto = key, e
+                    won.append(i)
+            yield batch.select([0, 1, 2]).take(pa.array(won, pa.int64()))
+
+    return rows.mapInArrow(run, schema)
 
 
 def gaps(df: DataFrame, entry: str, start: str, end: str) -> DataFrame:
@@ -46,6 +50,17 @@ def gaps(df: DataFrame, entry: str, start: str, end: str) -> DataFrame:
     return rows.filter("gap_start < gap_end")
 
 
+def free(entries: DataFrame, claimed: DataFrame, entry: str, size: str, start: str, end: str, align: int = 1) -> DataFrame:
+    """(entry, gap_start, gap_end): all of an entry's bytes, up to a multiple of ``align``, that no interval covers, those
+    before the first and after the last, too.  ``claimed``: (entry, start, end); an entry without any is one gap."""
+    whole = entries.select(entry, (F.floor(F.col(size) / align) * align).cast("long").alias("_size"))
+    at = F.max(end).over(Window.partitionBy(entry).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
+    inner = claimed.select(entry, F.coalesce(at, F.lit(0)).cast("long").alias("gap_start"), F.col(start).cast("long").alias("gap_end"))
+    last = claimed.groupBy(entry).agg(F.max(end).cast("long").alias("_to"))
+    outer = whole.join(last, entry, "left").select(entry, F.coalesce("_to", F.lit(0)).cast("long").alias("gap_start"), F.col("_size").alias("gap_end"))
+    return inner.unionByName(outer).filter("gap_start < gap_end")
+
+
 def runs(df: DataFrame, entry: str, order: list[str], holds: Column, least: int) -> DataFrame:
     """(entry, run, n): maximal runs of at least ``least`` rows for which ``holds``; ``run`` numbers them."""
     w = Window.partitionBy(entry).orderBy(*order)

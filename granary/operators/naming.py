@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.text import last_part, sanitize, stem
 from granary.scratch import cut
 
 
@@ -62,3 +63,57 @@ def unique_names(df: DataFrame, group: str, name: str, order: list[str]) -> Data
     return easy.select(*quick.columns).unionByName(hard.groupBy(group).applyInPandas(probe, schema))
 
 
+def track_paths(tracks: DataFrame, entries: DataFrame) -> DataFrame:
+    """``tracks`` (``entry``, ``offset``, ``label``) with ``name`` and ``out``, the path of the file that each becomes.
+
+    The only track of an entry, at offset 0, has the name of the entry's file, in its folder; several become numbered files in a
+    folder named like the entry, with their labels.  Names and folders are made safe, and names
+    of one entry differ.
+    """
+    by = Window.partitionBy("entry")
+    rows = tracks.withColumn("_n", F.count("*").over(by)).withColumn("_k", F.row_number().over(by.orderBy("offset")))
+    rows = rows.join(entries.select("entry", F.col("path").alias("_path")), "entry")
+    single = (F.col("_n") == 1) & (F.col("offset") == 0)
+    base = F.when(single, last_part(stem(F.col("_path")))).otherwise(F.concat_ws(" ", F.format_string("%03d", "_k"), F.col("label")))
+    rows = unique_names(rows.withColumn("_base", sanitize(base)), "entry", "_base", ["_k"]).withColumnRenamed("unique_name", "name")
+    folder = F.when(single, F.regexp_extract("_path", r"^(.*)/[^/]*$", 1)).otherwise(F.col("_path"))
+    parts = F.transform(F.filter(F.split(folder, "/"), lambda p: p != ""), sanitize)
+    out = F.array_join(F.concat(parts, F.array(F.concat(F.col("name"), F.lit(".wav")))), "/")
+    return rows.withColumn("out", out).drop("_n", "_k", "_path", "_base")
+
+
+def unique_paths(df: DataFrame, path: str, kind: str, order: list[str]) -> DataFrame:
+    """``df`` with ``unique_path``: of paths that are equal whatever the case the first keeps its own, later ones get
+    " (KIND)", " (KIND 2)", ... before ".wav", in one row of all folders by ``order``.
+
+    Names can only meet within a family: paths that are equal without such endings.  Families in
+    which a generated name meets another are named again one by one; all others by counting.
+    """
+    bare = F.regexp_replace(path, r"(\.wav)+$", "")
+    family = F.regexp_replace(F.lower(bare), r"( \([^()]*\))+$", "")
+    shown = F.translate(F.col(kind), "/", "-")
+    rows = df.withColumn("_family", family)
+    n = F.row_number().over(Window.partitionBy(F.lower(path)).orderBy(*order))
+    rows = rows.withColumn("_later", n > 1)
+    k = F.row_number().over(Window.partitionBy(F.lower(path), "_later", shown).orderBy(*order))
+    ending = F.when(k == 1, F.concat(F.lit(" ("), shown, F.lit(").wav"))).otherwise(F.concat(F.lit(" ("), shown, F.lit(" "), k.cast("string"), F.lit(").wav")))
+    quick = rows.withColumn("unique_path", F.when(~F.col("_later"), F.col(path)).otherwise(F.concat(bare, ending))).drop("_later")
+    clash = quick.groupBy("_family", F.lower("unique_path").alias("_l")).agg(F.count("*").alias("_c")).filter("_c > 1").select("_family").distinct()
+
+    def probe(pdf: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        out = []
+        for x, f in zip(pdf.sort_values(order, kind="stable")[path], pdf.sort_values(order, kind="stable")[kind].str.replace("/", "-"), strict=True):
+            short = x
+            while short.endswith(".wav"):
+                short = short[:-4]
+            new, k = x, 1
+            while new.lower() in used:
+                new, k = f"{short} ({f}).wav" if k == 1 else f"{short} ({f} {k}).wav", k + 1
+            used.add(new.lower())
+            out.append(new)
+        return pdf.sort_values(order, kind="stable").assign(unique_path=out)
+
+    easy, hard = quick.join(clash, "_family", "left_anti"), rows.drop("_later").join(clash, "_family", "left_semi")
+    again = hard.groupBy("_family").applyInPandas(probe, quick.select(*hard.columns, "unique_path").schema)
+    return easy.select(*again.columns).unionByName(again).drop("_family")

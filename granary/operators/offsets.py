@@ -1,8 +1,8 @@
-"""Offsets that follow from other rows of a bank."""
+"""Offsets and sizes that follow from other rows of a bank."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,44 @@ def cumulative(df: DataFrame, group: str, order: str, size: str, start: int = 0)
     """``df`` with ``off``: the sum of the sizes before it."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("off", F.coalesce(F.sum(size).over(w), F.lit(0)) + start)
+
+
+def next_greater(df: DataFrame, group: str, offset: str, end: str) -> DataFrame:
+    """``df`` with ``next``: the least offset of the group over the row's own, else the group's ``end``.
+
+    Rows of equal offsets share it; a null offset has none and is nobody's next.
+    """
+    w = Window.partitionBy(group).orderBy(offset).rangeBetween(1, Window.unboundedFollowing)
+    return df.withColumn("next", F.when(F.col(offset).isNotNull(), F.coalesce(F.min(offset).over(w), F.col(end))))
+
+
+def reused(df: DataFrame, group: str, order: str, value: str, again: Column) -> DataFrame:
+    """``df`` with ``used``: its own value, or, where ``again`` holds, that of the last row before for which it doesn't (0: none)."""
+    own = F.when(~F.coalesce(again, F.lit(False)), F.col(value))
+    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("used", F.coalesce(F.last(own, ignorenulls=True).over(w), F.lit(0)))
+
+
+def common_divisor(df: DataFrame, group: str, size: str, unit: int = 16) -> DataFrame:
+    """(group, step): the greatest common divisor of the group's sizes, each cut to a multiple of ``unit``; at least ``unit``.
+
+    Divisors are folded over the distinct sizes, few for each group.
+    """
+    n = F.floor(F.col(size) / unit).cast("long")
+    sizes = df.select(group, n.alias("_n")).groupBy(group).agg(F.collect_set("_n").alias("_n"))
+
+    def gcd(a: Column, b: Column) -> Column:  # 64 steps suffice for any pair of longs of this size
+        step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] != 0, s["b"])).alias("b")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(96)), F.struct(a.alias("a"), b.alias("b")), step, lambda s: s["a"])
+
+    step = F.aggregate("_n", F.lit(0).cast("long"), gcd) * unit
+    return sizes.select(group, F.greatest(step, F.lit(unit).cast("long")).alias("step"))
+
+
+def verdicts(df: DataFrame, group: str, holds: Column, known: Column) -> DataFrame:
+    """(group, every, some, said): whether ``holds`` is true of every and of some row of the group, and the tri-state
+    of those that are ``known``: true or false if all agree, else null."""
+    yes, sure = F.coalesce(holds, F.lit(False)), F.coalesce(known, F.lit(False))
+    of_sure = F.when(sure, yes)
+    said = F.when(F.bool_and(of_sure) == F.bool_or(of_sure), F.bool_and(of_sure))
+    return df.groupBy(group).agg(F.bool_and(yes).alias("every"), F.bool_or(yes).alias("some"), said.alias("said"))

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def automaton(patterns: dict[bytes, object]) -> ahocorasick.Automaton:
+    """One machine for all patterns: it reads each byte once and finds every pattern that ends there."""
+    if not patterns or b"" in patterns:
+        raise ValueError("there must be patterns, none of them empty")
+    found = ahocorasick.Automaton()
+    for p, name in patterns.items():
+        found.add_word(p.decode("latin-1"), (len(p), name))
+    found.make_automaton()
+    return found
+
+
+def hits(machine: ahocorasick.Automaton, data: bytes) -> Iterator[tuple[int, object]]:
+    """(offset, name) of every occurrence, overlapping ones too, in the order of their ends."""
+    for end, (n, name) in machine.iter(data.decode("latin-1")):
+        yield end + 1 - n, name
+
+
 def first_hits(df: DataFrame, key: str, column: str, patterns: Sequence[str]) -> DataFrame:
     """(key, pattern, first_at): first place (from 1) of each pattern that a text holds."""
     dim = F.explode(F.array(*map(F.lit, patterns))).alias("pattern")
@@ -22,18 +39,17 @@ def first_hits(df: DataFrame, key: str, column: str, patterns: Sequence[str]) ->
 def all_hits(df: DataFrame, key: str, column: str, patterns: Sequence[str | bytes]) -> DataFrame:
     """(key, pattern, offset): every hit, overlapping ones too, by byte offset from 0.
 
-    One compiled alternation inside a lookahead looks at each place once for each pattern
-    length; texts stay in their partitions.  Null values have no hits; an empty pattern is an
-    error.
+    One automaton of all patterns reads each byte once; texts stay in their partitions.  Null
+    values have no hits; an empty pattern is an error.
     """
     raw = [p if isinstance(p, bytes) else p.encode() for p in patterns]
-    if not all(raw):
-        raise ValueError("patterns must not be empty")
     names = [p if isinstance(p, str) else p.hex() for p in patterns]
-    finders = [(n, re.compile(b"(?=" + re.escape(p) + b")")) for n, p in zip(names, raw, strict=True)]
+    table = dict(zip(raw, names, strict=True))
+    automaton(table)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(table)
         for batch in batches:
             keys, found, at = [], [], []
             for k, value in zip(batch.column("k"), batch.column("v"), strict=True):
@@ -41,11 +57,10 @@ def all_hits(df: DataFrame, key: str, column: str, patterns: Sequence[str | byte
                 if data is None:
                     continue
                 data = data.encode() if isinstance(data, str) else data
-                for name, finder in finders:
-                    hits = [m.start() for m in finder.finditer(data)]
-                    keys += [k.as_py()] * len(hits)
-                    found += [name] * len(hits)
-                    at += hits
+                for offset, name in hits(machine, data):
+                    keys.append(k.as_py())
+                    found.append(name)
+                    at.append(offset)
             columns = [pa.array(keys, batch.schema.field("k").type), pa.array(found, pa.string()), pa.array(at, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "pattern", "offset"])
 
@@ -59,16 +74,19 @@ def chunk_hits(chunks: DataFrame, patterns: dict[str, list[bytes]], chunk: int)
     Each chunk carries the bytes of the next one that a signature over the border needs; a hit
     that begins past ``chunk`` belongs to that next one.  Output: (entry, name, offset).
     """
-    table = [(name, re.compile(b"(?=" + re.escape(p) + b")")) for name, ps in patterns.items() for p in ps]
+    table: dict[bytes, list[str]] = {}
+    for name, ps in patterns.items():
+        for p in ps:
+            table.setdefault(p, []).append(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(table)
         for batch in batches:
             out: list[tuple[int, str, int]] = []
-            for r in batch.to_pylist():
-                for name, finder in table:
-                    for m in finder.finditer(r["data"] or b""):
-                        if m.start() < chunk or r["last"]:
-                            out.append((r["entry"], name, r["start"] + m.start()))
+            for entry, start, data, last in zip(*(batch.column(c) for c in ("entry", "start", "data", "last")), strict=True):
+                for at, names in hits(machine, data.as_py() or b""):
+                    if at < chunk or last.as_py():
+                        out += [(entry.as_py(), n, start.as_py() + at) for n in names]
             columns = zip(*out, strict=True) if out else ([], [], [])
             kinds = (pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["entry", "name", "offset"])

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import numbers, text
-from granary.operators import catalog, intervals, matching, naming, offsets, search
+from granary.operators import catalog, intervals, matching, naming, offsets, scan, search
+
+#: Names that a file can't have as they are.
+ODD_NAMES = ["con.txt", "COM7", "lpt0.a.b", "console", "name. . ", " . ", "a\x7fb\x85c", "tab\tend", "\u00a0wide\u2003", "x" * 130, "aux" + "y" * 130, "com77"]
+_ODD_SQL = ", ".join("('" + n.replace("'", "''") + "')" for n in ODD_NAMES)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,11 +231,17 @@ def preview_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with c as (select page_id, left(trim(regexp_replace(url, '[\\x00-\\x1f<>:"/\\\\|?*]', '_', 'g'), ' '), 120) as s from pages)
- select page_id, case when s = '' then 'untitled' else s end as name from c"""
+    f"""with n as (select page_id, url from pages union all select -page_id, odd from pages, (values {_ODD_SQL}) o(odd)),
+ c as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(url, '[\\x00-\\x1f\\x7f-\\x{{9f}}<>:"/\\\\|?*]', '_', 'g'),
+  '^\\pZ+|\\pZ+$', '', 'g'), '[. ]+$', '') as s from n),
+ u as (select page_id, url, case when s = '' then 'untitled' else s end as s from c)
+ select page_id, url, left(case when regexp_matches(s, '(?i)^(con|prn|aux|nul|(com|lpt)[0-9])(\\.|$)') then '_' || s else s end, 120) as name from u"""
 )
 def sanitize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", text.sanitize(F.col("url")).alias("name"))
+    """Addresses, and names that need each of the rules."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    odd = pages.select((-F.col("page_id")).alias("page_id"), F.explode(F.array(*map(F.lit, ODD_NAMES))).alias("url"))
+    return pages.unionByName(odd).select("page_id", "url", text.sanitize(F.col("url")).alias("name"))
 
 
 @query(f"select page_id, {_EXT_SQL.format('url')} as ext from pages")
@@ -317,6 +327,7 @@ def key_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select event_id, cast(least(greatest(floor(value * 256) - 32768, -32768), 32767) as bigint) as sample from events"""
 )
 def frame_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers scaled and clamped to 16 bits, as the last step of a decoder does; no codec."""
     sample = F.least(F.greatest(F.floor(F.col("value") * 256) - 32768, F.lit(-32768)), F.lit(32767)).cast("long")
     return read(spark, sf_dir, "events").select("event_id", sample.alias("sample"))
 
@@ -328,14 +339,19 @@ def frame_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
  select user_id, arg_max(level, n) as level, max(n) as n from f group by user_id"""
 )
 def delta_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saturating running level of each user: the state of a decoder carried over frames."""
+    """Saturating running level of each user: how a decoder carries its state over frames; no codec."""
     rows = read(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", (F.floor("value").cast("long") - 50).alias("d")).alias("x"))
     lists = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("l"))
     level = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: F.least(F.greatest(a + x["d"], F.lit(-100)), F.lit(100)))
     return lists.select("user_id", level.alias("level"), F.size("l").cast("long").alias("n"))
 
 
-@query()
+@query(
+    """with b as (select page_id, list_transform(range(1, length(url) + 1), lambda i: ascii(substr(lower(url), i, 1))::bigint) as l from pages),
+ m as (select page_id, list_reduce(list_prepend(0::bigint, l), lambda h, c: xor(((h + c) & 4294967295) * 1025 & 4294967295, (((h + c) & 4294967295) * 1025 & 4294967295) >> 6)) as h from b),
+ e as (select page_id, h * 9 & 4294967295 as h from m), f as (select page_id, xor(h, h >> 11) as h from e)
+ select page_id, h * 32769 & 4294967295 as hash from f"""
+)
 def name_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", numbers.name_hash("url").alias("hash"))
 
@@ -346,3 +362,187 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type")
     out = grouped.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+MAGIC = [("<p>", "page", 0, 0), ("</div>", "block", 1, 3), ("http", "link", 2, 4), ("aa", "link", 2, 1), ("<title", "page", 0, 12)]
+_MAGIC_SQL = ", ".join(str(m) for m in MAGIC)
+
+
+@query(
+    f"""with d(pattern, format, rank, magic_at) as (values {_MAGIC_SQL}),
+ h as (select page_id as entry, format, rank, strlen(left(html, i - 1)) as o, strlen(left(html, i - 1)) - magic_at as header from pages, d,
+  unnest(range(1, length(html) + 1)) r(i) where substr(html, i, length(pattern)) = pattern),
+ g as (select entry, header, format, min(o) as o, arg_min(rank, (o, rank)) as rank from h where header >= 0 group by all)
+ select entry, header, string_agg(format, ',' order by o, rank, format) as formats from g group by all"""
+)
+def header_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature hits, grouped by where a header would begin, with the formats to try."""
+    hits = search.all_hits(read(spark, sf_dir, "pages"), "page_id", "html", [m[0] for m in MAGIC])
+    hits = hits.select(F.col("page_id").alias("entry"), F.col("pattern").alias("name"), "offset")
+    dim = spark.createDataFrame(MAGIC, "name string, format string, rank int, magic_at long")
+    return scan.group_headers(hits, dim).select("entry", "header", F.array_join("formats", ",").alias("formats"))
+
+
+@query(
+    f"""with {_IV}, t as (select l_suppkey as entry, date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as off, l_linenumber as rank,
+  date_diff('day', date '1970-01-01', cast(l_shipdate as date)) + cast(l_quantity as bigint) as e from lineitem where l_quantity >= 25),
+ f as (select entry, off, arg_min(e, (rank, e)) as e from t group by all) select entry, off, e as "end" from f"""
+)
+def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of the parsers tried at a header, by rank, that succeeds."""
+    off = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("long")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entry"), off.alias("off"), (off + F.col("l_quantity").cast("long")).alias("end"), "l_linenumber", "l_quantity")
+    tries = rows.withColumn("rank", F.struct("l_linenumber", "end"))
+    return scan.first_success(tries, ["entry", "off"], "rank", F.col("l_quantity") >= 25).select("entry", "off", "end")
+
+
+@query(
+    f"""with {_IV}, s as (select s_suppkey as entry, 12000 // 16 * 16 as size from supplier),
+ i as (select entry, coalesce(max(e) over (partition by entry order by off, e rows between unbounded preceding and 1 preceding), 0) as gap_start, off as gap_end from iv),
+ o as (select s.entry, coalesce(max(e), 0) as gap_start, any_value(size) as gap_end from s left join iv using (entry) group by s.entry)
+ select * from (select * from i union all select * from o) where gap_start < gap_end"""
+)
+def free_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is covered by no interval, before the first and after the last, too."""
+    size = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entry"), F.lit(12_005).alias("size"))
+    return intervals.free(size, _claims(spark, sf_dir), "entry", "size", "off", "end", 16)
+
+
+@query(
+    """with t as (select o_custkey as entry, o_orderkey as o, row_number() over (partition by o_custkey order by o_orderkey) as k, count(*) over (partition by o_custkey) as n,
+  o_orderpriority as label from orders where o_orderpriority in ('1-URGENT', '2-HIGH')),
+ b as (select entry, o, n, k, case when n = 1 then 'cust' || entry else printf('%03d', k) || ' ' || label end as base from t),
+ q as (select *, row_number() over (partition by entry, lower(base) order by k) as d from b)
+ select entry, o as offset_, case when n = 1 then 'seg' || entry % 5 || '/' || base || '.wav' else 'seg' || entry % 5 || '/cust' || entry || '.bin/' || base || case when d > 1 then ' (' || d || ')' else '' end || '.wav' end as out from q"""
+)
+def track_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and files of tracks: one sound a file, or a folder of numbered ones."""
+    orders = read(spark, sf_dir, "orders").filter("o_orderpriority in ('1-URGENT', '2-HIGH')")
+    alone = F.count("*").over(Window.partitionBy("o_custkey")) == 1
+    tracks = orders.select(F.col("o_custkey").alias("entry"), F.when(alone, 0).otherwise(F.col("o_orderkey")).alias("offset"), F.col("o_orderkey").alias("offset_"), F.col("o_orderpriority").alias("label"))
+    path = F.concat(F.lit("seg"), (F.col("c_custkey") % 5).cast("string"), F.lit("/cust"), F.col("c_custkey").cast("string"), F.lit(".bin"))
+    entries = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entry"), path.alias("path"))
+    return naming.track_paths(tracks, entries).select("entry", "offset_", "out")
+
+
+@query(
+    """with p as (select c_custkey, 'S' || c_nationkey || '/' || c_mktsegment || '.wav' as path, case when c_custkey % 3 = 0 then 'A/X' else 'B' end as kind from customer),
+ n as (select *, row_number() over (partition by lower(path) order by c_custkey) as n from p),
+ k as (select *, row_number() over (partition by lower(path), n > 1, kind order by c_custkey) as k from n)
+ select c_custkey, case when n = 1 then path else left(path, length(path) - 4) || ' (' || replace(kind, '/', '-') || case when k > 1 then ' ' || k else '' end || ').wav' end as unique_path from k"""
+)
+def unique_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("S"), F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c_mktsegment"), F.lit(".wav"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", path.alias("path"), F.when(F.col("c_custkey") % 3 == 0, "A/X").otherwise("B").alias("kind"))
+    return naming.unique_paths(rows, "path", "kind", ["c_custkey"]).select("c_custkey", "unique_path")
+
+
+@query(
+    """with p as (select *, (p_partkey + 1) // 2 as pair, p_partkey % 2 = 1 as l from part)
+ select a.p_partkey as left_key, b.p_partkey as right_key from p a join p b on a.pair = b.pair and a.l and not b.l
+ where a.p_size // 10 = b.p_size // 10 and a.p_partkey % 7 <> 0 and b.p_partkey % 7 <> 0"""
+)
+def pair_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left and right channels by how their names end."""
+    pair = F.floor((F.col("p_partkey") + 1) / 2)
+    ends = F.array(*[F.struct(F.lit(a).alias("l"), F.lit(b).alias("r")) for a, b in (("L.wav", "R.WAV"), ("left.vag", "right.vag"), (".V0", ".V1"), (".L", ".R"))])
+    end = F.get(ends, (pair % 4).cast("int"))
+    path = F.concat(F.lit("d/"), pair.cast("string"), F.lit("_"), F.when(F.col("p_partkey") % 2 == 1, end["l"]).otherwise(end["r"]))
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), path.alias("path"), F.floor(F.col("p_size") / 10).alias("size"))
+    tracks = part.filter("entry % 7 <> 0").select(F.col("entry").alias("track"), "entry", "size")
+    return matching.pair_by_name(tracks, part.select("entry", "path"), ["size"])
+
+
+@query("select page_id, lower(url) as name from pages where page_id % 3 = 0")
+def names_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names found again by their hashes."""
+    pages = read(spark, sf_dir, "pages")
+    rows = pages.filter("page_id % 3 = 0").select("page_id", numbers.name_hash("url").alias("h"))
+    return matching.named_by_hash(rows, "h", pages.select(F.concat(F.lit(" "), F.lower("url")).alias("n")), "n").select("page_id", "name")
+
+
+@query(
+    """with recursive l as (select o_orderkey as k, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as t from orders),
+ n as (select * from l where t is not null),
+ r(k, last, steps) as (select k, t, 1 from n union all select r.k, n.t, steps + 1 from r join n on n.k = r.last where steps <= 5)
+ select k, case when max(steps) <= 5 then arg_max(last, steps) end as last, case when max(steps) <= 5 then max(steps) end as steps from r group by k"""
+)
+def link_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where chains of links end, within five steps."""
+    later = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    links = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), later.alias("t")).filter("t is not null")
+    return matching.follow(links, "k", "t", 5)
+
+
+@query(
+    """select l_orderkey, l_linenumber, coalesce((select min(b.l_partkey) from lineitem b where b.l_orderkey = a.l_orderkey and b.l_partkey > a.l_partkey), 1000000) as next
+ from lineitem a"""
+)
+def next_greater(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit(1_000_000).cast("long").alias("end"))
+    return offsets.next_greater(rows, "l_orderkey", "l_partkey", "end").select("l_orderkey", "l_linenumber", "next")
+
+
+@query(
+    """select o_orderkey, coalesce(last_value(case when o_orderstatus <> 'O' then o_orderkey end ignore nulls) over (partition by o_custkey order by o_orderkey
+ rows between unbounded preceding and current row), 0) as used from orders"""
+)
+def reused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row's own offset, or that of the last row before that has one of its own."""
+    rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return offsets.reused(rows, "o_custkey", "o_orderkey", "o_orderkey", F.col("o_orderstatus") == "O").select("o_orderkey", "used")
+
+
+@query(
+    """with r as (select l_suppkey % 97 as g, floor(l_extendedprice)::bigint // 16 as n from lineitem where l_partkey % 40 = 0), d as (select g, list(distinct n) as l from r group by g)
+ select g, greatest(16, list_reduce(list_prepend(0::bigint, l), lambda a, b: gcd(a, b)) * 16)::bigint as step from d"""
+)
+def common_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest step that divides all block sizes of a group."""
+    rows = read(spark, sf_dir, "lineitem").filter("l_partkey % 40 = 0").select((F.col("l_suppkey") % 97).alias("g"), F.floor("l_extendedprice").alias("size"))
+    return offsets.common_divisor(rows, "g", "size")
+
+
+@query(
+    """select l_orderkey, bool_and(l_quantity > 10) as every, bool_or(l_quantity > 10) as some,
+ case when bool_and(l_quantity > 10) filter (where l_returnflag <> 'N') = bool_or(l_quantity > 10) filter (where l_returnflag <> 'N')
+ then bool_and(l_quantity > 10) filter (where l_returnflag <> 'N') end as said from lineitem group by l_orderkey"""
+)
+def frame_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a check holds for every frame, for some, and what those that are known agree on."""
+    return offsets.verdicts(read(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_quantity") > 10, F.col("l_returnflag") != "N")
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey in (1, 5, 7, 32, 33, 1000)")
+def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.select_ids(read(spark, sf_dir, "orders"), "o_orderkey", [1, 5, 7, 32, 33, 1_000]).select("o_orderkey", "o_totalprice")
+
+
+@query(
+    """with h as (select event_id, 'bytes=' || event_id % 50 || '-' || case when event_id % 3 = 0 then '' else ((event_id * 7) % 120)::varchar end as h, 100 as n from events),
+ r as (select event_id, regexp_extract(h, '=([0-9]+)', 1)::bigint as a, coalesce(nullif(regexp_extract(h, '-([0-9]*)$', 1), '')::bigint, n - 1) as b, n from h)
+ select event_id, case when a <= b and b < n then a end as first, case when a <= b and b < n then b end as last from r"""
+)
+def byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What range requests ask for."""
+    i = F.col("event_id")
+    last = F.when(i % 3 == 0, "").otherwise(((i * 7) % 120).cast("string"))
+    header = F.concat(F.lit("bytes="), (i % 50).cast("string"), F.lit("-"), last)
+    rows = read(spark, sf_dir, "events").select("event_id", header.alias("h"))
+    return rows.select("event_id", catalog.byte_range(F.col("h"), F.lit(100).cast("long")).alias("r")).select("event_id", "r.first", "r.last")
+
+
+@query(
+    """with t as (select o_orderkey, printf('%05d', o_orderkey % 100000) as d from orders)
+ select o_orderkey, case when o_orderkey % 4 = 3 then null else 'SLUS-' || d end as serial,
+ case when o_orderkey % 4 = 3 then 'Game' when o_orderkey % 4 = 2 then 'Game slus' || d else 'Game (SLUS-' || d || ')' end as title from t"""
+)
+def serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serials from boot files, and titles with them."""
+    k, d = F.col("o_orderkey"), F.format_string("%05d", F.col("o_orderkey") % 100_000)
+    file = F.concat(F.lit("slus_"), F.left(d, F.lit(3)), F.lit("."), F.substring(d, 4, 2), F.lit(";1"))
+    boot = F.when(k % 4 == 0, F.concat(F.lit("VER = 1.0\r\nBOOT2 = cdrom0:\\"), file, F.lit("\r\nVMODE = NTSC")))
+    boot = boot.when(k % 4 == 3, "BOOT2 = cdrom0:\\NOPE.ELF;1\nX=Y").otherwise(F.concat(F.lit(" boot=cdrom:/A/"), file))
+    title = F.when(k % 4 == 2, F.concat(F.lit("Game slus"), d)).otherwise("Game")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", text.serial(boot).alias("serial"), title.alias("t"))
+    return rows.select("o_orderkey", "serial", text.titled(F.col("t"), F.col("serial")).alias("title"))

@@ -14,6 +14,7 @@ from granary.scratch import cut
 
 DEPTH, LEAST, MOST, MEMBERS = 3, 64, 512 << 20, 4_096
 _PACKED = re.compile(rb"(?=\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda])")
+PACK = b"\0\0\1\xba"
 _SCHEMA = "entry long, path string, content binary"
 
 
@@ -33,7 +34,7 @@ def members(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
             continue
         box = zlib.decompressobj(31 if gz else 15)
         try:
-            out = box.decompress(data[at:], MOST)
+            out = box.decompress(memoryview(data)[at:], MOST)
         except zlib.error:
             continue
         if box.eof and LEAST <= len(out) < MOST:
@@ -42,13 +43,17 @@ def members(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
 
 
 def demux(data: bytes) -> dict[int, bytes]:
-    """Audio streams (private 0xBD, and 0xC0 to 0xDF) of an MPEG program stream by stream id, each of
-    at least two packets; empty if ``data`` doesn't begin with a pack."""
+    """Audio streams (private 0xBD, and 0xC0 to 0xDF) of an MPEG program stream by stream id.
+
+    Empty if ``data`` doesn't begin with a pack or has fewer than two packets.  Codes under 0xBB, as of
+    pictures and slices, have no length and are stepped over.  Private streams may carry a
+    sub-header in each packet, as long as what comes before an ``SShd`` near the first one's begin.
+    """
     streams: dict[int, list[bytes]] = {}
-    at = 0
-    while at + 6 <= len(data) and data[: 4] == b"\0\0\1\xba":
-        if data[at : at + 3] != b"\0\0\1":
-            at = data.find(b"\0\0\1", at, at + 0x800)
+    at, packets = 0, 0
+    while at + 6 <= len(data) and data[:4] == PACK:
+        if data[at : at + 3] != PACK[:3]:
+            at = data.find(PACK[:3], at, at + 0x800)
             if at < 0:
                 break
             continue
@@ -56,29 +61,40 @@ def demux(data: bytes) -> dict[int, bytes]:
         if code == 0xB9:
             break
         if code == 0xBA:
-            mpeg2 = at + 4 < len(data) and data[at + 4] >> 6 == 1
-            at += 14 + (data[at + 13] & 7 if at + 13 < len(data) else 0) if mpeg2 else 12
-            continue
-        size = int.from_bytes(data[at + 4 : at + 6], "big")
-        body = data[at + 6 : at + 6 + size]
-        if code == 0xBD or 0xC0 <= code <= 0xDF:
-            streams.setdefault(code, []).append(body[_header(body) :])
-        at += 6 + size
-    return {c: b"".join(p) for c, p in streams.items() if len(p) > 1}
-
-
-def _header(body: bytes) -> int:
-    """Length of a packet's header, in its MPEG-2 or MPEG-1 form."""
-    if len(body) > 2 and body[0] >> 6 == 2:
-        return 3 + body[2]
-    k = 0
-    while k < len(body) and k < 16 and body[k] == 0xFF:
-        k += 1
-    if k < len(body) and body[k] >> 6 == 1:
-        k += 2
-    if k < len(body):
-        k += {2: 5, 3: 10}.get(body[k] >> 4, 1)
-    return k
+            two = data[at + 4] >> 6 == 1
+            at += 14 + (data[at + 13] & 7 if at + 13 < len(data) else 0) if two else 12
+        elif code < 0xBB:
+            at += 4
+        else:
+            size = int.from_bytes(data[at + 4 : at + 6], "big")
+            if code == 0xBD or 0xC0 <= code <= 0xDF:
+                body = data[at + 6 : at + 6 + size]
+                if len(payload := body[_payload_at(body) :]):
+                    streams.setdefault(code, []).append(payload)
+            packets += 1
+            at += 6 + size
+    if packets < 2:
+        return {}
+    inner = streams[0xBD][0].find(b"SShd", 0, 19) if 0xBD in streams else -1
+    parts = {c: b"".join(x[max(inner, 0) if c == 0xBD else 0 :] for x in p) for c, p in streams.items()}
+    return {c: x for c, x in sorted(parts.items()) if x}
+
+
+def _payload_at(packet: bytes) -> int:
+    """Where the payload of a packet begins, after its length field.
+
+    ISO 13818-1: the bits 10, two bytes of flags in all, the length of the rest of the header.
+    ISO 11172-1: stuffing bytes 0xFF; the bits 01 and a buffer size in two bytes, or nothing; then a
+    presentation time (0010, five bytes), that and a decoding time (0011, ten), or one byte 0x0F.
+    """
+    first = packet[0] if packet else 0
+    if first & 0xC0 == 0x80:
+        return 3 + (packet[2] if len(packet) > 2 else 0)
+    at = len(packet) - len(packet.lstrip(b"\xff"))
+    if packet[at : at + 1] and packet[at] & 0xC0 == 0x40:
+        at += 2
+    times = {0x20: 5, 0x30: 10}
+    return at + (times.get(packet[at] & 0xF0, 1) if at < len(packet) else 1)
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,8 +21,13 @@ def entries(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     prefix = len("/" + base.split(":", 1)[-1].lstrip("/")) + 1
     columns = [F.substring(path, F.lit(prefix + 1), F.length(path)).alias("path"), F.col("length").alias("size")]
-    rows = files.select(*columns, *(["content"] if content else [])).withColumn("_lower", F.lower("path"))
-    return dense_ids(rows, ["_lower", "path"]).drop("_lower").withColumnRenamed("track_id", "entry")
+    return numbered(files.select(*columns, *(["content"] if content else [])))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``entry`` first: their number by lower-case path."""
+    out = dense_ids(rows.withColumn("_lower", F.lower("path")), ["_lower", "path"], "entry").drop("_lower")
+    return out.select("entry", *rows.columns)
 
 
 def chunks(entries: DataFrame, chunk: int = CHUNK, overlap: int = 64) -> DataFrame:

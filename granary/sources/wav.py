@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from granary.functions.numbers import duration
+from granary.operators.catalog import manifest
+from granary.scratch import cut
 
 TRACK = (
     "entry long, offset long, end long, format string, channels int, rate long, samples long, "
@@ -113,3 +120,41 @@ def export(entries: DataFrame, tracks: DataFrame, loops_twice: bool = False) ->
             yield pa.RecordBatch.from_arrays(columns, names=["entry", "offset", "status", "wav"])
 
     return rows.mapInArrow(run, "entry long, offset long, status string, wav binary")
+
+
+def write(entries: DataFrame, tracks: DataFrame, folder: str, loops_twice: bool = False) -> DataFrame:
+    """Write ``tracks`` (TRACK, ``track_id``, ``out`` and ``source``) as WAVE files below ``folder`` and their manifest as ``folder``/tracks.csv.
+
+    Gives (track_id, out, status) of each.  Executors write the files, each first under another name, as
+    pyarrow names file systems.  The manifest is a folder of text files whose lines, in file order, are
+    the header and the tracks by number.
+    """
+    done = cut(export(entries, tracks, loops_twice).join(tracks.select("entry", "offset", "track_id", "out"), ["entry", "offset"]).mapInArrow(
+        _save(folder), "track_id long, out string, status string"
+    ), "written")
+    seconds = F.format_string("%.3f", duration(F.col("samples"), F.col("rate")))
+    fields = {
+        "file": F.col("out"), "source": F.col("source"), "offset": F.format_string("0x%X", F.col("offset")), "format": F.col("format"),
+        "channels": F.col("channels"), "sample_rate": F.col("rate"), "seconds": seconds, "loop_start": F.col("loop_start"),
+        "loop_end": F.col("loop_end"), "note": F.lit(""),
+    }
+    lines = manifest(tracks, fields, "track_id")
+    head = tracks.sparkSession.createDataFrame([(-1, ",".join(fields))], "track_id long, line string")
+    lines.unionByName(head).repartitionByRange("track_id").sortWithinPartitions("track_id").select("line").write.text(f"{folder}/tracks.csv")
+    return done
+
+
+def _save(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for out, data in zip(batch.column("out"), batch.column("wav"), strict=True):
+                if data.is_valid:
+                    path = f"{root}/{out.as_py()}"
+                    store.create_dir(path.rsplit("/", 1)[0])
+                    with store.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as f:
+                        f.write(data.as_py())
+                    store.move(part, path)
+            yield batch.select(["track_id", "out", "status"])
+
+    return run
