@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import bound_batches, tidy
 
 #: Pre-tokens longer than this stream through the transducer and are not remembered.
 REMEMBERED = 64
@@ -348,6 +348,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     ``ids`` (unsigned 32-bit little-endian) and ``decoded``.  Null counts as empty; an empty text
     has no ids.  Strings of added tokens in a text become those tokens.
     """
+    bound_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

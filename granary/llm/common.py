@@ -11,9 +11,18 @@ from pyspark.sql import functions as F
 
 from granary.scratch import BROADCAST_BYTES, cut, drop, drop_path, scratch_path, shared_folder, small
 
-__all__ = ["BROADCAST_BYTES", "crc_split", "cut", "drop", "drop_path", "scratch_path", "shared_folder", "small", "table", "tidy"]
+__all__ = ["BROADCAST_BYTES", "bound_batches", "crc_split", "cut", "drop", "drop_path", "scratch_path", "shared_folder", "small", "table", "tidy"]
 
 Batches = Iterator[pa.RecordBatch]
+#: Bytes of an Arrow batch that goes to a Python worker: rows alone, of which Spark takes 10,000, don't bound it.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of the session to BATCH_BYTES; a bound that the user has set stays."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .common import cut, small, tidy
+from .common import bound_batches, cut, small, tidy
 
 WINDOW = 10
 LANE = 256
@@ -237,6 +237,7 @@ def decontaminate(
     benchmark hits nothing.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.drop(*ADDED)
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_KINDS).fields])
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).filter(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import cut, drop, small, tidy
+from .common import bound_batches, cut, drop, small, tidy
 from .components import connected_components
 
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -412,6 +412,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN):
         if not 0 < num <= den:
             raise ValueError("the threshold must be over 0 and at most 1")
+        bound_batches(docs.sparkSession)
         self.spark, self.shingle, self.bands = docs.sparkSession, shingle, Bands(num, den)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         kinds = "doc_id long, n_shingles long, v1 long, v2 long"

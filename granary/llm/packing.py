@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from .common import tidy
+from .common import bound_batches, tidy
 
 ROW, BUFFER_ROWS = 2_048, 1_024
 #: A run of white space longer than this is no matter for the pattern's engine, which tracks back over it.
@@ -171,6 +171,7 @@ def pack(docs: DataFrame, ranks: str | None = None, row: int = ROW, buffer_rows:
     """
     if not 0 < row < 1 << 16:
         raise ValueError("row must be from 1 to 65535")
+    bound_batches(docs.sparkSession)
     path = ranks or default_ranks()
     kinds = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     names = [c.split()[0] for c in SCHEMA.split(", ")]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import crc_split, tidy
+from .common import bound_batches, crc_split, tidy
 
 BINS, LEAVES, RATE, ROUNDS, PAIRS, PAIR_BINS, PAIR_ROUNDS = 32, 4, 0.1, 150, 8, 8, 50
 SAMPLE_ROWS = 20_000
@@ -224,6 +224,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
     A column named score is replaced; rows that repeat stay and score alike; an empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score")
     schema = docs.select("*", F.lit(0.0).alias("score")).schema

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import cut, drop, drop_path, scratch_path, small, tidy
+from .common import bound_batches, cut, drop, drop_path, scratch_path, small, tidy
 
 WINDOW, GRAM, FANOUT = 50, 10, 4
 #: Batches of a whole table: enough for a compaction.
@@ -192,6 +192,7 @@ class FingerprintIndex:
     ):
         if not 0 < gram <= window:
             raise ValueError("gram must be from 1 to window")
+        bound_batches(spark)
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
         self.path = path or scratch_path(spark, "index")
         self.tables: dict[str, str] = {}

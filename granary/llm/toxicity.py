@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import crc_split, tidy
+from .common import bound_batches, crc_split, tidy
 from .quality import _rows, labelled_sample
 
 SAMPLE_ROWS = 6_000
@@ -401,6 +401,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
 def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id and score of every row of ``docs`` (``doc_id``, ``text``; other columns are ignored).  Null scores as
     empty text; a null id stays null; rows that repeat score alike; an empty table stays empty."""
+    bound_batches(docs.sparkSession)
     matcher = docs.sparkSession.sparkContext.broadcast(grammar.freeze())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
