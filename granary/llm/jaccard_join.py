@@ -12,8 +12,8 @@ counts double.  So each set
 * probes the cheapest subsets whose allocation (1 each, 2 with one deletion) adds up to
   H + 1.  The cost of a subset falls with its size and rises if its shingles are frequent.
 
-Hashes that two sets share make buckets.  Buckets give candidate pairs, and an exact
-comparison of the sets decides.  A larger bucket is a star around its least document first; only
+Hashes that two sets share make buckets.  Buckets give candidate pairs; sizes and parity bits of
+the sets rule most of those out that aren't similar, and an exact comparison of the sets decides.  A larger bucket is a star around its least document first; only
 buckets that this leaves in more than one component give further pairs, so no group of
 copies or near copies is expanded into all its pairs.
 """
@@ -26,7 +26,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -40,8 +40,8 @@ OFTEN, CHUNK, OFTEN_KEPT = 8, 1 << 20, 1 << 16
 #: Signatures of one block of a task and of one part; both bound a task's memory.
 SIGNATURES = 1 << 19
 SIGNATURES_PER_PART = 1 << 21
-#: Documents of a bucket that are compared with all its others in the first round; twice as many in each later one.
-LEADERS = 16
+#: Documents of a bucket that are compared with all its others in the first round; four times as many in each later one.
+LEADERS = 64
 #: Documents of a bucket in one row.
 LISTED = 1 << 16
 #: Passes with signatures of segments; sets that none of them serves are compared by single shingles in one more.
@@ -49,6 +49,10 @@ SEEDS = 3
 #: How a signature takes part: indexed and probed, indexed only, one-deletion indexed,
 #: one-deletion probed, indexed and probed up to one deletion.
 BOTH, INDEX, LESS_INDEX, LESS_PROBE, WIDE = range(5)
+#: Longs of parity bits of a set, by which most pairs that can't be similar are told before their sets are read.
+PARITY = 4
+_BITS = [f"b{i}" for i in range(PARITY)]
+_K3 = np.uint64(0xD1B54A32D192ED03)
 _K1, _K2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -112,27 +116,38 @@ def _set_hash(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return tk.mix(s * _K1).sum(dtype=np.uint64), tk.mix(s ^ _K2).sum(dtype=np.uint64)
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """PARITY longs: of each of their bits whether an odd number of shingles is dealt to it.
+
+    Two sets differ in at least as many shingles as these differ in bits.
+    """
+    at = (tk.mix(s ^ _K3) >> np.uint64(32)).astype(np.int64) % (64 * PARITY)
+    return np.packbits(np.bincount(at, minlength=64 * PARITY) & 1).view(np.int64)
+
+
 def _summaries(size: int):
-    """doc_id, set size and set hash of each document; frequent shingles as rows of size -1."""
+    """doc_id, set size, set hash and parities of each document; frequent shingles as rows of size -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, n_held = set(), [], 0
+        names = ["doc_id", "n_shingles", "v1", "v2", *_BITS]
 
         def often() -> pa.RecordBatch:
             value, count = np.unique(np.concatenate(held), return_counts=True)
             value, count = value[count >= OFTEN], count[count >= OFTEN]
             n = len(value)
             columns = [pa.nulls(n, pa.int64()), pa.array(np.full(n, -1)), pa.array(tk.signed(value)), pa.array(count)]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "v1", "v2"])
+            return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(n, pa.int64())] * PARITY], names=names)
 
         for batch in batches:
-            sizes, v1, v2 = [], [], []
+            sizes, v1, v2, bits = [], [], [], []
             for b in tk.blocks(batch.column("text"), tk.SPACED, True):
                 for s in shingle_sets(b, size):
                     x, y = _set_hash(s)
                     sizes.append(len(s))
                     v1.append(x)
                     v2.append(y)
+                    bits.append(_parity(s))
                     if int(x) not in seen:
                         seen.add(int(x))
                         held.append(s)
@@ -142,7 +157,8 @@ def _summaries(size: int):
                     held, n_held = [], 0
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64())]
             columns += [pa.array(tk.signed(np.array(v, dtype=np.uint64))) for v in (v1, v2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "v1", "v2"])
+            columns += [pa.array(c) for c in np.array(bits, dtype=np.int64).reshape(-1, PARITY).T.copy()]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
         if held:
             yield often()
 
@@ -415,14 +431,16 @@ class JaccardJoin:
         bound_batches(docs.sparkSession)
         self.spark, self.shingle, self.bands = docs.sparkSession, shingle, Bands(num, den)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        kinds = "doc_id long, n_shingles long, v1 long, v2 long"
+        kinds = "doc_id long, n_shingles long, v1 long, v2 long, " + ", ".join(f"{b} long" for b in _BITS)
         said = cut(self.docs.mapInArrow(tidy(_summaries(shingle)), kinds), "sizes")
         self._tables: list[DataFrame] = []
         self.rows = said.filter("n_shingles >= 0")
         self.often = said.filter("n_shingles < 0")
         keyed = self.rows.filter("n_shingles > 0 and doc_id is not null")
         #: Classes of equal sets: (v1, v2) and the least document, which stands for the class.
-        self.classes = self._cut(keyed.groupBy("v1", "v2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+        self.classes = self._cut(keyed.groupBy("v1", "v2").agg(
+            F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("n_shingles").alias("size"), *[F.min(b).alias(b) for b in _BITS]
+        ), "classes")
         self.n_classes = self.classes.count()
 
     def _frequent(self) -> np.ndarray:
@@ -452,6 +470,9 @@ class JaccardJoin:
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets link."""
+        for c in "ab":
+            pairs = self._with_bits(pairs, c)
+        pairs = cut(pairs.filter(self._alike("a", "b")).select("a", "b"), "alike")
         n = pairs.count()
         num, den = self.bands.num, self.bands.den
         with_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(small(pairs, 24 * n), "b")
@@ -461,7 +482,21 @@ class JaccardJoin:
         shared = F.size(F.array_intersect("sa", "sb"))
         similar = den * shared >= num * (F.size("sa") + F.size("sb") - shared)
         quick = F.least(F.size("sa"), F.size("sb")) * den >= num * F.greatest(F.size("sa"), F.size("sb"))
-        return self._cut(both.filter(quick).filter(similar).select("a", "b"), "links")
+        links = self._cut(both.filter(quick).filter(similar).select("a", "b"), "links")
+        drop(pairs)
+        return links
+
+    def _with_bits(self, df: DataFrame, c: str) -> DataFrame:
+        """``df`` with the set size and the parities of the set of ``c``."""
+        side = self.bits.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", *_BITS)])
+        return df.join(small(side, 2 * self.n_bits), c, "left")
+
+    def _alike(self, a: str, b: str) -> Column:
+        """False where sizes or parities tell that sets don't link."""
+        differ = sum((F.bit_count(F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}"))) for x in _BITS), F.lit(0))
+        x, y, num, den = F.col(f"{a}_size"), F.col(f"{b}_size"), self.bands.num, self.bands.den
+        near = (F.least(x, y) * den >= num * F.greatest(x, y)) & (differ * (den + num) <= (x + y) * (den - num))
+        return F.coalesce(near, F.lit(True))
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(links, components): links (a, b) between representatives of equal sets that connect whatever
@@ -493,8 +528,12 @@ class JaccardJoin:
         stars = self._cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
         drop(pairs)
         ids = stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct()
-        wanted = self._cut(self.classes.join(ids, "rep").select(F.col("rep").alias("id"), "v1", "v2"), "ids")
+        wanted = self._cut(self.classes.join(ids, "rep").select(F.col("rep").alias("id"), "v1", "v2", "size", *_BITS), "ids")
         n = wanted.count() * 32
+        # a doc_id with several sets is its own class several times; its pairs are left to the comparison
+        self.bits = wanted.groupBy("id").agg(*[F.when(F.count("*") == 1, F.min(c)).alias(c) for c in ("size", *_BITS)])
+        self.bits, self.n_bits = self._cut(self.bits, "bits"), n
+        wanted = wanted.select("id", "v1", "v2")
         texts = self.docs.join(small(wanted.select(F.col("id").alias("doc_id")).distinct(), n), "doc_id", "left_semi")
         sets = texts.mapInArrow(tidy(_sets(self.shingle)), "id long, v1 long, v2 long, shingles array<long>")
         sets = sets.join(small(wanted, n), ["id", "v1", "v2"], "left_semi")
@@ -547,9 +586,8 @@ class JaccardJoin:
 
     def _settle(self, members: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Compare what is left: in rounds, the least documents that probe of each bucket that isn't in one
-        component against its others of like size in other components; then they leave the bucket.  A
+        component against its others in other components that sizes and parities don't rule out; then they leave the bucket.  A
         bucket stays in rows, and each task keeps only its least documents to find them, so none is ever gathered."""
-        gap = int(8 * np.log2(self.bands.den / self.bands.num)) + 2
         buckets = self._rep(members, "m").groupBy("bucket", "m").agg(F.max("s").alias("s"))
         buckets, tried, most = self._cut(buckets, "members"), None, LEADERS
         probes = F.col("s") % 2 == 1
@@ -564,10 +602,10 @@ class JaccardJoin:
             held = self._cut(now.join(small(open_, n * 16), "bucket", "left_semi"), "held")
             place = F.row_number().over(Window.partitionBy("bucket").orderBy("m"))
             lead = held.filter(probes).withColumn("place", place).filter(F.col("place") <= most)
-            lead = self._cut(lead.select("bucket", F.col("m").alias("a"), F.col("component").alias("of"), F.col("s").alias("t")), "leaders")
+            lead = lead.select("bucket", F.col("m").alias("a"), F.col("component").alias("of"))
+            lead = self._cut(self._with_bits(lead, "a"), "leaders")
             n = lead.count()
-            like = F.abs(F.floor(F.col("s") / 2) - F.floor(F.col("t") / 2)) <= gap
-            pairs = held.join(small(lead, n * 40), "bucket").filter("of <> component").filter(like)
+            pairs = self._with_bits(held, "m").join(small(lead, n * 80), "bucket").filter("of <> component").filter(self._alike("a", "m"))
             pairs = pairs.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -579,7 +617,7 @@ class JaccardJoin:
                 labels = self._labels(links) if not more.isEmpty() else labels
             gone = small(lead.select("bucket", F.col("a").alias("m")), n * 24)
             buckets = self._cut(held.select("bucket", "m", "s").join(gone, ["bucket", "m"], "left_anti"), "members")
-            most *= 2
+            most *= 4
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles and component_id (least document reachable by links) of every row."""

@@ -122,3 +122,14 @@ def test_low_thresholds_end_and_are_exact(spark):
     rows = corpus(6, 60, vocabulary=15, longest=30, copies=0.7)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert got(jj.JaccardJoin(df, num=25).components()) == brute(rows, 25)
+
+
+def test_parities_never_rule_out_a_similar_pair():
+    """Two sets differ in at least as many shingles as their parities differ in bits."""
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        a = np.unique(rnd.integers(0, 1 << 63, int(rnd.integers(1, 400)), dtype=np.uint64))
+        b = np.unique(np.r_[rnd.permutation(a)[int(rnd.integers(0, len(a))) :], rnd.integers(0, 1 << 63, int(rnd.integers(0, 60)), dtype=np.uint64)])
+        bits = int(np.unpackbits((jj._parity(a) ^ jj._parity(b)).view(np.uint8)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+    assert not jj._parity(a[:0]).any()
