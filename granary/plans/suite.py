@@ -311,7 +311,7 @@ def outcome_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select r_name, n_name from region, nation")
 def cross_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers by segments: two lists of fixed size."""
-    return read(spark, sf_dir, "region").select("r_name").crossJoin(F.broadcast(read(spark, sf_dir, "nation").select("n_name")))
+    return read(spark, sf_dir, "region").select("r_name").crossJoin(matching.short(read(spark, sf_dir, "nation").select("n_name")))
 
 
 @query(

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from granary.scratch import cut
 
 DEPTH, LEAST, MOST, MEMBERS = 3, 64, 512 << 20, 4_096
+#: Packed bytes that are inflated at a time.
+PIECE = 1 << 20
 _PACKED = re.compile(rb"(?=\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda])")
 PACK = b"\0\0\1\xba"
 _SCHEMA = "entry long, path string, content binary"
@@ -32,14 +34,17 @@ def members(data: bytes) -> Iterator[tuple[str, int, int, bytes]]:
         gz = data[at] == 0x1F
         if not gz and int.from_bytes(data[at : at + 2], "big") % 31:
             continue
-        box = zlib.decompressobj(31 if gz else 15)
-        try:
-            out = box.decompress(memoryview(data)[at:], MOST)
+        box, out, to = zlib.decompressobj(31 if gz else 15), bytearray(), at
+        try:  # a piece at a time: most places aren't members, and fail soon
+            while to < len(data) and not box.eof and len(out) < MOST:
+                piece = data[to : to + PIECE]
+                out += box.decompress(piece, MOST - len(out))
+                to += len(piece)
         except zlib.error:
             continue
         if box.eof and LEAST <= len(out) < MOST:
-            covered, n = len(data) - len(box.unused_data), n + 1
-            yield "gz" if gz else "zlib", at, covered, out
+            covered, n = to - len(box.unused_data), n + 1
+            yield "gz" if gz else "zlib", at, covered, bytes(out)
 
 
 def demux(data: bytes) -> dict[int, bytes]:
