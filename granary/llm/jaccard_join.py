@@ -21,7 +21,7 @@ copies or near copies is expanded into all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import isqrt
 
 import numpy as np
@@ -50,8 +50,11 @@ SEEDS = 3
 #: one-deletion probed, indexed and probed up to one deletion.
 BOTH, INDEX, LESS_INDEX, LESS_PROBE, WIDE = range(5)
 #: Longs of parity bits of a set, by which most pairs that can't be similar are told before their sets are read.
-PARITY = 4
+PARITY = 16
 _BITS = [f"b{i}" for i in range(PARITY)]
+#: Longs that they are folded to where pairs are many.
+FOLDED = 4
+_FOLDS = [f"f{i}" for i in range(FOLDED)]
 _K3 = np.uint64(0xD1B54A32D192ED03)
 _K1, _K2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -471,8 +474,8 @@ class JaccardJoin:
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets link."""
         for c in "ab":
-            pairs = self._with_bits(pairs, c)
-        pairs = cut(pairs.filter(self._alike("a", "b")).select("a", "b"), "alike")
+            pairs = self._with_bits(pairs, c, _BITS)
+        pairs = cut(pairs.filter(self._alike("a", "b", _BITS)).select("a", "b"), "alike")
         n = pairs.count()
         num, den = self.bands.num, self.bands.den
         with_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(small(pairs, 24 * n), "b")
@@ -486,14 +489,16 @@ class JaccardJoin:
         drop(pairs)
         return links
 
-    def _with_bits(self, df: DataFrame, c: str) -> DataFrame:
-        """``df`` with the set size and the parities of the set of ``c``."""
-        side = self.bits.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", *_BITS)])
-        return df.join(small(side, 2 * self.n_bits), c, "left")
+    def _with_bits(self, df: DataFrame, c: str, which: list[str]) -> DataFrame:
+        """``df`` with the set size and the parities (whole or folded) of the set of ``c``."""
+        folds = {f: reduce(Column.bitwiseXOR, (F.col(b) for b in _BITS[i::FOLDED])) for i, f in enumerate(_FOLDS)}
+        columns = {"size": F.col("size"), **{x: folds.get(x, F.col(x)) for x in which}}
+        side = self.bits.select(F.col("id").alias(c), *[v.alias(f"{c}_{x}") for x, v in columns.items()])
+        return df.join(small(side, self.n_bits * (16 + 8 * len(which))), c, "left")
 
-    def _alike(self, a: str, b: str) -> Column:
+    def _alike(self, a: str, b: str, which: list[str]) -> Column:
         """False where sizes or parities tell that sets don't link."""
-        differ = sum((F.bit_count(F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}"))) for x in _BITS), F.lit(0))
+        differ = sum((F.bit_count(F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}"))) for x in which), F.lit(0))
         x, y, num, den = F.col(f"{a}_size"), F.col(f"{b}_size"), self.bands.num, self.bands.den
         near = (F.least(x, y) * den >= num * F.greatest(x, y)) & (differ * (den + num) <= (x + y) * (den - num))
         return F.coalesce(near, F.lit(True))
@@ -506,7 +511,7 @@ class JaccardJoin:
         follow from ``components()`` joined with itself on ``component_id`` and compared.
         """
         reps = self.rows.filter("n_shingles > 0 and doc_id is not null").join(
-            small(self.classes, self.n_classes * 32), ["v1", "v2"]
+            small(self.classes.select("v1", "v2", "rep"), self.n_classes * 32), ["v1", "v2"]
         )
         self.others = self._cut(reps.filter("doc_id <> rep").select("doc_id", "rep", "v1", "v2").distinct(), "others")
         self.n_others = self.others.count()
@@ -532,7 +537,7 @@ class JaccardJoin:
         n = wanted.count() * 32
         # a doc_id with several sets is its own class several times; its pairs are left to the comparison
         self.bits = wanted.groupBy("id").agg(*[F.when(F.count("*") == 1, F.min(c)).alias(c) for c in ("size", *_BITS)])
-        self.bits, self.n_bits = self._cut(self.bits, "bits"), n
+        self.bits, self.n_bits = self._cut(self.bits, "bits"), n // 32
         wanted = wanted.select("id", "v1", "v2")
         texts = self.docs.join(small(wanted.select(F.col("id").alias("doc_id")).distinct(), n), "doc_id", "left_semi")
         sets = texts.mapInArrow(tidy(_sets(self.shingle)), "id long, v1 long, v2 long, shingles array<long>")
@@ -603,9 +608,10 @@ class JaccardJoin:
             place = F.row_number().over(Window.partitionBy("bucket").orderBy("m"))
             lead = held.filter(probes).withColumn("place", place).filter(F.col("place") <= most)
             lead = lead.select("bucket", F.col("m").alias("a"), F.col("component").alias("of"))
-            lead = self._cut(self._with_bits(lead, "a"), "leaders")
+            lead = self._cut(self._with_bits(lead, "a", _FOLDS), "leaders")
             n = lead.count()
-            pairs = self._with_bits(held, "m").join(small(lead, n * 80), "bucket").filter("of <> component").filter(self._alike("a", "m"))
+            pairs = self._with_bits(held, "m", _FOLDS).join(small(lead, n * 64), "bucket")
+            pairs = pairs.filter("of <> component").filter(self._alike("a", "m", _FOLDS))
             pairs = pairs.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
