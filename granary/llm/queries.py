@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, near_vectors, packing, quality, sharding, substring_dedup, toxicity
+from . import (
+    bpe, decontaminate, exact_dedup, fill_in_middle, jaccard_join, line_dedup, near_vectors, packing, quality, sharding, spelling,
+    substring_dedup, toxicity,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +55,18 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.op10_near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.op11_fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op12_spelling(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.op13_exact_dedup(table(spark, sf_dir, "documents"))
+
+
 OPERATORS: tuple[Query, ...] = (
     op1_jaccard_join,
     op2_packing,
@@ -63,6 +78,9 @@ OPERATORS: tuple[Query, ...] = (
     op8_sharding,
     op9_quality,
     op10_near_vectors,
+    op11_fill_in_middle,
+    op12_spelling,
+    op13_exact_dedup,
 )
 
 
@@ -78,4 +96,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.ORACLE,
         "op10_near_vectors": near_vectors.ORACLE,
         "op8_sharding": sharding.oracle(),
+        "op11_fill_in_middle": fill_in_middle.ORACLE,
+        "op12_spelling": spelling.oracle(),
+        "op13_exact_dedup": exact_dedup.ORACLE,
     }
