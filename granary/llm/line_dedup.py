@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop, small
 
-MIN_LINES = 2
+MIN_LINES = 1
 _BLANK = " \t\r\f\x0b"
 _PLACE = ("doc_id", "part", "i")
 
@@ -45,6 +45,17 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "part", "i", F.col("x.n").alias("n"), F.col("x.line").alias("line"))
 
 
+def _distinct_places(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with each place once: rows of ``docs`` that repeat id and text are one document.  Ids alone say where to look."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    twice = cut(ids.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"), "twice")
+    if not (n := twice.count()):
+        drop(twice)
+        return rows
+    few = small(twice, n * 16)
+    return rows.join(few, "doc_id", "left_anti").unionByName(rows.join(few, "doc_id", "left_semi").dropDuplicates([*_PLACE]))
+
+
 def _ranked(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """``rows`` whose ``keys`` occur at least twice, with the ``rank`` of the keys in the order of ``by`` and
     the ``first`` place that has them instead of the keys."""
@@ -65,7 +76,7 @@ def suffix_levels(docs: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int
     text); equal ranks are one interval; ``first`` is the earliest (doc_id, part, i) of the interval.
     The tables are in the shared folder; the caller drops them.
     """
-    lines = cut(line_table(docs).select(*_PLACE, "line", F.xxhash64("line").alias("h")), "lines")
+    lines = cut(_distinct_places(docs, line_table(docs).select(*_PLACE, "line", F.xxhash64("line").alias("h"))), "lines")
     often = cut(lines.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "often")
     rows = lines.join(small(often, often.count() * 16), "h", "left_semi")
     levels = [(1, _ranked(rows, ["h", "line"], ["h"]))]
@@ -193,10 +204,8 @@ with l as (
     select doc_id, unnest(range(len(s))) as n, unnest(s) as line
     from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null))
   where length(translate(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11), '')) > 0),
-w as (select *, lead(line) over (partition by doc_id order by i) as line2,
-  lead(n) over (partition by doc_id order by i) as n2 from l),
-f as (select *, row_number() over (partition by line, line2 order by doc_id, i) as k from w where line2 is not null),
-gone as (select doc_id, n from f where k > 1 union select doc_id, n2 from f where k > 1),
+f as (select *, row_number() over (partition by line order by doc_id, i) as k from l),
+gone as (select doc_id, n from f where k > 1),
 d as (select doc_id, unnest(range(len(s))) as n, unnest(s) as line
   from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null)),
 kept as (select doc_id, string_agg(line, chr(10) order by n) as t

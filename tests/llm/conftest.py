@@ -18,7 +18,7 @@ def awkward(spark):
     lines = [" ".join(rnd.choice(words) for _ in range(6)) for _ in range(12)]
     texts = [
         (1, " ".join(base)), (2, None), (3, ""), (None, " ".join(base)), (4, " \n\t \n"), (5, " ".join(rnd.choice(words) for _ in range(60_000))),
-        (6, " ".join(base)), (6, " ".join(base)), (7, " ".join(near)), (8, "one two"), (9, "One TWO"), (10, "\n".join(lines)),
+        *[(6, " ".join(base))] * 50, (7, " ".join(near)), (8, "one two"), (9, "One TWO"), (10, "\n".join(lines)),
         (11, "\n".join(lines[3:9])), (12, "x\n\n" + "\n".join(lines[2:5]) + "\n"), (13, "é ñ 日本 😀 <|endoftext|> 'll   z"), (14, "a" * 70_000),
         (6, "other text of the same id"), (None, None), (15, "Idiot! You are pathetic.\nShe said he is not stupid."), (16, "\x00 nul \x7f"),
         (17, "x" + " " * 1_000_000 + "y"), (18, "\n" * 300_000),

@@ -39,8 +39,10 @@ def test_against_brute_force(spark, seed, k):
 def test_awkward_rows(spark, awkward, empty):
     rows = [(r.doc_id, r.text) for r in awkward.filter("doc_id <> 6").collect()]
     out = ld.deduplicate_lines(awkward)
-    assert got(out.filter("doc_id <> 6")) == brute(rows, 2)
-    assert out.filter("doc_id is null or doc_id = 6").agg(F.sum("n_removed")).first()[0] == 0
+    assert got(out.filter("doc_id <> 6")) == brute(rows, 1)
+    assert out.filter("doc_id is null").agg(F.sum("n_removed")).first()[0] == 0
+    # copies of document 1 in one line, fifty of them, and another text of their id
+    assert {tuple(r) for r in out.filter("doc_id = 6").groupBy("n_removed").count().collect()} == {(1, 50), (0, 1)}
     assert set(awkward.columns) <= set(out.columns) and out.count() == awkward.count()
     assert ld.op7_line_dedup(empty).count() == 0
 
@@ -77,8 +79,8 @@ def test_runs_are_maximal_and_their_lengths_exact(spark):
     for spans in seen.values():
         assert not any(a != b and b[0] <= a[0] and a[1] <= b[1] for a in spans for b in spans)
     assert {(r.doc_id, r.i, r.n, r.source.doc_id, r.source.i) for r in runs} >= {(701, 0, 75, 700, 1), (702, 1, 75, 700, 1), (601, 0, 12, 600, 0), (600, 1, 36, 600, 0)}
-    assert got(ld.deduplicate_lines(df)) == brute(rows, 2)
-    shown = {r.doc_id: r.runs for r in ld.deduplicate_lines(df).collect()}
+    assert got(ld.deduplicate_lines(df, 2)) == brute(rows, 2)
+    shown = {r.doc_id: r.runs for r in ld.deduplicate_lines(df, 2).collect()}
     assert [tuple(x) for x in shown[702]] == [(1, 75, 700, 1)]
 
 
@@ -88,3 +90,16 @@ def test_levels_double_until_no_suffix_is_repeated(spark):
     levels = ld.suffix_levels(df, 3)
     assert [d for d, _ in levels] == [1, 2, 3, 6, 12]
     assert [level.count() for _, level in levels] == [40, 38, 36, 30, 18]
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_repeated_rows_are_one_document(spark, least):
+    """Fifty times two rows: no place is carried on more than once, and each row loses what the first of its kind does."""
+    lines = [f"line {k}" for k in range(7)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["own", *lines[2:]]))]
+    df = spark.createDataFrame(rows * 50 + [(3, "\n".join(lines))], "doc_id long, text string")
+    runs = ld.repeated_runs(df, least)
+    assert sorted((r.doc_id, r.i, r.n) for r in runs.collect()) == [(2, 1, 5), (3, 0, 7)]
+    assert all(level.count() == level.select("doc_id", "part", "i").distinct().count() for _, level in ld.suffix_levels(df, least))
+    out = {(r.doc_id, r.n_removed, r["count"]) for r in ld.deduplicate_lines(df, least).groupBy("doc_id", "n_removed").count().collect()}
+    assert out == {(1, 0, 50), (2, 5, 50), (3, 7, 1)}

@@ -19,7 +19,7 @@ def test_stages(spark, tmp_path):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     gone = docs.join(seen[1], "doc_id", "left_anti").join(labels, "doc_id")
     assert gone.filter("quality = 1").count() == 0 and seen[1].join(labels, "doc_id").filter("quality = 0").count() <= 1
-    assert sorted((i, t) for i, _, _, t in lines(pairs(seen[1]), 2)) == sorted(pairs(seen[2]))
+    assert sorted((i, t) for i, _, _, t in lines(pairs(seen[1]), 1)) == sorted(pairs(seen[2]))
     assert seen[2].filter("n_chars <> length(text)").count() == 0
     kept = {i for i, _, c in components(pairs(seen[2])) if i == c}
     assert {i for i, _ in pairs(seen[3])} == kept
