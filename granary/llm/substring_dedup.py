@@ -2,20 +2,21 @@
 
 A passage is a window of ``window`` consecutive words.  Of the ``gram``-word hashes inside a
 window the least one is the window's fingerprint, so equal windows have equal fingerprints,
-and a text keeps only about one fingerprint for every twenty words.  The index holds postings
-``(fp, doc_id, part, n)``, ``n`` windows of a document under a fingerprint, in immutable runs that are
-dealt into buckets by fingerprint and sorted in them.  A new batch of documents
+and a text keeps only about one fingerprint for every twenty words.  The index holds two kinds of immutable
+runs, each dealt into buckets by its key and sorted in them: postings ``(fp, doc_id, part)``, a document that has windows
+under a fingerprint, and edges ``(w, fp, doc_id)``, single windows by their hash.  A new batch of documents
 
 1. is turned into postings dealt and sorted in the same way,
-2. is merge-joined with each run, bucket by bucket: history is read where it lies and never
+2. is merge-joined with each run of postings, bucket by bucket: history is read where it lies and never
    exchanged; only postings of fingerprints that the batch has, too, are taken from it,
 3. has the windows under fingerprints that another document has, too, hashed, and those of the
-   documents found in the runs, the only texts of history that are looked at; both sides are joined on
-   (fingerprint, window hash): the verification, by two hashes of 64 bits each, not by the words,
+   documents found in the runs, the only texts of history that are looked at; the windows are reduced to
+   their least documents, and merge-joined with each run of edges: the verification, by two hashes of 64 bits each, not by the words,
 4. loses each word covered by a window that also starts in a document with a smaller id,
-5. leaves its postings as a run of level 0, without those whose windows all start in a document
-   with a smaller id: whoever has them later meets that document.  So a passage that everyone
-   has keeps few postings,
+5. leaves as runs of level 0 its postings of fingerprints that nobody had before it (of those that several of its
+   documents have, the least one's), and as edges the windows under all other fingerprints that nobody had before.
+   So a fingerprint keeps one document whose text is read when it is met again, however many have it: of the
+   others only what isn't in an earlier document stays, the windows over the edges of a passage, by hash,
 6. triggers compaction of any level that has ``fanout`` runs, the one step that rewrites history.
 
 Joins are shuffled unless the measured size of a side allows a broadcast.  No step gathers
@@ -78,10 +79,9 @@ def _postings(window: int, gram: int):
                 order = np.lexsort((fp, doc))
                 doc, fp = doc[order], fp[order]
                 new = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])])
-                n = np.diff(np.r_[new, len(fp)])
                 doc, fp = b.first + doc[new], fp[new]
-                columns = [pa.array(tk.signed(fp)), pa.array(ids[doc]), pa.array(parts[doc]), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["fp", "doc_id", "part", "n"])
+                columns = [pa.array(tk.signed(fp)), pa.array(ids[doc]), pa.array(parts[doc])]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "doc_id", "part"])
 
     return run
 
@@ -114,28 +114,24 @@ def _windows(window: int, gram: int):
     return run
 
 
-_POSTING = "fp long, doc_id long, part int, n int"
-_SPANS = "doc_id long, part int, span_start array<int>, span_end array<int>, fps array<long>, counts array<int>"
+_POSTING, _EDGE = "fp long, doc_id long, part int", "w long, fp long, doc_id long"
+_SPANS = "doc_id long, part int, span_start array<int>, span_end array<int>"
 
 
 def _spans(window: int):
-    """Sorted disjoint word spans from the first words of covered windows, and how many of them each fingerprint has."""
+    """Sorted disjoint word spans from the first words of covered windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, ends, fps, counts = [], [], [], []
+            starts, ends = [], []
             for found in batch.column("found"):
-                p = np.unique(found.values.field("pos").to_numpy())
+                p = np.unique(found.values.to_numpy())
                 new = np.r_[True, np.diff(p) > window]
                 starts.append(p[new])
                 ends.append(p[np.r_[np.flatnonzero(new)[1:] - 1, len(p) - 1]] + window)
-                fp, n = np.unique(found.values.field("fp").to_numpy(), return_counts=True)
-                fps.append(fp)
-                counts.append(n)
             columns = [batch.column("doc_id"), batch.column("part")]
             columns += [pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)]
-            columns += [pa.array(fps, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "span_start", "span_end", "fps", "counts"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "span_start", "span_end"])
 
     return run
 
@@ -179,7 +175,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Immutable runs of postings below a folder that driver and executors share, bucketed and sorted by fingerprint.
+    """Immutable runs of postings and of edges below a folder that driver and executors share, bucketed and sorted by key.
 
     ``path``: an index left there is opened again.  ``fanout``: so many runs of one level are
     merged into one of the next.  ``buckets``: of each run; of an index opened again, those it has
@@ -196,39 +192,40 @@ class FingerprintIndex:
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
         self.path = path or scratch_path(spark, "index")
         self.tables: dict[str, str] = {}
-        found = self._found()
-        self.buckets = int(found[0][1].rsplit("-", 1)[1]) if found else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[int, str]] = found
+        self.runs, self.edges = self._found("run"), self._found("edge")
+        old = self.runs or self.edges
+        self.buckets = int(old[0][1].rsplit("-", 1)[1]) if old else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _found(self) -> list[tuple[int, str]]:
+    def _found(self, kind: str) -> list[tuple[int, str]]:
         folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
         done = [n for n in names if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted((int(n.split("-")[1]), f"{self.path}/{n}") for n in done if n.startswith("run-"))
+        return sorted((int(n.split("-")[1]), f"{self.path}/{n}") for n in done if n.startswith(f"{kind}-"))
 
-    def _bucketed(self, postings: DataFrame, path: str) -> None:
-        """Write a table at ``path``: one sorted file for each bucket."""
-        rows = postings.repartition(self.buckets, "fp").sortWithinPartitions("fp", "doc_id")
-        name = self._name(path)
-        rows.write.bucketBy(self.buckets, "fp").sortBy("fp", "doc_id").option("path", path).format("parquet").saveAsTable(name)
+    def _bucketed(self, rows: DataFrame, path: str) -> None:
+        """Write a table at ``path``: one file for each bucket of the first column, sorted by all."""
+        key = rows.columns[0]
+        dealt = rows.repartition(self.buckets, key).sortWithinPartitions(*rows.columns)
+        dealt.write.bucketBy(self.buckets, key).sortBy(*rows.columns).option("path", path).format("parquet").saveAsTable(self._name(path))
 
     def _name(self, path: str) -> str:
         return self.tables.setdefault(path, f"granary_run_{uuid.uuid4().hex}")
 
-    def _write(self, level: int, postings: DataFrame) -> str:
-        used = [int(p.rsplit("-", 2)[1]) for _, p in self.runs]
-        path = f"{self.path}/run-{level}-{max(used, default=-1) + 1:06d}-{self.buckets}"
-        self._bucketed(postings, path)
-        self.runs.append((level, path))
-        return path
+    def _write(self, runs: list[tuple[int, str]], level: int, rows: DataFrame) -> None:
+        kind = "run" if runs is self.runs else "edge"
+        used = [int(p.rsplit("-", 2)[1]) for _, p in runs]
+        path = f"{self.path}/{kind}-{level}-{max(used, default=-1) + 1:06d}-{self.buckets}"
+        self._bucketed(rows, path)
+        runs.append((level, path))
 
-    def _read(self, path: str) -> DataFrame:
+    def _read(self, path: str, columns: str = _POSTING) -> DataFrame:
         """A run as a bucketed table of this session's catalog."""
         name = self._name(path)
         if not self.spark.catalog.tableExists(name):
+            names = [c.split()[0] for c in columns.split(", ")]
             self.spark.sql(
-                f"create table {name} ({_POSTING}) using parquet clustered by (fp) sorted by (fp, doc_id) "
+                f"create table {name} ({columns}) using parquet clustered by ({names[0]}) sorted by ({', '.join(names)}) "
                 f"into {self.buckets} buckets location '{path}'"
             )
         return self.spark.table(name)
@@ -240,9 +237,9 @@ class FingerprintIndex:
 
     def remove(self) -> None:
         """Remove the index and all that it has below ``path``."""
-        for _, path in self.runs:
+        for path in [p for _, p in [*self.runs, *self.edges]] + list(self.tables):
             self._remove(path)
-        self.runs = []
+        self.runs, self.edges = [], []
         drop_path(self.spark, self.path)
 
     def postings(self) -> DataFrame:
@@ -252,18 +249,25 @@ class FingerprintIndex:
             out = out.unionByName(self._read(path))
         return out
 
+    def windows(self) -> DataFrame:
+        """All edges of all runs."""
+        out = self.spark.createDataFrame([], _EDGE)
+        for _, path in self.edges:
+            out = out.unionByName(self._read(path, _EDGE))
+        return out
+
     def compact(self) -> None:
-        """Merge runs while some level has ``fanout`` of them."""
-        while full := [lv for lv in {lv for lv, _ in self.runs} if sum(x == lv for x, _ in self.runs) >= self.fanout]:
-            level = min(full)
-            old = [r for r in self.runs if r[0] == level]
-            merged = self._read(old[0][1])
-            for _, path in old[1:]:
-                merged = merged.unionByName(self._read(path))
-            self._write(level + 1, merged.dropDuplicates(["fp", "doc_id", "part"]))
-            self.runs = [r for r in self.runs if r not in old]
-            for _, path in old:
-                self._remove(path)
+        """Merge runs of one kind while some level has ``fanout`` of them."""
+        for runs, columns in ((self.runs, _POSTING), (self.edges, _EDGE)):
+            while full := [lv for lv in {lv for lv, _ in runs} if sum(x == lv for x, _ in runs) >= self.fanout]:
+                old = [r for r in runs if r[0] == min(full)]
+                merged = self._read(old[0][1], columns)
+                for _, path in old[1:]:
+                    merged = merged.unionByName(self._read(path, columns))
+                self._write(runs, min(full) + 1, merged.distinct())
+                for r in old:
+                    runs.remove(r)
+                    self._remove(r[1])
 
     def known(self, new: DataFrame, run: str) -> DataFrame:
         """(fp, doc_id, part) of a run for the fingerprints that the bucketed postings ``new`` have, too.
@@ -272,6 +276,12 @@ class FingerprintIndex:
         """
         return self._read(run).hint("merge").join(new.select("fp").distinct(), "fp").select("fp", "doc_id", "part")
 
+    def _held(self, ends: DataFrame, run: str) -> DataFrame:
+        """(fp, w, doc_id) of a run of edges for the bucketed windows ``ends``, joined like ``known``."""
+        mine = ends.select("w", F.col("fp").alias("fp2"))
+        both = self._read(run, _EDGE).hint("merge").join(mine, "w")
+        return both.filter(F.col("fp").bitwiseXOR(F.col("fp2")) == 0).select("fp", "w", "doc_id")  # no key of the join, which would exchange
+
     def deduplicate(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Add a batch and remove from it what documents with smaller ids have, in it or before it.
 
@@ -282,35 +292,50 @@ class FingerprintIndex:
         an id are compared by text, and none of them is earlier than another; an empty batch
         gives no rows.
         """
-        fresh = f"{self.path}/batch-{uuid.uuid4().hex}"
+        fresh, met = (f"{self.path}/{what}-{uuid.uuid4().hex}" for what in ("batch", "met"))
         rows = _keyed(batch).filter("doc_id is not null and text is not null")
-        self._bucketed(rows.mapInArrow(tidy(_postings(self.window, self.gram)), _POSTING), fresh)
+        self._bucketed(rows.mapInArrow(tidy(_postings(self.window, self.gram)), _POSTING).distinct(), fresh)
         new = self._read(fresh)
-        found = self.spark.createDataFrame([], "fp long, doc_id long, part int")
+        found = self.spark.createDataFrame([], _POSTING)
         for _, path in self.runs if history is not None else []:
             found = found.unionByName(self.known(new, path))
         found = cut(found, "known")
+        old = found.select("fp", F.lit(None).cast("long").alias("lo")).distinct()
         ends = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        shared = cut(ends.filter("lo < hi").select("fp").union(found.select("fp")).distinct(), "shared")
-        mine = new.join(small(shared, shared.count() * 16), "fp", "left_semi")
-        windows = self._windows_of(_keyed(batch), mine)
-        every = windows
+        # lo: of a fingerprint that is new to the index the least document, which keeps its posting
+        shared = ends.filter("lo < hi").select("fp", "lo").unionByName(old)
+        shared = cut(shared.groupBy("fp").agg(F.when(F.count("lo") == F.count("*"), F.min("lo")).alias("lo")), "shared")
+        few = small(shared, shared.count() * 24)
+        windows = self._windows_of(_keyed(batch), new.join(few, "fp", "left_semi"))
+        every = windows.select("fp", "w", "doc_id", F.lit(True).alias("mine"))
         if history is not None and not found.isEmpty():
-            every = windows.unionByName(self._windows_of(_keyed(history), found))
-        first = every.groupBy("fp", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-        first = cut(first.drop("hi"), "first")  # read anew, so that the join below can split a hot window
+            theirs = self._windows_of(_keyed(history), found)
+            every = every.unionByName(theirs.select("fp", "w", "doc_id", F.lit(False).alias("mine")))
+        hi = F.max(F.when(F.col("mine"), F.col("doc_id"))).alias("hi")
+        least = every.groupBy("w", "fp").agg(F.min("doc_id").alias("lo"), F.min(F.when(~F.col("mine"), F.col("doc_id"))).alias("old"), hi)
+        self._bucketed(least.filter("hi is not null"), met)
+        met_ = self._read(met, "w long, fp long, lo long, old long, hi long")
+        held = self.spark.createDataFrame([], "fp long, w long, doc_id long")
+        for _, path in self.edges:
+            held = held.unionByName(self._held(met_, path))
+        held = held.groupBy("fp", "w").agg(F.min("doc_id").alias("held"))
+        least = cut(met_.join(held, ["fp", "w"], "left"), "least")  # read anew, so that the join below can split a hot window
+        first = least.withColumn("lo", F.least("lo", "held")).filter("lo < hi").select("fp", "w", "lo")
         later = windows.join(first, ["fp", "w"]).filter("doc_id > lo")
-        spans = later.groupBy("doc_id", "part").agg(F.collect_list(F.struct("fp", "pos")).alias("found"))
+        spans = later.groupBy("doc_id", "part").agg(F.collect_set("pos").alias("found"))
         spans = cut(spans.mapInArrow(tidy(_spans(self.window)), _SPANS), "spans")
-        drop(found, shared, first, *self._lists)
-        self._lists = []
-        covered = spans.select("doc_id", "part", F.explode(F.arrays_zip("fps", "counts")).alias("x"))
-        covered = covered.select(F.col("x.fps").alias("fp"), "doc_id", "part", F.col("x.counts").alias("n"))
-        self._write(0, new.join(covered, ["fp", "doc_id", "part", "n"], "left_anti"))
+        kept = new.join(few.withColumnRenamed("lo", "_lo").withColumn("_met", F.lit(True)), "fp", "left")
+        self._write(self.runs, 0, kept.filter("_met is null or doc_id = _lo").select("fp", "doc_id", "part"))
+        # windows that start nowhere before the batch, but for those of the document that keeps the posting
+        edges = least.filter("(old is null or lo < old) and (held is null or lo < held)").select("w", "fp", F.col("lo").alias("doc_id"))
+        edges = edges.join(few.withColumnRenamed("lo", "_lo"), "fp").filter("_lo is null or _lo <> doc_id").select("w", "fp", "doc_id")
+        self._write(self.edges, 0, edges)
         self._remove(fresh)
+        self._remove(met)
+        drop(found, shared, least, *self._lists)
+        self._lists = []
         self.compact()
         size = spans.agg(F.sum(F.size("span_start") * 8 + 48)).first()[0] or 0
-        spans = spans.drop("fps", "counts")
         return _keyed(batch).join(small(spans, size), ["doc_id", "part"], "left").mapInArrow(
             tidy(_without),
             "doc_id long, n_words long, n_removed long, kept_text string, span_start array<int>, span_end array<int>",
@@ -338,13 +363,15 @@ def deduplicate_substrings(docs: DataFrame, batches: int = BATCHES, window: int
     edges = [low + (high + 1 - low) * i // batches for i in range(1, batches)]
     edges = sorted({e for e in edges if low < e <= high})
     out = None
-    for i, (a, b) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
-        after = F.lit(True) if a is None else F.col("doc_id") >= a
-        inside = after & (F.lit(True) if b is None else F.col("doc_id") < b)
-        batch = docs.filter(inside | F.col("doc_id").isNull() if i == 0 else inside)
-        part = index.deduplicate(batch, docs.filter(F.col("doc_id") < a) if i else None)
-        out = part if out is None else out.unionByName(part)
-    index.remove()
+    try:
+        for i, (a, b) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+            after = F.lit(True) if a is None else F.col("doc_id") >= a
+            inside = after & (F.lit(True) if b is None else F.col("doc_id") < b)
+            batch = docs.filter(inside | F.col("doc_id").isNull() if i == 0 else inside)
+            part = index.deduplicate(batch, docs.filter(F.col("doc_id") < a) if i else None)
+            out = part if out is None else out.unionByName(part)
+    finally:
+        index.remove()  # its tables are in the user's catalog
     return out
 
 

@@ -61,7 +61,7 @@ def test_history_is_merged_where_it_lies(spark, tmp_path):
     old, new = (path for _, path in index.runs)
     found = index.known(index._read(new), old)
     found.collect()
-    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]  # the plan that ran
     assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2
 
 
@@ -77,8 +77,37 @@ def test_postings_that_an_earlier_document_has_are_left_out(spark):
     assert sorted(out, key=str) == brute(rows, 8)
     hot = index.postings().groupBy("fp").count()
     assert hot.agg({"count": "max"}).first()[0] == 1
+    edges = index.windows().groupBy("w").count()
+    assert edges.agg({"count": "max"}).first()[0] == 1 and edges.count() >= 20
     path = index.path.removeprefix("file:")
     index.remove()
     import os
 
     assert not os.path.exists(path)
+
+
+def test_texts_of_history_are_read_once_for_a_passage(spark, monkeypatch):
+    """However many documents have a passage, a later batch reads the text of the first for it."""
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(i, " ".join(f"o{i}x{k}" for k in range(9)) + f" {shared} own{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index, read = sd.FingerprintIndex(spark, window=8, gram=4), []
+    plain = sd.FingerprintIndex._windows_of
+    monkeypatch.setattr(sd.FingerprintIndex, "_windows_of", lambda self, d, p: read.append(p.select("doc_id").distinct().count()) or plain(self, d, p))
+    index.deduplicate(df.filter("doc_id < 40")).collect()
+    read.clear()
+    out = index.deduplicate(df.filter("doc_id >= 40"), df.filter("doc_id < 40")).collect()
+    assert read == [20, 1] and {r.n_removed for r in out} == {60}
+    index.remove()
+
+
+def test_batches_in_any_order(spark):
+    """A later batch with smaller ids is covered by nothing after it, and covers later ones."""
+    rows = corpus(9, 90, vocabulary=10, longest=40, copies=0.6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = sd.FingerprintIndex(spark, window=6, gram=3)
+    index.deduplicate(df.filter("doc_id > 100 and doc_id <= 180"))
+    index.deduplicate(df.filter("doc_id <= 100"), df.filter("doc_id > 100 and doc_id <= 180"))
+    out = got(index.deduplicate(df.filter("doc_id > 180"), df.filter("doc_id <= 180")))
+    assert out == [r for r in brute(rows, 6) if r[0] > 180]
+    index.remove()
