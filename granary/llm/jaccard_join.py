@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from math import isqrt
+from math import isqrt, log
 
 import numpy as np
 import pyarrow as pa
@@ -517,10 +517,12 @@ class JaccardJoin:
         self.n_others = self.others.count()
         often = self.spark.sparkContext.broadcast(self._frequent())
         found = self._signed(often, 0)
+        signed = [found]
         again, seed = found.filter("b is null and members is null").select("a"), 0
         while again.count():
             seed += 1
             more = self._signed(often, seed)
+            signed.append(more)
             again = self._cut(again.intersect(more.filter("b is null and members is null").select("a")), "again")
             found = found.unionByName(more)
         # parts may have the same bucket; a row of a bucket is known by its first document
@@ -532,6 +534,7 @@ class JaccardJoin:
         stars = self._rep(pairs, "a", "b").filter("a <> b")
         stars = self._cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
         drop(pairs)
+        self._drop(*signed)
         ids = stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct()
         wanted = self._cut(self.classes.join(ids, "rep").select(F.col("rep").alias("id"), "v1", "v2", "size", *_BITS), "ids")
         n = wanted.count() * 32
@@ -551,17 +554,24 @@ class JaccardJoin:
         labels = self._labels(links)
         rest = stars.join(first.withColumn("done", F.lit(True)), ["a", "b"], "left").filter("done is null").drop("done")
         rest = self._cut(self._apart(rest, labels), "pairs")
+        self._drop(stars, first)
         if rest.count():
             more = self._verified(rest, sets)
             links = links.unionByName(more)
             labels = self._labels(links) if not more.isEmpty() else labels
-        return self._settle(members.select("bucket", "m", "s"), links, labels, sets)
+        self._drop(rest)
+        return self._settle(members, links, labels, sets)
 
     def _cut(self, df: DataFrame, what: str) -> DataFrame:
         """A table that ``close`` removes."""
         self._tables.append(cut(df, what))
         return self._tables[-1]
 
+    def _drop(self, *frames: DataFrame) -> None:
+        """Remove tables that no later step reads."""
+        drop(*frames)
+        self._tables = [t for t in self._tables if not any(t is f for f in frames)]
+
     def close(self) -> None:
         """Remove the tables of all steps but the sizes; what ``links`` returned can't be read any more."""
         drop(*self._tables)
@@ -593,8 +603,9 @@ class JaccardJoin:
         """Compare what is left: in rounds, the least documents that probe of each bucket that isn't in one
         component against its others in other components that sizes and parities don't rule out; then they leave the bucket.  A
         bucket stays in rows, and each task keeps only its least documents to find them, so none is ever gathered."""
-        buckets = self._rep(members, "m").groupBy("bucket", "m").agg(F.max("s").alias("s"))
+        buckets = self._rep(members.select("bucket", "m", "s"), "m").groupBy("bucket", "m").agg(F.max("s").alias("s"))
         buckets, tried, most = self._cut(buckets, "members"), None, LEADERS
+        self._drop(members, self.others)
         probes = F.col("s") % 2 == 1
         while True:
             side = small(labels.withColumnRenamed("id", "m"), labels.count() * 24)
@@ -610,7 +621,7 @@ class JaccardJoin:
             lead = lead.select("bucket", F.col("m").alias("a"), F.col("component").alias("of"))
             lead = self._cut(self._with_bits(lead, "a", _FOLDS), "leaders")
             n = lead.count()
-            pairs = self._with_bits(held, "m", _FOLDS).join(small(lead, n * 64), "bucket")
+            pairs = self._near_sizes(self._with_bits(held, "m", _FOLDS), lead, n)
             pairs = pairs.filter("of <> component").filter(self._alike("a", "m", _FOLDS))
             pairs = pairs.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).distinct()
             if tried is not None:
@@ -622,8 +633,20 @@ class JaccardJoin:
                 links = links.unionByName(more)
                 labels = self._labels(links) if not more.isEmpty() else labels
             gone = small(lead.select("bucket", F.col("a").alias("m")), n * 24)
-            buckets = self._cut(held.select("bucket", "m", "s").join(gone, ["bucket", "m"], "left_anti"), "members")
-            most *= 4
+            left = self._cut(held.select("bucket", "m", "s").join(gone, ["bucket", "m"], "left_anti"), "members")
+            self._drop(buckets, open_, held, lead)
+            buckets, most = left, most * 4
+
+    def _near_sizes(self, held: DataFrame, lead: DataFrame, n: int) -> DataFrame:
+        """Leaders of buckets with those of its documents whose sets are of a size that can link: a leader meets three
+        steps of size, each as wide as the threshold, not the whole bucket."""
+        width = max(log(self.bands.den / self.bands.num) * 1.0001, 1e-6)
+        step = lambda size: F.floor(F.log(size) / width)
+        near = F.explode(F.array(*[step(F.col("a_size")) + k for k in (-1, 0, 1)], F.lit(-9).cast("long")))
+        by_size = lead.filter("a_size is not null").withColumn("step", near)
+        pairs = held.withColumn("step", F.coalesce(step(F.col("m_size")), F.lit(-9))).join(small(by_size, n * 4 * 72), ["bucket", "step"]).drop("step")
+        # an id with several sets has no one size and meets all
+        return pairs.unionByName(held.join(small(lead.filter("a_size is null"), n * 64), "bucket").select(*pairs.columns))
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles and component_id (least document reachable by links) of every row."""
