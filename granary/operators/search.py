@@ -1,30 +1,18 @@
-"""Multi-pattern search over text or binary columns."""
+"""Multi-pattern search over text or binary columns, and over the bytes of entries where they lie."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.patterns import Patterns
+from granary.sources import ranges
 
-def automaton(patterns: dict[bytes, object]) -> ahocorasick.Automaton:
-    """One machine for all patterns: it reads each byte once and finds every pattern that ends there."""
-    if not patterns or b"" in patterns:
-        raise ValueError("there must be patterns, none of them empty")
-    found = ahocorasick.Automaton()
-    for p, name in patterns.items():
-        found.add_word(p.decode("latin-1"), (len(p), name))
-    found.make_automaton()
-    return found
-
-
-def hits(machine: ahocorasick.Automaton, data: bytes) -> Iterator[tuple[int, object]]:
-    """(offset, name) of every occurrence, overlapping ones too, in the order of their ends."""
-    for end, (n, name) in machine.iter(data.decode("latin-1")):
-        yield end + 1 - n, name
+_HIT = "entry long, name string, offset long"
 
 
 def first_hits(df: DataFrame, key: str, column: str, patterns: Sequence[str]) -> DataFrame:
@@ -39,56 +27,82 @@ def first_hits(df: DataFrame, key: str, column: str, patterns: Sequence[str]) ->
 def all_hits(df: DataFrame, key: str, column: str, patterns: Sequence[str | bytes]) -> DataFrame:
     """(key, pattern, offset): every hit, overlapping ones too, by byte offset from 0.
 
-    One automaton of all patterns reads each byte once; texts stay in their partitions.  Null
-    values have no hits; an empty pattern is an error.
+    The values of a batch are searched as one buffer, and hits over the border of two values are left out;
+    texts stay in their partitions.  Null values have no hits; an empty pattern is an error.
     """
     raw = [p if isinstance(p, bytes) else p.encode() for p in patterns]
-    names = [p if isinstance(p, str) else p.hex() for p in patterns]
-    table = dict(zip(raw, names, strict=True))
-    automaton(table)
+    names = dict(zip(raw, [p if isinstance(p, str) else p.hex() for p in patterns], strict=True))
+    machine = Patterns(names)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(table)
+        said = pa.array([names[p] for p in machine.patterns], pa.string())
         for batch in batches:
-            keys, found, at = [], [], []
-            for k, value in zip(batch.column("k"), batch.column("v"), strict=True):
-                data = value.as_py()
-                if data is None:
-                    continue
-                data = data.encode() if isinstance(data, str) else data
-                for offset, name in hits(machine, data):
-                    keys.append(k.as_py())
-                    found.append(name)
-                    at.append(offset)
-            columns = [pa.array(keys, batch.schema.field("k").type), pa.array(found, pa.string()), pa.array(at, pa.int64())]
+            values = batch.column("v").cast(pa.large_binary())
+            _, places, data = values.buffers()
+            begin = np.frombuffer(places, np.int64)[values.offset : values.offset + len(values) + 1]
+            text = np.frombuffer(data, np.uint8)[begin[0] : begin[-1]] if data is not None and len(values) else np.zeros(0, np.uint8)
+            begin = begin - begin[0]
+            at, which = machine.find(text)
+            row = np.searchsorted(begin, at, side="right") - 1
+            whole = at + machine.sizes[which] <= begin[row + 1]
+            at, which, row = at[whole], which[whole], row[whole]
+            columns = [batch.column("k").take(pa.array(row)), said.take(pa.array(which)), pa.array(at - begin[row], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "pattern", "offset"])
 
-    rows = df.select(F.col(key).alias("k"), F.col(column).alias("v"))
+    rows = df.select(F.col(key).alias("k"), F.col(column).alias("v")).filter("v is not null")
     return rows.mapInArrow(run, f"`{key}` {kind}, pattern string, offset long")
 
 
+class _Named:
+    """Signatures by the names that they stand for; one may stand for several."""
+
+    def __init__(self, patterns: dict[str, list[bytes]]):
+        self.names: dict[bytes, list[str]] = {}
+        for name, ps in patterns.items():
+            for p in ps:
+                self.names.setdefault(p, []).append(name)
+        self.machine = Patterns(self.names)
+
+    def rows(self, entry: int, start: int, data: bytes, chunk: int, last: bool) -> Iterator[tuple[int, str, int]]:
+        """Hits of a chunk; those that begin past it belong to the next one."""
+        for at, k in zip(*(x.tolist() for x in self.machine.find(data)), strict=True):
+            if at < chunk or last:
+                for name in self.names[self.machine.patterns[k]]:
+                    yield entry, name, start + at
+
+
+def _batch(rows: list[tuple[int, str, int]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([], [], [])
+    kinds = (pa.int64(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["entry", "name", "offset"])
+
+
 def chunk_hits(chunks: DataFrame, patterns: dict[str, list[bytes]], chunk: int) -> DataFrame:
     """Hits of named signatures in ``chunks`` (entry, start, data, last).
 
     Each chunk carries the bytes of the next one that a signature over the border needs; a hit
     that begins past ``chunk`` belongs to that next one.  Output: (entry, name, offset).
     """
-    table: dict[bytes, list[str]] = {}
-    for name, ps in patterns.items():
-        for p in ps:
-            table.setdefault(p, []).append(name)
+    named = _Named(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(table)
         for batch in batches:
-            out: list[tuple[int, str, int]] = []
             for entry, start, data, last in zip(*(batch.column(c) for c in ("entry", "start", "data", "last")), strict=True):
-                for at, names in hits(machine, data.as_py() or b""):
-                    if at < chunk or last.as_py():
-                        out += [(entry.as_py(), n, start.as_py() + at) for n in names]
-            columns = zip(*out, strict=True) if out else ([], [], [])
-            kinds = (pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["entry", "name", "offset"])
-
-    return chunks.select("entry", "start", "data", "last").mapInArrow(run, "entry long, name string, offset long").distinct()
+                yield _batch(list(named.rows(entry.as_py(), start.as_py(), data.as_py() or b"", chunk, last.as_py())))
+
+    return chunks.select("entry", "start", "data", "last").mapInArrow(run, _HIT).distinct()
+
+
+def range_hits(entries: DataFrame, patterns: dict[str, list[bytes]], chunk: int = ranges.CHUNK) -> DataFrame:
+    """(entry, name, offset) of named signatures in entries (entry, size, loc), read and searched range by range in the same task."""
+    named = _Named(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = ranges.Files()
+        for batch in batches:
+            for r, source in ranges.each_source(batch, files):
+                n = min(chunk + named.machine.longest - 1, r["size"] - r["start"])
+                yield _batch(list(named.rows(r["entry"], r["start"], source.read(r["start"], n), chunk, r["last"])))
+
+    return ranges.ranges(entries.select("entry", "size", "loc"), chunk).mapInArrow(run, _HIT)

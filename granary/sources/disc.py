@@ -98,10 +98,11 @@ class _Reader(DataSourceReader):
         return [InputPartition(self.path)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import os
+        from granary.sources.ranges import store_of
 
-        with open(partition.value, "rb") as f:
-            layout = layout_of(f, os.path.getsize(partition.value))
+        store, path = store_of(partition.value)
+        with store.open_input_file(path) as f:
+            layout = layout_of(f, f.size())
             if layout is None:
                 raise ValueError(f"no known image layout: {partition.value}")
             for path, start, size in walk(f, layout):

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.naming import dense_ids
+from granary.sources import ranges
 
-CHUNK = 8 << 20
+CHUNK = ranges.CHUNK
 
 
-def entries(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(entry, path, size[, content]) of all files below ``root``, numbered by lower-case path.
+def entries(spark: SparkSession, root: str, content: bool = False, loc: bool = False) -> DataFrame:
+    """(entry, path, size[, loc][, content]) of all files below ``root``, numbered by lower-case path.
 
-    ``path`` is relative to ``root``.  Without ``content`` the files' bytes are never read.
+    ``path`` is relative to ``root``.  Only paths and sizes are sorted and numbered; ``content`` is read
+    after that, where the rows are, and without it the files' bytes are never read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
@@ -21,7 +23,9 @@ def entries(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     path = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     prefix = len("/" + base.split(":", 1)[-1].lstrip("/")) + 1
     columns = [F.substring(path, F.lit(prefix + 1), F.length(path)).alias("path"), F.col("length").alias("size")]
-    return numbered(files.select(*columns, *(["content"] if content else [])))
+    rows = numbered(files.select(*columns, ranges.plain(F.col("path")).alias("loc")))
+    rows = ranges.bind(rows) if content else rows
+    return rows.select("entry", "path", "size", *(["loc"] if loc else []), *(["content"] if content else []))
 
 
 def numbered(rows: DataFrame) -> DataFrame:

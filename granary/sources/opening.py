@@ -2,39 +2,41 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.text import serial, titled
-from granary.sources import disc, files
+from granary.sources import disc, files, ranges
 
 
-def open_source(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """(entry, path, size[, content]) of what ``path`` holds.
+def open_source(spark: SparkSession, path: str, content: bool = False, loc: bool = False) -> DataFrame:
+    """(entry, path, size[, loc][, content]) of what ``path`` holds.
 
     A folder gives its files, numbered by lower-case path; a disc image that ``disc`` knows gives the files in it in
-    the same order; any other file is one entry with its own name.  Images are read by position, so
-    executors must reach them by the path itself.
+    the same order; any other file is one entry with its own name.  Contents are read by place, so executors must reach
+    the path itself by a file system that pyarrow knows; nothing but places is sorted or joined.
     """
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     status = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target)
     if status.isDirectory():
-        return files.entries(spark, path, content)
-    local = path.removeprefix("file://")
+        return files.entries(spark, path, content, loc)
+    store, root = ranges.store_of(path)
     try:
-        with open(local, "rb") as f:
+        with store.open_input_file(root) as f:
             layout = disc.layout_of(f, status.getLen())
-    except FileNotFoundError:  # in a store that only Spark reads
+    except (OSError, pa.ArrowInvalid):  # in a store that only Spark reads
         layout = None
     if layout is None:
-        rows = spark.read.format("binaryFile").load(path)
         name = F.regexp_extract("path", r"([^/]*)$", 1)
-        return rows.select(F.lit(0).cast("long").alias("entry"), name.alias("path"), F.col("length").alias("size"), *(["content"] if content else []))
-    spark.dataSource.register(disc.DiscImage)
-    found = spark.read.format("disc_image").option("path", local).load()
-    rows = files.numbered(found)
-    rows = disc.contents(spark, local, rows) if content else rows
-    return rows.select("entry", "path", "size", *(["content"] if content else []))
+        rows = spark.read.format("binaryFile").load(path).select(F.lit(0).cast("long").alias("entry"), name.alias("path"), F.col("length").alias("size"), ranges.plain(path).alias("loc"))
+    else:
+        spark.dataSource.register(disc.DiscImage)
+        found = spark.read.format("disc_image").option("path", path).load()
+        at = F.struct(F.lit(path).alias("uri"), (F.col("start") * F.col("raw")).alias("at"), "raw", "data")
+        rows = files.numbered(found.select("path", "size", at.alias("loc")))
+    rows = ranges.bind(rows) if content else rows
+    return rows.select("entry", "path", "size", *(["loc"] if loc else []), *(["content"] if content else []))
 
 
 def title_of(entries: DataFrame, name: str) -> DataFrame:

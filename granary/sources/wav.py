@@ -15,55 +15,63 @@ from pyspark.sql import functions as F
 from granary.functions.numbers import duration
 from granary.operators.catalog import manifest
 from granary.scratch import cut
+from granary.sources import ranges
 
 TRACK = (
-    "entry long, offset long, end long, format string, channels int, rate long, samples long, "
+    "entry long, offset long, end long, format string, label string, channels int, rate long, samples long, "
     "loop_start long, loop_end long, data_at long, data_size long, bits int"
 )
 
 
-def parse(data: bytes, at: int) -> dict | None:
-    """Track of the RIFF/WAVE chunk list at ``at``; None if it isn't one."""
-    if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 12] != b"WAVE":
-        return None
-    end = min(len(data), at + 8 + int.from_bytes(data[at + 4 : at + 8], "little"))
+def parse(source: ranges.Source | ranges.Buffer, at: int) -> list[dict]:
+    """The track of the RIFF/WAVE chunk list at ``at``, of which only the headers of chunks are read; none if it isn't one."""
+    head = source.read(at, 12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        return []
+    end = min(source.size, at + 8 + int.from_bytes(head[4:8], "little"))
     form, body, loop = None, None, (None, None)
     k = at + 12
     while k + 8 <= end:
-        name, size = data[k : k + 4], int.from_bytes(data[k + 4 : k + 8], "little")
+        head = source.read(k, 8)
+        name, size = head[:4], int.from_bytes(head[4:8], "little")
         if name == b"fmt " and size >= 16:
-            form = struct.unpack_from("<HHIIHH", data, k + 8)
-        elif name == b"smpl" and size >= 60 and int.from_bytes(data[k + 36 : k + 40], "little"):
-            first, last = struct.unpack_from("<II", data, k + 8 + 44)
+            form = struct.unpack("<HHIIHH", source.read(k + 8, 16))
+        elif name == b"smpl" and size >= 60 and int.from_bytes(source.read(k + 36, 4), "little"):
+            first, last = struct.unpack("<II", source.read(k + 8 + 44, 8))
             loop = (first, last + 1)
         elif name == b"data":
             body = (k + 8, min(size, end - k - 8))
         k += 8 + size + size % 2
     if form is None or body is None or form[0] != 1 or form[5] not in (8, 16) or not 0 < form[1] <= 64:
-        return None
+        return []
     samples = body[1] // (form[1] * form[5] // 8)
     if loop[0] is not None and not loop[0] < loop[1] <= samples:
         loop = (None, None)
-    return {
-        "offset": at, "end": end, "format": "WAV", "channels": form[1], "rate": form[2], "samples": samples,
+    track = {
+        "offset": at, "end": end, "format": "WAV", "label": None, "channels": form[1], "rate": form[2], "samples": samples,
         "loop_start": loop[0], "loop_end": loop[1], "data_at": body[0], "data_size": body[1], "bits": form[5],
     }
+    return [track]
+
+
+def batch_of(rows: list[dict], schema: str = TRACK) -> pa.RecordBatch:
+    """Rows as a batch of a schema of longs, ints and strings; fields that a row lacks are null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
 def tracks(entries: DataFrame) -> DataFrame:
     """TRACK rows of every WAVE file in entries with ``content``, alone or inside something else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in TRACK.split(", ")]
-        kinds = {"format": pa.string(), "channels": pa.int32(), "bits": pa.int32()}
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                data, at = r["content"] or b"", -1
-                while (at := data.find(b"RIFF", at + 1)) >= 0:
-                    if got := parse(data, at):
-                        out.append({"entry": r["entry"], **got})
-            yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], kinds.get(n, pa.int64())) for n in names], names=names)
+                data, at = ranges.Buffer(r["content"] or b""), -1
+                while (at := data.bytes.find(b"RIFF", at + 1)) >= 0:
+                    out += [{"entry": r["entry"], **got} for got in parse(data, at)]
+            yield batch_of(out)
 
     return entries.select("entry", "content").mapInArrow(run, TRACK)
 
@@ -100,26 +108,30 @@ def twice(frames: np.ndarray, loop: tuple[int, int] | None, rate: int, fade_seco
 
 
 def export(entries: DataFrame, tracks: DataFrame, loops_twice: bool = False) -> DataFrame:
-    """(entry, offset, status, wav): one WAVE file for each track; an error leaves wav null."""
-    rows = tracks.join(entries.select("entry", "content"), "entry")
+    """(entry, offset, status, wav): one WAVE file for each track; an error leaves wav null.
+
+    Entries have ``loc`` (or ``content``, which is stored first): only the places of tracks are joined and dealt
+    out, and the task that makes a file reads its samples.
+    """
+    places = ranges.located(entries).select("entry", "size", "loc")
+    rows = tracks.join(places, "entry").select("entry", "offset", "size", "loc", "data_at", "data_size", "channels", "bits", "rate", "loop_start", "loop_end")
+    n_bytes = tracks.agg(F.sum("data_size")).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = ranges.Files()
         for batch in batches:
-            status, files = [], []
-            for r in batch.to_pylist():
+            for r, source in ranges.each_source(batch, files):
                 try:
-                    frames = decode(r["content"][r["data_at"] : r["data_at"] + r["data_size"]], r["channels"], r["bits"])
+                    frames = decode(source.read(r["data_at"], r["data_size"]), r["channels"], r["bits"])
                     loop = (r["loop_start"], r["loop_end"]) if r["loop_start"] is not None else None
                     out = twice(frames, loop, r["rate"]) if loops_twice else frames
-                    files.append(encode(out, r["rate"], None if loops_twice else loop))
-                    status.append("written")
-                except (ValueError, TypeError, struct.error) as e:
-                    files.append(None)
-                    status.append(f"failed: {e}")
-            columns = [batch.column("entry"), batch.column("offset"), pa.array(status), pa.array(files, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["entry", "offset", "status", "wav"])
-
-    return rows.mapInArrow(run, "entry long, offset long, status string, wav binary")
+                    status, made = "written", encode(out, r["rate"], None if loops_twice else loop)
+                except (OSError, ValueError, TypeError, struct.error) as e:
+                    status, made = f"failed: {e}", None
+                columns = [pa.array([r[c]], pa.int64()) for c in ("entry", "offset")] + [pa.array([status]), pa.array([made], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["entry", "offset", "status", "wav"])
+
+    return ranges.spread(rows, n_bytes, "entry", "offset").mapInArrow(run, "entry long, offset long, status string, wav binary")
 
 
 def write(entries: DataFrame, tracks: DataFrame, folder: str, loops_twice: bool = False) -> DataFrame:
