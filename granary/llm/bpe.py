@@ -3,7 +3,8 @@
 A token sequence is what the merge list makes of its text exactly if each pair of
 neighbours is what the merge list makes of that pair.  So every prefix of a text has one last
 token, found from the tokens that end there and the last tokens of shorter prefixes, and
-encoding goes from left to right.  How far it must look ahead follows from the merge list:
+encoding goes from left to right, a byte at a time: a state, the longest begin of a token that the text ends with, and
+a byte give the next state and the tokens that end there, of which the longest that fits its neighbour is taken.  How far it must look ahead follows from the merge list:
 a later byte can only refer back to prefixes that are shorter by the longest token at most,
 so a token is stable, and leaves the transducer, once all those prefixes lead back to it.
 What is held is bounded by that lookahead, not by the text.
@@ -12,7 +13,7 @@ Before that, texts are cut into pre-tokens by the vocabulary's pattern, chunk by
 pre-token is stable if it ends two characters before the end of what was read.  A pre-token
 that goes on over chunks is fed to the transducer as it comes, by the class of characters that carries it on, so
 neither a text nor a pre-token is held whole.  Pre-tokens of ordinary length are remembered with
-their ids in a table of bounded size; those within the lookahead are settled from their end.
+their ids in a table of bounded size; all go through the same transducer.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ REMEMBERED = 64
 GENERATION = 150_000
 #: Neighbours of which it is remembered whether they fit.
 KNOWN_FITS = 1 << 18
+#: Transitions that are remembered.
+KNOWN_STEPS = 1 << 17
+_BYTES = [bytes([b]) for b in range(256)]
 CHUNK = 1 << 16
 _FAR = 1 << 62
 #: Characters of the first blocks of Unicode by class.  A text of these alone is cut by the standard
@@ -98,6 +102,17 @@ class Vocabulary:
         self.classes = [(regex.compile(first), regex.compile(on)) for first, on in ((r" ?\p{L}", r"\p{L}+"), (r" ?\p{N}", r"\p{N}+"), (r" ?[^\s\p{L}\p{N}]", r"[^\s\p{L}\p{N}]+"), (r"\s", r"\s+"))]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.known_fits: dict[int, bool] = {}
+        #: Transitions that were met: state and byte to the next state and the tokens that end there, long ones first.
+        self.steps: dict[bytes, tuple[bytes, tuple[tuple[int, int], ...]]] = {}
+
+    def step(self, read: bytes) -> tuple[bytes, tuple[tuple[int, int], ...]]:
+        """The transition of a state and a byte, given as one."""
+        state = next(t for k in range(len(read) + 1) if not (t := read[k:]) or t in self.prefixes)
+        tokens = ((self.ids.get(state[k:]), len(state) - k) for k in range(len(state)))
+        if len(self.steps) >= KNOWN_STEPS:
+            self.steps.clear()
+        self.steps[read] = got = state, tuple(t for t in tokens if t[0] is not None)
+        return got
 
     def cut(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
@@ -141,7 +156,7 @@ class Transducer:
         self.text = b""
         self.last: list[int] = []  # last token of each prefix of ``text``
         self.size: list[int] = []  # its length
-        self.open: list[int] = []  # starts from which a token may reach beyond ``text``
+        self.state = b""  # the longest begin of a token that ``text`` ends with
         self.before = -1  # token that was emitted before ``text``
 
     def feed(self, piece: bytes) -> list[int]:
@@ -155,66 +170,35 @@ class Transducer:
         return out
 
     def finish(self) -> list[int]:
-        if self.last and self.last[-1] < 0:
-            raise ValueError("the vocabulary lacks a byte")
         out = self._chain(len(self.text))
         self.reset()
         return out
 
     def whole(self, data: bytes) -> list[int]:
-        """Ids of a pre-token that ends within the lookahead: the same prefixes, settled only as its end refers back to them."""
-        if len(data) > self.v.lookahead:
-            return self.feed(data) + self.finish()
-        settled: dict[int, tuple[int, int]] = {}
-        out, end = [], len(data)
-        if end:
-            self._settle(data, end, settled)
-        while end > 0:
-            token, end = settled[end]
-            out.append(token)
-        return out[::-1]
+        """Ids of a pre-token that is there whole."""
+        return self.feed(data) + self.finish()
 
-    def _settle(self, data: bytes, end: int, settled: dict[int, tuple[int, int]]) -> int:
-        """Find the last token of the prefix that ends at ``end``, the longest that fits."""
-        ids, known = self.v.ids, self.v.known_fits
-        for start in range(end):
-            token = ids.get(data[start:end])
-            if token is not None:
-                if start:
-                    before = settled[start][0] if start in settled else self._settle(data, start, settled)
+    def _extend(self, piece: bytes) -> None:
+        """Settle the prefixes that end in ``piece``, each by the longest token that ends there and fits the one before it."""
+        v, last, size, state, end = self.v, self.last, self.size, self.state, len(self.last)
+        steps, known, fits, step = v.steps, v.known_fits, v.fits, v.step
+        self.text += piece
+        for b in piece:
+            read = state + _BYTES[b]
+            state, tokens = steps.get(read) or step(read)
+            end += 1
+            for token, n in tokens:
+                before = last[end - n - 1] if n < end else self.before
+                if before >= 0:
                     ok = known.get(before << 32 | token)
-                    if not (self.v.fits(before, token) if ok is None else ok):
+                    if not (fits(before, token) if ok is None else ok):
                         continue
-                settled[end] = token, start
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
-    def _extend(self, piece: bytes) -> None:
-        """From each start in turn, so the longest first, settle the prefixes that its tokens end."""
-        v, last, size = self.v, self.last, self.size
-        prefixes, fits, known = v.prefixes, v.fits, v.known_fits
-        old = len(self.text)
-        self.text = text = self.text + piece
-        n = len(text)
-        last += [-1] * len(piece)
-        size += [0] * len(piece)
-        still = []
-        for start in [*self.open, *range(old, n)]:
-            before = last[start - 1] if start else self.before
-            if start and before < 0:
-                raise ValueError("the vocabulary lacks a byte")
-            for end in range(max(start, old) + 1, n + 1):
-                token = prefixes.get(text[start:end])
-                if token is None:
-                    break
-                if token >= 0 and last[end - 1] < 0:
-                    ok = True if before < 0 else known.get(before << 32 | token)
-                    if fits(before, token) if ok is None else ok:
-                        last[end - 1] = token
-                        size[end - 1] = end - start
+                last.append(token)
+                size.append(n)
+                break
             else:
-                still.append(start)
-        self.open = still
+                raise ValueError("the vocabulary lacks a byte")
+        self.state = state
 
     def _chain(self, end: int) -> list[int]:
         out = []
@@ -237,7 +221,6 @@ class Transducer:
         out = self._chain(at)
         self.before = out[-1]
         self.text, self.last, self.size = self.text[at:], self.last[at:], self.size[at:]
-        self.open = [start - at for start in self.open]
         return out
 
 
@@ -272,6 +255,13 @@ class Codec:
         self.memory = _Remembered(self.v)
         self.added = {t: _packed([i]) for t, i in self.v.added.items()}
 
+    def forget(self) -> None:
+        """Give back what was remembered of texts."""
+        self.memory.clear()
+        self.memory.old = {}
+        self.v.known_fits.clear()
+        self.v.steps.clear()
+
     def encode_stream(self, chunks: Iterable[str]) -> Iterator[bytes]:
         """Ids (unsigned 32 bits, little-endian) of a text without added tokens that comes in chunks."""
         held, going = "", None  # the class of a pre-token of which a part was fed
@@ -346,13 +336,19 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  ``vocabulary``: a
     byte-level BPE file that every executor can read.  One row per input row: ``doc_id``,
     ``ids`` (unsigned 32-bit little-endian) and ``decoded``.  Null counts as empty; an empty text
-    has no ids.  Strings of added tokens in a text become those tokens.
+    has no ids; a null id stays null, rows that repeat give rows that repeat, and an empty table gives none.  Strings of added tokens in a text become those tokens.
     """
     bound_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        try:
+            yield from encoded(c, batches)
+        finally:  # the worker lives on for other stages
+            c.forget()
+
+    def encoded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids_column, texts = batch.column("doc_id"), batch.column("text")
             i = 0
