@@ -30,6 +30,10 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
 def _full(lines: Column) -> Column:
     """(n, line) of the lines that aren't blank."""
     numbered = F.transform(lines, lambda x, n: F.struct(n.alias("n"), x.alias("line")))
@@ -56,14 +60,37 @@ def _distinct_places(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(few, "doc_id", "left_anti").unionByName(rows.join(few, "doc_id", "left_semi").dropDuplicates([*_PLACE]))
 
 
-def _ranked(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """``rows`` whose ``keys`` occur at least twice, with the ``rank`` of the keys in the order of ``by`` and
+def _numbered(groups: DataFrame, by: list[str]) -> DataFrame:
+    """``groups`` with ``rank``, their place in the order of ``by``; written once."""
+    return cut(groups.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), "ranks")
+
+
+def _line_ranks(lines: DataFrame, often: DataFrame, n_often: int) -> DataFrame:
+    """Level 1 of ``suffix_levels`` from (place, line, h) and (h, all), the hashes that occur twice or more and how often.
+
+    Texts are moved once, for the aggregation, and each repeated one once a task.  A hash all of whose lines have one text
+    stands for it from there on; the lines of others are joined by text.
+    """
+    rows = lines.join(small(often.select("h"), n_often * 16), "h", "left_semi")
+    groups = rows.groupBy("h", "line").agg(F.count("*").alias("c"), F.min(F.struct(*_PLACE)).alias("first")).filter("c > 1")
+    groups = cut(groups.join(small(often, n_often * 24), "h"), "groups")
+    alone = F.col("c") == F.col("all")
+    ranks = _numbered(groups.select("h", F.when(~alone, F.col("line")).alias("line"), "first"), ["h", "line"])
+    plain, texts = ranks.filter("line is null").drop("line"), ranks.filter("line is not null")
+    out = lines.drop("line").join(small(plain, plain.count() * 64), "h").select(*_PLACE, "rank", "first")
+    size = texts.agg(F.sum(F.octet_length("line") + 64)).first()[0]
+    out = out if size is None else out.unionByName(lines.join(small(texts, size), ["h", "line"]).select(*_PLACE, "rank", "first"))
+    out = cut(out, "suffixes")
+    drop(groups, ranks)
+    return out
+
+
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose ``keys`` occur at least twice, with the ``rank`` of the keys in their order and
     the ``first`` place that has them instead of the keys."""
     groups = rows.groupBy(*keys).agg(F.count("*").alias("c"), F.min(F.struct(*_PLACE)).alias("first")).filter("c > 1").drop("c")
-    ranks = groups.repartitionByRange(*by).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id())
-    ranks = cut(ranks, "ranks")
-    size = ranks.agg(F.sum(F.lit(64) + (F.octet_length("line") if "line" in keys else F.lit(0)))).first()[0] or 0
-    out = cut(rows.join(small(ranks, size), keys).select(*_PLACE, "rank", "first"), "suffixes")
+    ranks = _numbered(groups, keys)
+    out = cut(rows.join(small(ranks, ranks.count() * 64), keys).select(*_PLACE, "rank", "first"), "suffixes")
     drop(ranks)
     return out
 
@@ -76,17 +103,16 @@ def suffix_levels(docs: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int
     text); equal ranks are one interval; ``first`` is the earliest (doc_id, part, i) of the interval.
     The tables are in the shared folder; the caller drops them.
     """
-    lines = cut(_distinct_places(docs, line_table(docs).select(*_PLACE, "line", F.xxhash64("line").alias("h"))), "lines")
-    often = cut(lines.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "often")
-    rows = lines.join(small(often, often.count() * 16), "h", "left_semi")
-    levels = [(1, _ranked(rows, ["h", "line"], ["h"]))]
+    lines = cut(_distinct_places(docs, line_table(docs).select(*_PLACE, "line", _hash(F.col("line")).alias("h"))), "lines")
+    often = cut(lines.groupBy("h").agg(F.count("*").alias("all")).filter("all > 1"), "often")
+    levels = [(1, _line_ranks(lines, often, often.count()))]
     drop(lines, often)
     while True:
         depth, level = levels[-1]
         step = depth if depth >= min_lines else min(depth, min_lines - depth)
         by = Window.partitionBy("doc_id", "part").orderBy("i").rangeBetween(step, step)
         pairs = level.select(*_PLACE, F.col("rank").alias("r1"), F.first("rank").over(by).alias("r2")).filter("r2 is not null")
-        after = _ranked(pairs, ["r1", "r2"], ["r1", "r2"])
+        after = _ranked(pairs, ["r1", "r2"])
         if after.isEmpty():
             drop(after)
             return levels

@@ -103,3 +103,12 @@ def test_repeated_rows_are_one_document(spark, least):
     assert all(level.count() == level.select("doc_id", "part", "i").distinct().count() for _, level in ld.suffix_levels(df, least))
     out = {(r.doc_id, r.n_removed, r["count"]) for r in ld.deduplicate_lines(df, least).groupBy("doc_id", "n_removed").count().collect()}
     assert out == {(1, 0, 50), (2, 5, 50), (3, 7, 1)}
+
+
+def test_lines_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With a hash of three values every line meets others: ranks come from the texts."""
+    monkeypatch.setattr(ld, "_hash", lambda line: F.length(line) % 3)
+    rows = corpus(11, 40, vocabulary=9, longest=20, copies=0.5, line="\n") + [(900, "aa\nbb\ncc"), (901, "cc\naa\nd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (1, 2):
+        assert got(ld.deduplicate_lines(df, k)) == brute(rows, k)
