@@ -203,11 +203,11 @@ class FingerprintIndex:
         done = [n for n in names if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
         return sorted((int(n.split("-")[1]), f"{self.path}/{n}") for n in done if n.startswith(f"{kind}-"))
 
-    def _bucketed(self, rows: DataFrame, path: str) -> None:
-        """Write a table at ``path``: one file for each bucket of the first column, sorted by all."""
+    def _bucketed(self, rows: DataFrame, path: str, dealt: bool = False) -> None:
+        """Write the distinct ``rows`` as a table at ``path``, in buckets of the first column, sorted by all.  ``dealt``: they are distinct and dealt by it already."""
         key = rows.columns[0]
-        dealt = rows.repartition(self.buckets, key).sortWithinPartitions(*rows.columns)
-        dealt.write.bucketBy(self.buckets, key).sortBy(*rows.columns).option("path", path).format("parquet").saveAsTable(self._name(path))
+        rows = rows if dealt else rows.repartition(self.buckets, key).dropDuplicates()
+        rows.sortWithinPartitions(*rows.columns).write.bucketBy(self.buckets, key).sortBy(*rows.columns).option("path", path).format("parquet").saveAsTable(self._name(path))
 
     def _name(self, path: str) -> str:
         return self.tables.setdefault(path, f"granary_run_{uuid.uuid4().hex}")
@@ -264,7 +264,7 @@ class FingerprintIndex:
                 merged = self._read(old[0][1], columns)
                 for _, path in old[1:]:
                     merged = merged.unionByName(self._read(path, columns))
-                self._write(runs, min(full) + 1, merged.distinct())
+                self._write(runs, min(full) + 1, merged)
                 for r in old:
                     runs.remove(r)
                     self._remove(r[1])
@@ -276,11 +276,11 @@ class FingerprintIndex:
         """
         return self._read(run).hint("merge").join(new.select("fp").distinct(), "fp").select("fp", "doc_id", "part")
 
-    def _held(self, ends: DataFrame, run: str) -> DataFrame:
-        """(fp, w, doc_id) of a run of edges for the bucketed windows ``ends``, joined like ``known``."""
-        mine = ends.select("w", F.col("fp").alias("fp2"))
-        both = self._read(run, _EDGE).hint("merge").join(mine, "w")
-        return both.filter(F.col("fp").bitwiseXOR(F.col("fp2")) == 0).select("fp", "w", "doc_id")  # no key of the join, which would exchange
+    def _with_held(self, met: DataFrame, run: str, name: str) -> DataFrame:
+        """The bucketed windows ``met`` with ``name``: their least document in a run of edges, joined like ``known``."""
+        theirs = self._read(run, _EDGE).groupBy("w", "fp").agg(F.min("doc_id").alias(name)).select(F.col("w").alias("_w"), F.col("fp").alias("_fp"), name)
+        same = F.col("fp").bitwiseXOR(F.col("_fp")) == 0  # no key of the join, which would exchange
+        return met.hint("merge").join(theirs, (F.col("w") == F.col("_w")) & same, "left").drop("_w", "_fp")
 
     def deduplicate(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Add a batch and remove from it what documents with smaller ids have, in it or before it.
@@ -294,7 +294,7 @@ class FingerprintIndex:
         """
         fresh, met = (f"{self.path}/{what}-{uuid.uuid4().hex}" for what in ("batch", "met"))
         rows = _keyed(batch).filter("doc_id is not null and text is not null")
-        self._bucketed(rows.mapInArrow(tidy(_postings(self.window, self.gram)), _POSTING).distinct(), fresh)
+        self._bucketed(rows.mapInArrow(tidy(_postings(self.window, self.gram)), _POSTING), fresh)
         new = self._read(fresh)
         found = self.spark.createDataFrame([], _POSTING)
         for _, path in self.runs if history is not None else []:
@@ -312,16 +312,17 @@ class FingerprintIndex:
             theirs = self._windows_of(_keyed(history), found)
             every = every.unionByName(theirs.select("fp", "w", "doc_id", F.lit(False).alias("mine")))
         hi = F.max(F.when(F.col("mine"), F.col("doc_id"))).alias("hi")
-        least = every.groupBy("w", "fp").agg(F.min("doc_id").alias("lo"), F.min(F.when(~F.col("mine"), F.col("doc_id"))).alias("old"), hi)
-        self._bucketed(least.filter("hi is not null"), met)
+        least = every.groupBy("w").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("lo"), F.min(F.when(~F.col("mine"), F.col("doc_id"))).alias("old"), hi)
+        self._bucketed(least.filter("hi is not null"), met, dealt=True)
+        held = [f"held{k}" for k in range(len(self.edges))]
         met_ = self._read(met, "w long, fp long, lo long, old long, hi long")
-        held = self.spark.createDataFrame([], "fp long, w long, doc_id long")
-        for _, path in self.edges:
-            held = held.unionByName(self._held(met_, path))
-        held = held.groupBy("fp", "w").agg(F.min("doc_id").alias("held"))
-        least = cut(met_.join(held, ["fp", "w"], "left"), "least")  # read anew, so that the join below can split a hot window
-        first = least.withColumn("lo", F.least("lo", "held")).filter("lo < hi").select("fp", "w", "lo")
-        later = windows.join(first, ["fp", "w"]).filter("doc_id > lo")
+        for name, (_, path) in zip(held, self.edges, strict=True):
+            met_ = self._with_held(met_, path, name)
+        before = F.least(F.lit(None).cast("long"), F.lit(None).cast("long"), *held)
+        least = cut(met_.select("w", "fp", "lo", "old", "hi", before.alias("held")), "least")
+        first = cut(least.withColumn("lo", F.least("lo", "held")).filter("lo < hi").select("w", "lo"), "first")
+        # read anew, so that the join can split a hot window where it isn't broadcast
+        later = windows.select("w", "doc_id", "part", "pos").join(small(first, first.count() * 16), "w").filter("doc_id > lo")
         spans = later.groupBy("doc_id", "part").agg(F.collect_set("pos").alias("found"))
         spans = cut(spans.mapInArrow(tidy(_spans(self.window)), _SPANS), "spans")
         kept = new.join(few.withColumnRenamed("lo", "_lo").withColumn("_met", F.lit(True)), "fp", "left")
@@ -332,7 +333,7 @@ class FingerprintIndex:
         self._write(self.edges, 0, edges)
         self._remove(fresh)
         self._remove(met)
-        drop(found, shared, least, *self._lists)
+        drop(found, shared, least, first, *self._lists)
         self._lists = []
         self.compact()
         size = spans.agg(F.sum(F.size("span_start") * 8 + 48)).first()[0] or 0
