@@ -26,6 +26,11 @@ def likely_big(data: Column, offset: int, width: int) -> Column:
     return little_endian(data, offset, width) > big_endian(data, offset, width)
 
 
+def sane_rate(rate: Column) -> Column:
+    """Whether a header's sample rate may be one: 4,000 to 96,000 Hz."""
+    return F.coalesce(rate.between(4_000, 96_000), F.lit(False))
+
+
 def pitch_to_rate(pitch: Column) -> Column:
     """Sample rate of a 12-bit fixed-point pitch relative to 48 kHz."""
     return F.floor(pitch.cast("long") * 48000 / 4096)

@@ -61,3 +61,25 @@ def byte_range(header: Column, size: Column) -> Column:
     last = F.when(F.length(last) > 0, F.try_to_number(last, F.lit("999999999999999999")).cast("long")).otherwise(size - 1)
     fine = header.rlike(form) & (first <= last) & (last < size)
     return F.when(fine, F.struct(first.alias("first"), last.alias("last")))
+
+
+def payload(columns: list[str]) -> Column:
+    """Columns as one JSON object; nulls are left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def request_id(url: Column) -> Column:
+    """The number in the parameter ``id`` of an address; null if it has none."""
+    return F.try_to_number(F.regexp_extract(url, r"[?&]id=([0-9]{1,18})(&|#|$)", 1), F.lit("9" * 18)).cast("long")
+
+
+def listed(columns: list[tuple[str, int]], last: str) -> Column:
+    """A line of columns of fixed width, those of negative width to the left, one space apart, and a last one after two."""
+    cells = [F.rpad(F.col(c).cast("string"), -w, " ") if w < 0 else F.lpad(F.col(c).cast("string"), w, " ") for c, w in columns]
+    return F.concat(F.concat_ws(" ", *cells), F.lit("  "), F.col(last))
+
+
+def durations(df: DataFrame, group: str, samples: str, rate: str) -> DataFrame:
+    """(group, n, ms): rows and their whole duration, each in whole milliseconds; a rate under 1 counts as 1."""
+    ms = F.floor(F.col(samples) * 1000 / F.greatest(F.col(rate), F.lit(1)))
+    return df.groupBy(group).agg(F.count("*").alias("n"), F.sum(ms).alias("ms"))

@@ -122,6 +122,16 @@ def pair_by_name(tracks: DataFrame, entries: DataFrame, equal: list[str]) -> Dat
     return pairs.select(F.when(F.col("is_left"), F.col("track")).otherwise(F.col("to")).alias("left_key"), F.when(F.col("is_left"), F.col("to")).otherwise(F.col("track")).alias("right_key"))
 
 
+def merged_pairs(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``tracks`` with pairs (left_key, right_key) made one row each: the left one's, with ``right_track`` and two ``channels``.
+
+    Rows of right channels go; rows in no pair have a null ``right_track`` and one channel.
+    """
+    rows = tracks.join(pairs.select(F.col("right_key").alias("track")), "track", "left_anti")
+    rows = rows.join(pairs.select(F.col("left_key").alias("track"), F.col("right_key").alias("right_track")), "track", "left")
+    return rows.withColumn("channels", F.when(F.col("right_track").isNull(), 1).otherwise(2))
+
+
 def named_by_hash(rows: DataFrame, hash_column: str, names: DataFrame, name: str) -> DataFrame:
     """``rows`` with ``name`` from a list of names, found by the hash of the trimmed lower-case name; null if none has it.
 

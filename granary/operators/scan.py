@@ -6,15 +6,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from granary.functions.text import extension
 from granary.operators.intervals import claim_greedy
 from granary.operators.matching import short
-from granary.operators.naming import dense_ids
 from granary.operators.overlap import outside
+from granary.operators.rounds import accepted, numbered_after
 from granary.operators.search import range_hits
 from granary.scratch import cut, drop, drop_path, scratch_path
 from granary.sources import containers, files, ranges, wav
@@ -231,15 +231,12 @@ def scan_all(
         marks = outside(marks.join(opened.select("entry"), "entry", "left_semi"), claims, "entry", "offset", "header", "end")
         places = rest.select("entry", "path", "size", "loc")
         whole = cut(containers.measured(marks.join(places.drop("path"), "entry").repartition("entry", "offset")), "measured")
-        taken = claim_greedy(whole.select("entry", "offset", "end"), "entry", "offset", "end").join(whole, ["entry", "offset", "end"])
-        taken = _first(taken, "entry", "offset", containers.MEMBERS).select("entry", "offset", "kind").join(places, "entry")
+        taken = accepted(whole, None, "entry", "offset", "end", containers.MEMBERS).select("entry", "offset", "kind").join(places, "entry")
         inside = cut(containers.unpacked(taken.repartition("entry", "offset"), folder), "inside")
         derived = streams.unionByName(inside)
         done = derived.isEmpty()
         if not done:
-            top = known.agg(F.max("entry")).first()[0] + 1
-            level = cut(dense_ids(derived, ["parent", "at", "path"], "entry").withColumn("entry", F.col("entry") + top), "level")
-            level = level.select("entry", "path", "size", "loc", "parent")
+            level = cut(numbered_after(derived, known, ["parent", "at", "path"]).select("entry", "path", "size", "loc", "parent"), "level")
             known = known.unionByName(level)
         drop(hits, outcomes, claims, whole, streams, inside, todo)
         if done:
@@ -251,12 +248,6 @@ def _dealt(entries: DataFrame) -> DataFrame:
     return entries.select("entry", "path", "size", "loc").repartition("entry")
 
 
-def _first(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    """The first ``n`` rows of each group."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("_k", place).filter(F.col("_k") <= n).drop("_k")
-
-
 def scan(entries: DataFrame, chunk: int = files.CHUNK) -> DataFrame:
     """The tracks of ``scan_all``."""
     return scan_all(entries, chunk).tracks

@@ -2,41 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import numbers, text
 from granary.operators import catalog, intervals, matching, naming, offsets, scan, search
+from granary.plans.registry import QUERIES, SQL, query, read
 
 #: Names that a file can't have as they are.
 ODD_NAMES = ["con.txt", "COM7", "lpt0.a.b", "console", "name. . ", " . ", "a\x7fb\x85c", "tab\tend", "\u00a0wide\u2003", "x" * 130, "aux" + "y" * 130, "com77"]
 _ODD_SQL = ", ".join("('" + n.replace("'", "''") + "')" for n in ODD_NAMES)
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 PATTERNS = ["<title", "<p>", "</div>", "http", "aa"]
 EXTENSIONS = [("html", "page", 0), ("htm", "page", 1), ("php", "script", 0), ("", "any", 2)]
 KEYS = [(0, "small", 0.0, 50_000.0), (1, "medium", 0.0, 150_000.0), (2, "any", 0.0, 1e12)]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals: one for each supplier and ship day, as long as the largest quantity."""
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("long")
@@ -410,14 +391,14 @@ def free_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with t as (select o_custkey as entry, o_orderkey as o, row_number() over (partition by o_custkey order by o_orderkey) as k, count(*) over (partition by o_custkey) as n,
-  o_orderpriority as label from orders where o_orderpriority in ('1-URGENT', '2-HIGH')),
+  o_orderpriority as label from orders),
  b as (select entry, o, n, k, case when n = 1 then 'cust' || entry else printf('%03d', k) || ' ' || label end as base from t),
  q as (select *, row_number() over (partition by entry, lower(base) order by k) as d from b)
  select entry, o as offset_, case when n = 1 then 'seg' || entry % 5 || '/' || base || '.wav' else 'seg' || entry % 5 || '/cust' || entry || '.bin/' || base || case when d > 1 then ' (' || d || ')' else '' end || '.wav' end as out from q"""
 )
 def track_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and files of tracks: one sound a file, or a folder of numbered ones."""
-    orders = read(spark, sf_dir, "orders").filter("o_orderpriority in ('1-URGENT', '2-HIGH')")
+    orders = read(spark, sf_dir, "orders")
     alone = F.count("*").over(Window.partitionBy("o_custkey")) == 1
     tracks = orders.select(F.col("o_custkey").alias("entry"), F.when(alone, 0).otherwise(F.col("o_orderkey")).alias("offset"), F.col("o_orderkey").alias("offset_"), F.col("o_orderpriority").alias("label"))
     path = F.concat(F.lit("seg"), (F.col("c_custkey") % 5).cast("string"), F.lit("/cust"), F.col("c_custkey").cast("string"), F.lit(".bin"))
@@ -453,11 +434,11 @@ def pair_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.pair_by_name(tracks, part.select("entry", "path"), ["size"])
 
 
-@query("select page_id, lower(url) as name from pages where page_id % 3 = 0")
+@query("select page_id, lower(url) as name from pages")
 def names_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names found again by their hashes."""
     pages = read(spark, sf_dir, "pages")
-    rows = pages.filter("page_id % 3 = 0").select("page_id", numbers.name_hash("url").alias("h"))
+    rows = pages.select("page_id", numbers.name_hash("url").alias("h"))
     return matching.named_by_hash(rows, "h", pages.select(F.concat(F.lit(" "), F.lower("url")).alias("n")), "n").select("page_id", "name")
 
 
@@ -494,12 +475,12 @@ def reused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with r as (select l_suppkey % 97 as g, floor(l_extendedprice)::bigint // 16 as n from lineitem where l_partkey % 40 = 0), d as (select g, list(distinct n) as l from r group by g)
+    """with r as (select l_orderkey as g, floor(l_extendedprice)::bigint // 16 as n from lineitem), d as (select g, list(distinct n) as l from r group by g)
  select g, greatest(16, list_reduce(list_prepend(0::bigint, l), lambda a, b: gcd(a, b)) * 16)::bigint as step from d"""
 )
 def common_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest step that divides all block sizes of a group."""
-    rows = read(spark, sf_dir, "lineitem").filter("l_partkey % 40 = 0").select((F.col("l_suppkey") % 97).alias("g"), F.floor("l_extendedprice").alias("size"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.floor("l_extendedprice").alias("size"))
     return offsets.common_divisor(rows, "g", "size")
 
 
@@ -546,3 +527,6 @@ def serials(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(k % 4 == 2, F.concat(F.lit("Game slus"), d)).otherwise("Game")
     rows = read(spark, sf_dir, "orders").select("o_orderkey", text.serial(boot).alias("serial"), title.alias("t"))
     return rows.select("o_orderkey", "serial", text.titled(F.col("t"), F.col("serial")).alias("title"))
+
+
+from granary.plans import dataflow  # noqa: E402, F401 adds its queries
