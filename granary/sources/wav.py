@@ -107,6 +107,17 @@ def twice(frames: np.ndarray, loop: tuple[int, int] | None, rate: int, fade_seco
     return np.concatenate([frames[: loop[1]], body, (tail * gain[:, None]).astype(np.int16)])
 
 
+def rendered(source: ranges.Source, track: dict, loops_twice: bool) -> tuple[str, bytes | None]:
+    """(status, WAVE file) of a track's row; an error is its status, and gives no file."""
+    try:
+        frames = decode(source.read(track["data_at"], track["data_size"]), track["channels"], track["bits"])
+        loop = (track["loop_start"], track["loop_end"]) if track["loop_start"] is not None else None
+        out = twice(frames, loop, track["rate"]) if loops_twice else frames
+        return "written", encode(out, track["rate"], None if loops_twice else loop)
+    except (OSError, ValueError, TypeError, ArithmeticError, struct.error) as e:
+        return f"failed: {e}", None
+
+
 def export(entries: DataFrame, tracks: DataFrame, loops_twice: bool = False) -> DataFrame:
     """(entry, offset, status, wav): one WAVE file for each track; an error leaves wav null.
 
@@ -121,13 +132,7 @@ def export(entries: DataFrame, tracks: DataFrame, loops_twice: bool = False) ->
         files = ranges.Files()
         for batch in batches:
             for r, source in ranges.each_source(batch, files):
-                try:
-                    frames = decode(source.read(r["data_at"], r["data_size"]), r["channels"], r["bits"])
-                    loop = (r["loop_start"], r["loop_end"]) if r["loop_start"] is not None else None
-                    out = twice(frames, loop, r["rate"]) if loops_twice else frames
-                    status, made = "written", encode(out, r["rate"], None if loops_twice else loop)
-                except (OSError, ValueError, TypeError, struct.error) as e:
-                    status, made = f"failed: {e}", None
+                status, made = rendered(source, r, loops_twice)
                 columns = [pa.array([r[c]], pa.int64()) for c in ("entry", "offset")] + [pa.array([status]), pa.array([made], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["entry", "offset", "status", "wav"])
 

@@ -266,3 +266,68 @@ def test_many_signatures_over_all_chunk_sizes(spark):
         assert chunk == 1 or ({tuple(r) for r in got} == want and len(got) == len(want))
     df = spark.createDataFrame([(k, d.decode()) for k, d in enumerate(data)] + [(9, None)], "k long, t string").coalesce(1)
     assert {tuple(r) for r in search.all_hits(df, "k", "t", [p.decode() for p in patterns]).collect()} == want
+
+
+def numbered_tracks(spark, entries, tracks):
+    from granary.operators import naming
+
+    rows = naming.dense_ids(naming.track_paths(tracks.select("entry", "offset", "end", "format", "label", "channels", "rate", "samples", "loop_start", "loop_end", "data_at", "data_size", "bits"), entries), ["entry", "offset"])
+    return rows.join(entries.select("entry", F.col("path").alias("source")), "entry")
+
+
+def test_tracks_appear_all_at_once(spark, tmp_path):
+    """Files and manifest by one commit; a track that can't be made has a line and no file; nothing else is left."""
+    from granary.sources import export
+
+    (tmp_path / "in").mkdir()
+    one, two = wav.encode(sweep(400), 22_050), wav.encode(sweep(60), 8_000)
+    (tmp_path / "in/a.wav").write_bytes(one)
+    (tmp_path / "in/b.bin").write_bytes(b"\7" * 20 + two + two)
+    entries = files.entries(spark, str(tmp_path / "in"), loc=True)
+    tracks = numbered_tracks(spark, entries, scan.scan_all(entries).tracks)
+    bad = tracks.withColumn("channels", F.when(F.col("track_id") == 1, 0).otherwise(F.col("channels")))
+    assert export.write_tracks(entries, bad, f"file://{tmp_path}/out") == {"written": 2, "failed": 1}
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a.wav", "b.bin/002.wav", "report.json", "tracks.csv"]
+    assert (tmp_path / "out/a.wav").read_bytes() == one and (tmp_path / "out/b.bin/002.wav").read_bytes() == two
+    lines = (tmp_path / "out/tracks.csv").read_text().splitlines()
+    assert lines[0] == ",".join(export.FIELDS) and [x.split(",")[0] for x in lines[1:]] == ["a.wav", "b.bin/001.wav", "b.bin/002.wav"]
+
+
+def test_a_task_that_dies_leaves_nothing(spark, tmp_path):
+    """One task fails after it has written files: no file and no manifest appear, and the job's folder is gone."""
+    from granary.sources import export
+    from pyspark.errors import PySparkException
+
+    spark.dataSource.register(export.TrackFolder)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                if i == 7:
+                    raise ValueError("lost")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i]), pa.array([f"x/{i}.wav"]), pa.array([f"x/{i}.wav,"]), pa.array(["written"]), pa.array([b"RIFF"], pa.binary())], names=["track_id", "out", "line", "status", "wav"]
+                )
+
+    folder = tmp_path / "out"
+    with pytest.raises(PySparkException):
+        spark.range(0, 8, 1, 4).mapInArrow(run, export.SCHEMA).write.format("track_folder").option("path", f"file://{folder}").mode("append").save()
+    assert not [p for p in folder.rglob("*") if p.is_file()]
+    spark.range(0, 7, 1, 3).mapInArrow(run, export.SCHEMA).write.format("track_folder").option("path", f"file://{folder}").mode("append").save()
+    assert sorted(p.name for p in folder.rglob("*") if p.is_file()) == sorted([f"{i}.wav" for i in range(7)] + ["tracks.csv", "report.json"])
+    assert (folder / "tracks.csv").read_text().splitlines()[1:] == [f"x/{i}.wav," for i in range(7)]
+
+
+def test_a_task_that_ran_twice_counts_once(tmp_path):
+    """Two attempts write; the one whose message is committed is seen, the other's files go."""
+    import pyarrow as pa
+    from granary.sources import export
+
+    writer = export._Writer(f"file://{tmp_path}/out", "head")
+    batch = lambda data: pa.RecordBatch.from_arrays([pa.array([0]), pa.array(["a.wav"]), pa.array(["a.wav,"]), pa.array(["written"]), pa.array([data], pa.binary())], names=["track_id", "out", "line", "status", "wav"])
+    lost, good = writer.write(iter([batch(b"lost")])), writer.write(iter([batch(b"good")]))
+    writer.commit([good, None])
+    assert (tmp_path / "out/a.wav").read_bytes() == b"good" and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.wav", "report.json", "tracks.csv"]
+    assert lost.listed != good.listed
