@@ -2,9 +2,11 @@
 
 1. Equal vectors become one vertex with a weight (pre-aggregated).
 2. Centroids are fitted on a bounded sample, in two levels beyond CLUSTERS of them, so that a cluster has
-   about CLUSTER_ROWS vertices however many there are.  Each vertex is a member of its ``overlap``
+   about CLUSTER_ROWS vertices however many there are.  A centroid in the thick of a skewed table would draw most of it, so each has a
+   price, fitted on the sample until clusters are about equal, that is taken off its cosine.  Each vertex is a member of its ``overlap``
    nearest clusters, so clusters overlap, and a visitor of VISITS more.  A cluster over ``unit_rows`` is cut into blocks, and each
-   pair of blocks makes a unit, so no task holds more than two blocks and their visitors.
+   pair of blocks makes a unit; its visitors are cut into slices of so many, and each meets each block in a unit of its own.
+   So no task holds more than two blocks, or a block and a slice.
 3. In each unit a graph is built of its members by inserting them in doubling batches: a greedy search
    from the medoid gives candidates, robust pruning keeps those that no kept one is nearer to
    by the factor ``alpha``.
@@ -14,12 +16,12 @@
    where either end belongs to a cluster that the other belongs to or visits.
 6. Pairs found are verified by cosine in double precision and counted once, in the least
    cluster in which they can meet.
-7. Recall is audited against brute force over all vertices, for growing blocks of vertices, until
-   linked ones of ``AUDITED_GROUPS`` groups were seen or all vertices are used.  It is the least
+7. Recall is audited against brute force over all vertices, for growing blocks of vertices by a hash, until
+   linked ones of ``AUDITED_GROUPS`` groups were seen or ``AUDIT_ROWS`` vertices are used, so its cost grows with the table and
+   not with its square.  It is the least
    of three shares: of links, of each linked vertex's pairs, and of each group's pairs.  Under
    ``recall``, the search is repeated with twice the beam and one more cluster for each vertex;
-   if the widest beam fails too, or the first over at most ``EXACT_ROWS`` vertices, the links are
-   found by brute force, block by block.
+   if the widest beam fails too, the links are found by brute force, block by block.
 """
 
 from __future__ import annotations
@@ -39,11 +41,9 @@ CLUSTER_ROWS, UNIT_ROWS, CLUSTERS, FIT_ROWS, OVERLAP = 1_500, 4_096, 1_024, 20_0
 #: Clusters that a vertex visits beside its own; those of the upper level in which it looks for them; rows that the centroids of each are fitted on.
 VISITS, UPPER, LOWER_FIT_ROWS = 2, 2, 5_000
 DEGREE, BEAM, ALPHA, BATCH = 24, 32, 1.2, 512
-#: Vertices in the first block of an audit (it doubles up to BLOCK_ROWS), and groups that it has to see.
-AUDITED, AUDITED_GROUPS, BLOCK_ROWS = 256, 100, 4_096
+#: Vertices in the first block of an audit (it doubles up to BLOCK_ROWS), groups that it has to see, and vertices that it takes at most.
+AUDITED, AUDITED_GROUPS, BLOCK_ROWS, AUDIT_ROWS = 256, 100, 4_096, 32_768
 _SLICE = 1_024
-#: Up to so many vertices brute force follows the first beam that fails: it costs less than a wider one.
-EXACT_ROWS = 20_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -64,6 +64,27 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def priced(x: np.ndarray, c: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Centroids with their prices as a last column: those under which the largest cluster of the sample is the smallest that was seen.
+
+    The price of a cluster over the average rises, of one under it falls, by ever smaller steps of the cosines' spread.
+    """
+    cosine = (x @ c.T).astype(np.float32)
+    price, best, step = np.zeros(len(c), np.float32), (len(x) + 1, np.zeros(len(c))), float(cosine.std()) / 4
+    for _ in range(rounds if len(c) > 1 else 0):
+        size = np.bincount(np.argmax(cosine - price, axis=1), minlength=len(c))
+        if size.max() < best[0]:
+            best = int(size.max()), price.astype(np.float64)
+        price += (step * np.clip(size * len(c) / len(x) - 1, -1, 2)).astype(np.float32)
+        step *= 0.97
+    return np.c_[c, best[1]]
+
+
+def _score(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cosines with priced centroids, less the prices."""
+    return x @ c[:, :-1].T - c[:, -1]
+
+
 def greedy_search(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam of the nearest vertices found for each query, nearest first: (ids, cosines).
 
@@ -142,20 +163,20 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     return graph, medoid
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, start: int, least: float, beam: int, queries: np.ndarray | None = None) -> np.ndarray:
+def range_search(x: np.ndarray, graph: np.ndarray, start: int, least: float, beam: int, visitors: np.ndarray | None = None) -> np.ndarray:
     """Boolean matrix (queries by vertices) of the pairs with cosine over ``least`` that greedy search and expansion find.
 
-    ``queries``: the vertices themselves, then any others (default: none).
+    The queries are the vertices themselves, or ``visitors`` if there are any.
     """
     n = len(x)
-    queries = x if queries is None else queries
+    queries = x if visitors is None else visitors
     found = np.zeros((len(queries), n), dtype=bool)
     for i in range(0, len(queries), BATCH):
         ids, near = greedy_search(x, graph, start, queries[i : i + BATCH], beam)
         for q in range(len(ids)):
             me = i + q
             front = ids[q][(near[q] >= least) & (ids[q] >= 0)]
-            front = np.unique(np.r_[front, me]) if me < n else front
+            front = np.unique(np.r_[front, me]) if visitors is None else front
             seen = np.zeros(n, dtype=bool)
             seen[front] = True
             while len(front):
@@ -165,8 +186,9 @@ def range_search(x: np.ndarray, graph: np.ndarray, start: int, least: float, bea
                 more = more[~seen[more]]
                 seen[more] = True
                 front = more[x[more] @ queries[me] >= least]
-    np.fill_diagonal(found[:n], False)
-    found[:n] |= found[:n].T
+    if visitors is None:
+        np.fill_diagonal(found, False)
+        found |= found.T
     return found
 
 
@@ -214,15 +236,17 @@ def _search(least: float, beam: int, overlap: int):
             graph = np.full((k, max(1, int(size.max()))), -1, dtype=np.int64)
             graph[np.repeat(np.arange(k), size), np.arange(len(to)) - np.repeat(np.cumsum(size) - size, size)] = to
             low = x.astype(np.float32)
-            found = range_search(low[:k], graph, int(np.argmax(low[:k] @ low[:k].mean(axis=0))), least - 1e-4, beam, low)
+            visited = unit.column("slice")[0].as_py() > 0
+            first = k if visited else 0  # members search for themselves where there are no visitors
+            found = range_search(low[:k], graph, int(np.argmax(low[:k] @ low[:k].mean(axis=0))), least - 1e-4, beam, low[k:] if visited else None)
             weight, block = unit.column("weight").to_numpy(), unit.column("block").to_numpy()
             one_block = unit.column("b1")[0] == unit.column("b2")[0]
             cluster = unit.column("cluster")[0].as_py()
             clusters = unit.column("clusters").combine_chunks()
             clusters = clusters.flatten().to_numpy().reshape(n, -1)
             near: list[np.ndarray] = []
-            for u in range(n):
-                v = np.flatnonzero(found[u])
+            for u in range(first, n):
+                v = np.flatnonzero(found[u - first])
                 v = v[x[v] @ x[u] >= least]
                 near.append(v)
                 if len(v):
@@ -234,7 +258,7 @@ def _search(least: float, beam: int, overlap: int):
                         pairs[mine] += 1
             while True:
                 before = label.copy()
-                for u, v in enumerate(near):
+                for u, v in enumerate(near, first):
                     if len(v):
                         label[u] = min(label[u], label[v].min())
                         label[v] = np.minimum(label[v], label[u])
@@ -251,8 +275,8 @@ class NearVectors:
     ``vectors`` needs ``vec_id`` and ``embedding``; other columns are ignored.  A vector that is null,
     empty, zero or holds a null or a component that isn't finite links with nothing; vectors
     of different lengths don't link; equal vectors link with each other.  Rows that repeat an
-    id are vectors of their own with one name.  After ``result()``, ``audited`` holds the recall
-    of the links for the audited vectors (1.0 without links and after brute force); it is never
+    id are vectors of their own with one name; an empty table gives no rows.  After ``result()``, ``audited`` holds the recall
+    of the links for the audited vectors (1.0 if none of them has links, and after brute force); it is never
     under ``recall``.
     """
 
@@ -275,14 +299,14 @@ class NearVectors:
         sample = rows.orderBy(F.xxhash64("vid"), "vid").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()
         x = _unit(sample.flatten().to_numpy().reshape(len(sample), -1))
         upper = min(k, CLUSTERS, len(x))
-        shared = self.spark.sparkContext.broadcast(fit_centroids(x, upper))
+        shared = self.spark.sparkContext.broadcast(priced(x, fit_centroids(x, upper)))
         lower = min(-(-k // upper), CLUSTERS)
         near = min(keep if lower == 1 else UPPER, upper)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 _, x = _table(pa.Table.from_batches([batch]))
-                lists = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :near].astype(np.int64)
+                lists = np.argsort(-_score(x, shared.value), axis=1, kind="stable")[:, :near].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(lists), pa.list_(pa.int64()))], names=[*batch.schema.names, "clusters"])
 
         rows = rows.select("vid", "v", "weight").mapInArrow(tidy(assign), "vid long, v array<double>, weight long, clusters array<long>")
@@ -298,16 +322,17 @@ class NearVectors:
 
         def fit(group: pa.Table) -> pa.Table:
             ids, x = _table(group)
-            c = fit_centroids(x[np.argsort(ids)], min(lower, len(x)))
+            x = x[np.argsort(ids)]
+            c = priced(x, fit_centroids(x, min(lower, len(x))))
             top = group.column("top")[0].as_py()
             return pa.table({"top": pa.array([top] * len(c), pa.int64()), "c": pa.array(list(c), pa.list_(pa.float64()))})
 
         fitted = self._cut(sample.groupBy("top").applyInArrow(fit, "top long, c array<double>"), "centroids")
-        some = max(1, BROADCAST_BYTES // (8 * width * lower))
+        some = max(1, BROADCAST_BYTES // (8 * (width + 1) * lower))
         path = scratch_path(self.spark, "nearest")
         for first in range(0, upper, some):
             inside = fitted.filter(F.col("top").between(first, first + some - 1)).toArrow()
-            tops, c = inside.column("top").to_numpy(), inside.column("c").combine_chunks().flatten().to_numpy().reshape(-1, width)
+            tops, c = inside.column("top").to_numpy(), inside.column("c").combine_chunks().flatten().to_numpy().reshape(-1, width + 1)
             shared = self.spark.sparkContext.broadcast({int(t): c[tops == t] for t in np.unique(tops)})
 
             def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -318,7 +343,7 @@ class NearVectors:
                         if (c := shared.value.get(t)) is None:
                             continue
                         on = np.flatnonzero(tops == t)
-                        cosine = x[on] @ c.T
+                        cosine = _score(x[on], c)
                         best = np.argsort(-cosine, axis=1, kind="stable")[:, :keep]
                         columns = [np.repeat(ids[on], best.shape[1]), (t * CLUSTERS + best).ravel(), -np.take_along_axis(cosine, best, axis=1).ravel()]
                         yield pa.RecordBatch.from_arrays([pa.array(a) for a in columns], names=["vid", "cluster", "far"])
@@ -339,21 +364,24 @@ class NearVectors:
         rows = self._clusters(rows, n, overlap + VISITS)
         at = F.posexplode(F.array_distinct("clusters")).alias("place", "cluster")
         rows = rows.select("vid", "v", "weight", "clusters", at).withColumn("member", F.col("place") < overlap)
-        sizes = rows.filter("member").groupBy("cluster").agg(F.count("*").alias("size"))
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / self.unit_rows)).cast("int")
-        sizes = self._cut(sizes.select("cluster", blocks.alias("m")), "sizes")
-        rows = rows.join(small(sizes, sizes.count() * 12), "cluster")
+        parts = lambda n: F.ceil(n / self.unit_rows).cast("int")
+        sizes = rows.groupBy("cluster").agg(F.count_if("member").alias("size"), F.count_if(~F.col("member")).alias("guests"))
+        sizes = self._cut(sizes.select("cluster", parts(F.col("size")).alias("m"), parts(F.col("guests")).alias("g")), "sizes")
+        rows = rows.join(small(sizes, sizes.count() * 16), "cluster").filter("m > 0")
         rows = rows.withColumn("block", F.when(F.col("member"), F.pmod(F.xxhash64("vid"), F.col("m")).cast("int")).otherwise(-1))
-        every = F.sequence(F.lit(0), F.col("m") - 1)
-        pairs = F.transform(every, lambda j: F.struct(F.least("block", j).alias("b1"), F.greatest("block", j).alias("b2")))
-        visits = F.transform(every, lambda j: F.struct(j.alias("b1"), j.alias("b2")))
-        rows = rows.withColumn("p", F.explode(F.when(F.col("member"), pairs).otherwise(visits)))
-        return rows.select("vid", "v", "weight", "clusters", "cluster", "member", "block", "p.b1", "p.b2")
+        rows = rows.withColumn("mine", F.when(~F.col("member"), F.pmod(F.xxhash64("vid", F.lit(2)), F.col("g")).cast("int") + 1))
+        unit = lambda a, b, s: F.struct(a.alias("b1"), b.alias("b2"), s.alias("slice"))
+        every, none = F.sequence(F.lit(0), F.col("m") - 1), F.array().cast("array<struct<b1:int,b2:int,slice:int>>")
+        pairs = F.transform(every, lambda j: unit(F.least("block", j), F.greatest("block", j), F.lit(0)))
+        hosts = F.when(F.col("g") > 0, F.transform(F.sequence(F.lit(1), F.col("g")), lambda s: unit(F.col("block"), F.col("block"), s))).otherwise(none)
+        visits = F.transform(every, lambda j: unit(j, j, F.col("mine")))
+        rows = rows.withColumn("p", F.explode(F.when(F.col("member"), F.concat(pairs, hosts)).otherwise(visits)))
+        return rows.select("vid", "v", "weight", "clusters", "cluster", "member", "block", "p.b1", "p.b2", "p.slice")
 
     def _links(self, rows: DataFrame, n: int, overlap: int, beam: int) -> DataFrame:
         units = self._units(rows, n, overlap)
-        unit = ["cluster", "b1", "b2"]
-        built = units.filter("member").groupBy(*unit).applyInArrow(_build(DEGREE, beam, ALPHA), "vid long, near array<long>")
+        unit = ["cluster", "b1", "b2", "slice"]
+        built = units.filter("member and slice = 0").groupBy(*unit).applyInArrow(_build(DEGREE, beam, ALPHA), "vid long, near array<long>")
         near = self._cut(built.groupBy("vid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
         searched = units.join(near, "vid", "left").groupBy(*unit).applyInArrow(
             _search(self.cosine, beam, overlap), "vid long, links long, pairs long, root long"
@@ -388,7 +416,7 @@ class NearVectors:
         labelled = cut(labelled.select("vid", "v", "weight", F.coalesce("component", "vid").alias("component")), "audit")
         sums = found.groupBy("vid").agg(F.sum("links").alias("got"), F.sum("pairs").alias("got_pairs"))
         sums = cut(sums, "sums")
-        got = true = 0
+        got = true = audited = 0
         shares: list[float] = []
         groups: dict[int, list[float]] = {}
         for ids, x in self._blocks(rows, n, AUDITED):
@@ -416,7 +444,8 @@ class NearVectors:
                 shares.append(min(r.got_pairs or 0, r.pairs) / r.pairs)
                 groups.setdefault(r.group, []).append(shares[-1])
             shared.destroy()
-            if len(groups) >= AUDITED_GROUPS:
+            audited += len(ids)
+            if len(groups) >= AUDITED_GROUPS or audited >= AUDIT_ROWS:
                 break
         drop(labelled)
         drop(sums)
@@ -467,7 +496,7 @@ class NearVectors:
             rows = self.vertices.filter(F.size("v") == d)
             n, overlap, beam = rows.count(), OVERLAP, BEAM
             while True:
-                exact = beam > (BEAM if n <= EXACT_ROWS else 16 * BEAM)
+                exact = beam > 16 * BEAM
                 part = self._exact(rows, n) if exact else self._links(rows, n, overlap, beam)
                 tops = connected_components(part.select(F.col("vid").alias("a"), F.col("root").alias("b")))
                 recall = 1.0 if exact else self._audit(rows, part, tops, n)

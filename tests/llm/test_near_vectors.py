@@ -76,9 +76,9 @@ def _one_large_group():
     return [(i, v.tolist()) for i, v in enumerate(x)], lambda vids: [i for i in vids if i < 150]
 
 
-@pytest.mark.parametrize("case,exact_rows,tries", [(_sparse, 0, 5), (_one_large_group, 1_000, 1)])
-def test_lost_links_are_seen_and_not_accepted(spark, monkeypatch, case, exact_rows, tries):
-    monkeypatch.setattr(nv, "EXACT_ROWS", exact_rows)
+@pytest.mark.parametrize("case,tries", [(_sparse, 5), (_one_large_group, 5)])
+def test_lost_links_are_seen_and_not_accepted(spark, monkeypatch, case, tries):
+    """Whatever the size of the table, all beams are tried, then brute force."""
     rows, kept = case()
     tried = []
 
@@ -128,7 +128,6 @@ def test_planted_groups_over_many_clusters(spark, monkeypatch, clusters):
     """The graph search alone, without the exact pass, over one and two levels of clusters: thousands of pairs."""
     monkeypatch.setattr(nv, "CLUSTER_ROWS", 250)
     monkeypatch.setattr(nv, "CLUSTERS", clusters)
-    monkeypatch.setattr(nv, "EXACT_ROWS", 0)
     rows = planted(11, 2_000, 120)
     x = np.array([e for _, e in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -151,3 +150,45 @@ def test_large_and_small_components_do_not_overflow(spark):
     out = nv.op10_near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert got(out) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
     assert "recall" not in out.columns
+
+
+def test_units_stay_small_under_skew(spark, monkeypatch):
+    """A common mean and uneven spread, as embeddings have: plain centroids draw a third of all vectors into one cluster."""
+    monkeypatch.setattr(nv, "CLUSTER_ROWS", 200)
+    rnd = np.random.default_rng(12)
+    n, d, units = 5_000, 32, 400
+    x = rnd.normal(size=d) + np.exp(rnd.normal(size=(n, 1)) * 0.8) * rnd.normal(size=(n, d)) * 0.7
+    x[n - 600 :] = x[:600] + rnd.normal(size=(600, d)) * 0.02
+    plain = nv.fit_centroids(nv._unit(x), n // 200)
+    assert np.bincount(np.argmax(nv._unit(x) @ plain.T, axis=1)).max() > n // 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    join = nv.NearVectors(df, unit_rows=units)
+    dealt = join._units(join.vertices, n, nv.OVERLAP)
+    largest = dealt.groupBy("cluster", "b1", "b2", "slice").count().agg({"count": "max"}).first()[0]
+    members = dealt.filter("member").select("cluster", "vid").distinct().groupBy("cluster").count().agg({"count": "max"}).first()[0]
+    assert largest <= 2.5 * units and members <= 6 * 200
+    u = nv._unit(x)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    tried, links = [], join._links
+    monkeypatch.setattr(join, "_links", lambda r, n, o, b: tried.append(b) or links(r, n, o, b))
+    got_ = {r.vec_id: r.n_links for r in join.result().collect()}
+    found = np.array([got_[i] for i in range(n)])
+    assert len(tried) == 1 and (found <= near.sum(axis=1)).all() and found.sum() >= 0.98 * near.sum() > 1_000
+
+
+def test_audit_is_bounded(spark, monkeypatch):
+    """Where links are rare it ends at so many vertices, not at the last one."""
+    monkeypatch.setattr(nv, "AUDITED", 16)
+    monkeypatch.setattr(nv, "AUDIT_ROWS", 100)
+    blocks, cut_up = [], nv.NearVectors._blocks
+
+    def counted(self, *args):
+        for ids, x in cut_up(self, *args):
+            blocks.append(len(ids))
+            yield ids, x
+
+    monkeypatch.setattr(nv.NearVectors, "_blocks", counted)
+    rows, _ = _sparse()
+    assert got(nv.NearVectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).result()) == brute(rows)
+    assert 100 <= sum(blocks) < 400
