@@ -19,7 +19,9 @@
 7. Recall is audited against brute force over all vertices, for growing blocks of vertices by a hash, until
    linked ones of ``AUDITED_GROUPS`` groups were seen or ``AUDIT_ROWS`` vertices are used, so its cost grows with the table and
    not with its square.  It is the least
-   of three shares: of links, of each linked vertex's pairs, and of each group's pairs.  Under
+   of three shares: of links, of each linked vertex's pairs, and of each group's pairs; and of a fourth, that doesn't depend on how
+   rare links are: of PROBES vertices turned to a cosine between the threshold and 1, which visit clusters and search like any
+   vertex but are nobody's neighbours, those that find the vertex that they were turned from.  Under
    ``recall``, the search is repeated with twice the beam and one more cluster for each vertex;
    if the widest beam fails too, the links are found by brute force, block by block.
 """
@@ -43,6 +45,8 @@ VISITS, UPPER, LOWER_FIT_ROWS = 2, 2, 5_000
 DEGREE, BEAM, ALPHA, BATCH = 24, 32, 1.2, 512
 #: Vertices in the first block of an audit (it doubles up to BLOCK_ROWS), groups that it has to see, and vertices that it takes at most.
 AUDITED, AUDITED_GROUPS, BLOCK_ROWS, AUDIT_ROWS = 256, 100, 4_096, 32_768
+#: Turned vertices whose search is audited, whatever the size of the table.
+PROBES = 1_000
 _SLICE = 1_024
 
 
@@ -220,6 +224,27 @@ def _meeting(clusters: np.ndarray, u: int, v: np.ndarray, overlap: int) -> np.nd
     return np.minimum(a.min(axis=1), b.min(axis=1))
 
 
+def _turned(least: float):
+    """Vertices turned by a random angle to a cosine over ``least``, with the negative of their id and no weight; nothing in one dimension."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = _table(pa.Table.from_batches([batch]))
+            if x.shape[1] < 2:
+                continue
+            out = np.empty_like(x)
+            for i, (vid, v) in enumerate(zip(ids.tolist(), x, strict=True)):
+                rnd = np.random.default_rng(vid)
+                side = rnd.normal(size=len(v))
+                side -= (side @ v) * v
+                t = least + (1 - least) * (0.001 + 0.998 * rnd.random())
+                out[i] = t * v + np.sqrt(1 - t * t) * side / np.linalg.norm(side)
+            columns = [pa.array(-1 - ids), pa.array(list(out), pa.list_(pa.float64())), pa.array(np.zeros(len(ids), np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["vid", "v", "weight"])
+
+    return run
+
+
 def _search(least: float, beam: int, overlap: int):
     def run(unit: pa.Table) -> pa.Table:
         unit = unit.take(pa.array(np.argsort(~unit.column("member").to_numpy(), kind="stable")))  # members first
@@ -248,6 +273,9 @@ def _search(least: float, beam: int, overlap: int):
             for u in range(first, n):
                 v = np.flatnonzero(found[u - first])
                 v = v[x[v] @ x[u] >= least]
+                if ids[u] < 0:  # a probe: links and groups don't see it
+                    pairs[u] = int((ids[v] == -1 - ids[u]).any())
+                    v = v[:0]
                 near.append(v)
                 if len(v):
                     mine = v[(_meeting(clusters, u, v, overlap) == cluster) & (one_block | (block[v] != block[u]))]
@@ -276,13 +304,13 @@ class NearVectors:
     empty, zero or holds a null or a component that isn't finite links with nothing; vectors
     of different lengths don't link; equal vectors link with each other.  Rows that repeat an
     id are vectors of their own with one name; an empty table gives no rows.  After ``result()``, ``audited`` holds the recall
-    of the links for the audited vectors (1.0 if none of them has links, and after brute force); it is never
+    of the links of audited vectors and of probes (1.0 after brute force); it is never
     under ``recall``.
     """
 
     def __init__(self, vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, unit_rows: int = UNIT_ROWS):
         self.spark, self.cosine, self.recall, self.unit_rows = vectors.sparkSession, cosine, recall, unit_rows
-        self.audited = 1.0
+        self.audited = self.planted = 1.0
         self._tables: list[DataFrame] = []
         v = F.transform("embedding", lambda e: e.cast("double"))
         rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
@@ -363,7 +391,7 @@ class NearVectors:
         """Rows of units: a vertex once for each unit that it belongs to or visits."""
         rows = self._clusters(rows, n, overlap + VISITS)
         at = F.posexplode(F.array_distinct("clusters")).alias("place", "cluster")
-        rows = rows.select("vid", "v", "weight", "clusters", at).withColumn("member", F.col("place") < overlap)
+        rows = rows.select("vid", "v", "weight", "clusters", at).withColumn("member", (F.col("place") < overlap) & (F.col("vid") >= 0))
         parts = lambda n: F.ceil(n / self.unit_rows).cast("int")
         sizes = rows.groupBy("cluster").agg(F.count_if("member").alias("size"), F.count_if(~F.col("member")).alias("guests"))
         sizes = self._cut(sizes.select("cluster", parts(F.col("size")).alias("m"), parts(F.col("guests")).alias("g")), "sizes")
@@ -379,14 +407,20 @@ class NearVectors:
         return rows.select("vid", "v", "weight", "clusters", "cluster", "member", "block", "p.b1", "p.b2", "p.slice")
 
     def _links(self, rows: DataFrame, n: int, overlap: int, beam: int) -> DataFrame:
-        units = self._units(rows, n, overlap)
+        some = rows.orderBy(F.xxhash64("vid", F.lit(5)), "vid").limit(PROBES).select("vid", "v")
+        probes = self._cut(some.mapInArrow(_turned(self.cosine), "vid long, v array<double>, weight long"), "probes")
+        units = self._units(rows.select("vid", "v", "weight").unionByName(probes), n, overlap)
         unit = ["cluster", "b1", "b2", "slice"]
         built = units.filter("member and slice = 0").groupBy(*unit).applyInArrow(_build(DEGREE, beam, ALPHA), "vid long, near array<long>")
         near = self._cut(built.groupBy("vid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
         searched = units.join(near, "vid", "left").groupBy(*unit).applyInArrow(
             _search(self.cosine, beam, overlap), "vid long, links long, pairs long, root long"
         )
-        found = cut(searched, "found")
+        both = self._cut(searched, "searched")
+        turned = both.filter("vid < 0").groupBy("vid").agg(F.max("pairs").alias("found"))
+        seen = probes.join(turned, "vid", "left").agg(F.avg(F.coalesce("found", F.lit(0)))).first()[0]
+        self.planted = 1.0 if seen is None else float(seen)
+        found = cut(both.filter("vid >= 0"), "found")
         drop(*self._tables)
         self._tables = []
         return found
@@ -499,7 +533,7 @@ class NearVectors:
                 exact = beam > 16 * BEAM
                 part = self._exact(rows, n) if exact else self._links(rows, n, overlap, beam)
                 tops = connected_components(part.select(F.col("vid").alias("a"), F.col("root").alias("b")))
-                recall = 1.0 if exact else self._audit(rows, part, tops, n)
+                recall = 1.0 if exact else min(self.planted, self._audit(rows, part, tops, n))
                 if exact or recall >= self.recall:
                     break
                 drop(part)

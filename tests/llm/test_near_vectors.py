@@ -139,7 +139,8 @@ def test_planted_groups_over_many_clusters(spark, monkeypatch, clusters):
     links = join._links
     monkeypatch.setattr(join, "_links", lambda r, n, o, b: tried.append(links(r, n, o, b)) or tried[-1])
     got_ = {r.vec_id: r for r in join.result().collect()}
-    assert len(tried) == 1 and join.audited >= 0.9
+    assert len(tried) == 1 and 0.9 <= join.audited <= join.planted <= 1
+    assert tried[0].filter("vid < 0").count() == 0
     assert all(r.recall == join.audited for r in got_.values())
     n_links = np.array([got_[i].n_links for i in range(len(rows))])
     assert (n_links <= near.sum(axis=1)).all() and n_links.sum() >= 0.98 * near.sum()
@@ -192,3 +193,28 @@ def test_audit_is_bounded(spark, monkeypatch):
     rows, _ = _sparse()
     assert got(nv.NearVectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).result()) == brute(rows)
     assert 100 <= sum(blocks) < 400
+
+
+def test_probes_are_at_cosines_that_link(spark):
+    rows = vectors(13, 200)
+    join = nv.NearVectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    turned = join.vertices.mapInArrow(nv._turned(0.95), "vid long, v array<double>, weight long").collect()
+    own = {r.vid: nv._unit(np.array([r.v]))[0] for r in join.vertices.collect()}
+    cosine = [float(np.dot(r.v, own[-1 - r.vid])) for r in turned]
+    assert len(turned) == len(own) and min(cosine) >= 0.95 and max(cosine) <= 1 and np.std(cosine) > 0.005 and {r.weight for r in turned} == {0}
+
+
+def test_probes_see_what_no_link_shows(spark, monkeypatch):
+    """A table without links, searched by a graph that finds nothing from afar: the probes tell, and brute force follows."""
+    monkeypatch.setattr(nv, "VISITS", 0)
+    monkeypatch.setattr(nv, "CLUSTER_ROWS", 4)
+    monkeypatch.setattr(nv, "OVERLAP", 1)
+    monkeypatch.setattr(nv, "BEAM", 1)
+    x = np.random.default_rng(14).normal(size=(400, 3))
+    x = x[np.unique(nv._unit(x).round(1), axis=0, return_index=True)[1]]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    join = nv.NearVectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.9, recall=0.999)
+    seen, links = [], join._links
+    monkeypatch.setattr(join, "_links", lambda *a: [links(*a), seen.append(join.planted)][0])
+    assert got(join.result()) == brute(rows, 0.9)
+    assert min(seen) < 0.999
