@@ -30,9 +30,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the line runs that occur earlier.
+    """All documents, without the lines that occur earlier, in runs of one or more.
 
-    Null texts, rows with a null id and rows that repeat one id with one text stay as they are; ``n_chars`` follows the text.
+    Null texts and rows with a null id stay as they are; rows that repeat one id with one text are one document and lose the same lines; a text
+    may become empty; an empty table stays empty; ``n_chars`` follows the text.
     """
     cleaned = deduplicate_lines(docs)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -42,7 +43,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the least id.
 
-    Null and empty texts and rows with a null id are in no group and stay; rows that repeat an id stay or go together.
+    Null and empty texts and rows with a null id are in no group and stay; rows that repeat an id stay or go together; an empty table stays empty.
     """
     groups = JaccardJoin(docs).components()
     gone = cut(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
@@ -50,13 +51,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs; null and empty texts hold none."""
+    """Documents in which no window of a benchmark item occurs; null and empty texts hold none; rows that repeat stay or go together; an
+    empty table stays empty, and an empty benchmark takes nothing out."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.filter(F.size("items") == 0).drop(*ADDED).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of the token ids of each document, and digest of what they decode to."""
+    """Number and digest of the token ids of each document, and digest of what they decode to; null counts as empty, rows that repeat give
+    rows that repeat, an empty table gives none."""
     return op4_bpe(docs)
 
 
