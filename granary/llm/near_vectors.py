@@ -23,7 +23,7 @@
    rare links are: of PROBES vertices turned to a cosine between the threshold and 1, which visit clusters and search like any
    vertex but are nobody's neighbours, those that find the vertex that they were turned from.  Under
    ``recall``, the search is repeated with twice the beam and one more cluster for each vertex;
-   if the widest beam fails too, the links are found by brute force, block by block.
+   if the widest beam fails too, or brute force costs less than the next one, the links are found by brute force, block by block.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ AUDITED, AUDITED_GROUPS, BLOCK_ROWS, AUDIT_ROWS = 256, 100, 4_096, 32_768
 #: Turned vertices whose search is audited, whatever the size of the table.
 PROBES = 1_000
 _SLICE = 1_024
+#: What a comparison of gathered vertices costs, in comparisons of a product of matrices.
+GATHERED = 16
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -530,7 +532,8 @@ class NearVectors:
             rows = self.vertices.filter(F.size("v") == d)
             n, overlap, beam = rows.count(), OVERLAP, BEAM
             while True:
-                exact = beam > 16 * BEAM
+                # a wider beam compares each vertex with so many others, brute force with all, but in one product of matrices
+                exact = beam > 16 * BEAM or (beam > BEAM and n <= (overlap + VISITS) * beam * DEGREE * GATHERED)
                 part = self._exact(rows, n) if exact else self._links(rows, n, overlap, beam)
                 tops = connected_components(part.select(F.col("vid").alias("a"), F.col("root").alias("b")))
                 recall = 1.0 if exact else min(self.planted, self._audit(rows, part, tops, n))

@@ -76,9 +76,10 @@ def _one_large_group():
     return [(i, v.tolist()) for i, v in enumerate(x)], lambda vids: [i for i in vids if i < 150]
 
 
-@pytest.mark.parametrize("case,tries", [(_sparse, 5), (_one_large_group, 5)])
-def test_lost_links_are_seen_and_not_accepted(spark, monkeypatch, case, tries):
-    """Whatever the size of the table, all beams are tried, then brute force."""
+@pytest.mark.parametrize("case,gathered,tries", [(_sparse, 0, 5), (_one_large_group, 16, 1)])
+def test_lost_links_are_seen_and_not_accepted(spark, monkeypatch, case, gathered, tries):
+    """Brute force follows the last beam, or the first that it costs less than the next."""
+    monkeypatch.setattr(nv, "GATHERED", gathered)
     rows, kept = case()
     tried = []
 
