@@ -34,9 +34,12 @@ def sanitize(name: Column) -> Column:
 
 
 def printable(label: Column) -> Column:
-    """A label without white space at its ends; null unless it has printable ASCII characters only, and one at least."""
-    clean = F.trim(label)
-    return F.when(clean.rlike(r"^[\x20-\x7e]+$"), clean)
+    """A label without spaces (of any width) at its ends; null unless it has printable ASCII characters only, and one at least.
+
+    ``\\z``, as ``$`` also matches before a last line break.
+    """
+    clean = F.regexp_replace(label, r"^\p{Zs}+|\p{Zs}+\z", "")
+    return F.when(clean.rlike(r"^[\x20-\x7e]+\z"), clean)
 
 
 def serial(text: Column) -> Column:

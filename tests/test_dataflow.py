@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from granary.functions import checksums as cs
+from granary.functions import numbers, text
 from granary.operators import frames, matching, offsets, overlap, pieces, rounds
 from granary.sources import ranges
 from pyspark.sql import functions as F
@@ -178,3 +179,10 @@ def test_merged_pairs_keep_the_left_row(spark):
     tracks = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "track long, x string")
     pairs = spark.createDataFrame([(3, 1)], "left_key long, right_key long")
     assert sorted(tuple(r) for r in matching.merged_pairs(tracks, pairs).collect()) == [(2, "b", None, 1), (3, "c", 1, 2)]
+
+
+def test_labels_that_can_be_shown(spark):
+    given = ["abc.\n", "abc\r\n", "\u00a0abc\u3000", " a b ", "\u3000", "a\u00a0b", "", None, "~"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string")
+    found = {r.i: r.label for r in rows.select("i", text.printable(F.col("x")).alias("label")).collect()}
+    assert [found[i] for i in range(len(given))] == [None, None, "abc", "a b", None, None, None, None, "~"]
