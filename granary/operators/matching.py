@@ -132,15 +132,24 @@ def merged_pairs(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.withColumn("channels", F.when(F.col("right_track").isNull(), 1).otherwise(2))
 
 
-def named_by_hash(rows: DataFrame, hash_column: str, names: DataFrame, name: str) -> DataFrame:
+def named_by_hash(rows: DataFrame, hash_column: str, names: DataFrame, name: str, known: str | None = None) -> DataFrame:
     """``rows`` with ``name`` from a list of names, found by the hash of the trimmed lower-case name; null if none has it.
 
-    Of names with one hash the last in order is taken; empty names are left out.
+    Of names with one hash the one that equals the row's column ``known``, whatever the case, is taken, else the last in order;
+    empty names are left out.
     """
     from granary.functions.numbers import name_hash
 
     listed = names.select(F.trim(name).alias("_name")).filter("length(_name) > 0").select(name_hash("_name").alias(hash_column), "_name")
-    return rows.join(listed.groupBy(hash_column).agg(F.max("_name").alias("name")), hash_column, "left")
+    last = listed.groupBy(hash_column).agg(F.max("_name").alias("name"))
+    found = rows.join(last, hash_column, "left")
+    if known is None:
+        return found
+    # hashes of several names are few, and only their names need a look
+    several = listed.groupBy(hash_column).agg(F.min(F.lower("_name")).alias("_low"), F.max(F.lower("_name")).alias("_high")).filter("_low <> _high")
+    own = listed.join(several.select(hash_column), hash_column, "left_semi").groupBy(hash_column, F.lower("_name").alias("_known")).agg(F.max("_name").alias("_own"))
+    found = found.withColumn("_known", F.lower(F.trim(known))).join(own, [hash_column, "_known"], "left")
+    return found.select(*rows.columns, F.coalesce("_own", "name").alias("name"))
 
 
 def follow(links: DataFrame, key: str, to: str, most: int) -> DataFrame:

@@ -186,3 +186,12 @@ def test_labels_that_can_be_shown(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string")
     found = {r.i: r.label for r in rows.select("i", text.printable(F.col("x")).alias("label")).collect()}
     assert [found[i] for i in range(len(given))] == [None, None, "abc", "a b", None, None, None, None, "~"]
+
+
+def test_names_with_one_hash_are_told_apart(spark):
+    names = ["http://a.example/100378", "http://a.example/104474", "http://a.example/1"]
+    rows = spark.createDataFrame([(i, x.upper()) for i, x in enumerate(names)] + [(9, None)], "i int, x string").withColumn("h", numbers.name_hash("x"))
+    listed = spark.createDataFrame([(x,) for x in [*names, names[0]]], "n string")
+    found = matching.named_by_hash(rows, "h", listed, "n", "x")
+    assert {r.i: r["name"] for r in found.collect()} == {**dict(enumerate(names)), 9: None} and found.columns == ["i", "x", "h", "name"]
+    assert {r["name"] for r in matching.named_by_hash(rows.filter("i < 2"), "h", listed, "n").collect()} == {names[1]}
