@@ -195,3 +195,17 @@ def test_names_with_one_hash_are_told_apart(spark):
     found = matching.named_by_hash(rows, "h", listed, "n", "x")
     assert {r.i: r["name"] for r in found.collect()} == {**dict(enumerate(names)), 9: None} and found.columns == ["i", "x", "h", "name"]
     assert {r["name"] for r in matching.named_by_hash(rows.filter("i < 2"), "h", listed, "n").collect()} == {names[1]}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_outside_are_read_once(spark):
+    points = spark.range(0, 4_000, 1, 2).select((F.col("id") % 3).alias("entry"), F.when(F.col("id") % 7 > 0, F.col("id") - 2_000).alias("at"))
+    rnd = random.Random(4)
+    rows = [(rnd.choice([0, 1, None]), s, s + rnd.choice([0, 3, 70, 900])) for s in (rnd.randrange(-2_100, 2_000) for _ in range(60))]
+    out = overlap.outside(points, spark.createDataFrame(rows, "entry long, s long, e long"), "entry", "at", "s", "e")
+    assert plan_of(out).count("Range (") == 1 and out.columns == ["entry", "at"]
+    want = [(r.entry, r.at) for r in points.collect() if r.at is None or not any(e == r.entry and s <= r.at < t for e, s, t in rows)]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
