@@ -209,3 +209,21 @@ def test_points_outside_are_read_once(spark):
     assert plan_of(out).count("Range (") == 1 and out.columns == ["entry", "at"]
     want = [(r.entry, r.at) for r in points.collect() if r.at is None or not any(e == r.entry and s <= r.at < t for e, s, t in rows)]
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
+def test_rounds_write_parents_only(spark, monkeypatch):
+    """Numbers against a loop; the last and largest level is neither sorted nor written."""
+    rnd, written, cut = random.Random(8), [], rounds.cut
+    monkeypatch.setattr(rounds, "cut", lambda df, what: written.append(cut(df, what)) or written[-1])
+    monkeypatch.setattr(rounds, "BLOCK", 3)
+    inside = [(c, at, rnd.choice([*range(12), None])) for c in range(8) for at in rnd.sample(range(99), rnd.choice([0, 2, 6]))]
+    roots = [(e, 7 - e) for e in range(8)]
+    held = spark.createDataFrame(inside, "content long, at long, x long")
+    out = rounds.grow(spark.createDataFrame(roots, "entry long, content long"), held, "content", "at", "x", 3)
+    want, level = [(e, None, c, None, 0) for e, c in roots], roots
+    for k in (1, 2, 3):
+        found = sorted((e, at, x) for e, c in level for d, at, x in inside if c == d)
+        new = [(len(want) + i, e, x, at, k) for i, (e, at, x) in enumerate(found)]
+        want, level = want + new, [(r[0], r[2]) for r in new]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert max(w.count() for w in written) < sum(r[4] == 3 for r in want)
