@@ -9,11 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.overlap import overlapping
+from granary.scratch import cut
 from granary.sources import ranges
 
-#: Behind the last piece of a stream there are zeros without end.
-_FAR = 1 << 60
-
 
 def laid_out(pieces: DataFrame, stream: str, order: str, size: str) -> DataFrame:
     """``pieces`` with ``at``: where each begins in its stream, the sum of the sizes before it."""
@@ -26,21 +24,28 @@ def slices(pieces: DataFrame, wanted: DataFrame, stream: str, order: str, off: s
     ``k``, the piece's place in its stream (null behind the last one), ``to``, where it belongs in the range, ``off`` and ``size``.
 
     A piece with a null ``off`` is one of zeros, and so is what lies behind the last piece, or in a stream without pieces.  Pieces without bytes and
-    empty ranges give no rows.  Ranges and pieces meet in an overlap join, so one long stream is spread over its places.
+    empty ranges give no rows.  Ranges and pieces meet in an overlap join, so one long stream is spread over its places.  Pieces are laid out and
+    written once; what lies behind the last one is told by the stream's end alone.
     """
     rows = laid_out(pieces, stream, order, size).select(
         stream, F.col(order).alias("_k"), F.col("at").alias("_at"), (F.col("at") + F.col(size)).alias("_end"), F.col(off).cast("long").alias("_off")
     )
-    ends = rows.groupBy(stream).agg(F.max("_end").alias("_at"))
-    streams = wanted.select(stream).distinct().join(ends, stream, "left")
-    behind = streams.select(stream, F.lit(None).cast(pieces.schema[order].dataType).alias("_k"), F.coalesce("_at", F.lit(0)).alias("_at"), F.lit(_FAR).alias("_end"), F.lit(None).cast("long").alias("_off"))
-    found = overlapping(wanted, rows.unionByName(behind), stream, (start, end, "_at", "_end"))
+    rows = cut(rows, "pieces")
+    found = overlapping(wanted, rows, stream, (start, end, "_at", "_end"))
     low = F.greatest(F.col(f"left.{start}"), F.col("right._at"))
     high = F.least(F.col(f"left.{end}"), F.col("right._end"))
-    return found.select(
+    inside = found.select(
         *[F.col("left")[c].alias(c) for c in wanted.columns], F.col("right._k").alias("k"), (low - F.col(f"left.{start}")).alias("to"),
         (F.col("right._off") + low - F.col("right._at")).alias("off"), (high - low).alias("size"),
     )
+    ends = rows.groupBy(stream).agg(F.max("_end").alias("_last"))
+    begins = F.greatest(F.col(start), F.coalesce("_last", F.lit(0)))
+    behind = wanted.filter(F.col(stream).isNotNull() & (F.col(start) < F.col(end))).join(ends, stream, "left").filter(begins < F.col(end))
+    behind = behind.select(
+        *wanted.columns, F.lit(None).cast(pieces.schema[order].dataType).alias("k"), (begins - F.col(start)).alias("to"),
+        F.lit(None).cast("long").alias("off"), (F.col(end) - begins).alias("size"),
+    )
+    return inside.unionByName(behind)
 
 
 def gathered(found: DataFrame, key: list[str], entries: DataFrame, entry: str) -> DataFrame:

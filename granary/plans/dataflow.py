@@ -98,7 +98,9 @@ from w join q on q.s = w.s and a < e and b0 < b where a < b and b0 < e"""
 )
 def piece_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two logical ranges of every order's stream of lines, cut into physical pieces; returned lines are zeros, and so is what lies behind."""
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").agg(
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag", "l_partkey", "l_quantity")
+    # dealt by order once: lines are added up and laid out where they lie
+    lines = lines.repartition("o_orderkey").groupBy("o_orderkey", "l_linenumber").agg(
         F.when(F.min("l_returnflag") != "R", F.min("l_partkey") * 100).alias("off"), F.sum(F.col("l_quantity").cast("long")).alias("size")
     )
     orders, c = read(spark, sf_dir, "orders"), F.col("o_custkey")

@@ -227,3 +227,12 @@ def test_rounds_write_parents_only(spark, monkeypatch):
         want, level = want + new, [(r[0], r[2]) for r in new]
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
     assert max(w.count() for w in written) < sum(r[4] == 3 for r in want)
+
+
+def test_pieces_are_laid_out_once(spark):
+    lines = spark.range(40).select((F.col("id") % 5).alias("s"), F.col("id").alias("k"), (F.col("id") * 100).alias("off"), F.lit(7).cast("long").alias("n"))
+    wanted = spark.createDataFrame([(0, 3, 20), (4, 50, 70), (9, 0, 5), (None, 0, 5), (1, 5, 5)], "s long, a int, b int")
+    out = pieces.slices(lines, wanted, "s", "k", "off", "n", "a", "b")
+    assert "Window" not in plan_of(out)
+    got = sorted(tuple(r) for r in out.select("s", F.coalesce("k", F.lit(-1)), "to", F.coalesce("off", F.lit(-1)), "size").collect())
+    assert got == [(0, 0, 0, 3, 4), (0, 5, 4, 500, 7), (0, 10, 11, 1000, 6), (4, -1, 6, -1, 14), (4, 39, 0, 3901, 6), (9, -1, 0, -1, 5)]
