@@ -21,7 +21,7 @@ copies or near copies is expanded into all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from math import isqrt, log
 
 import numpy as np
@@ -52,9 +52,6 @@ BOTH, INDEX, LESS_INDEX, LESS_PROBE, WIDE = range(5)
 #: Longs of parity bits of a set, by which most pairs that can't be similar are told before their sets are read.
 PARITY = 16
 _BITS = [f"b{i}" for i in range(PARITY)]
-#: Longs that they are folded to where pairs are many.
-FOLDED = 4
-_FOLDS = [f"f{i}" for i in range(FOLDED)]
 _K3 = np.uint64(0xD1B54A32D192ED03)
 _K1, _K2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -474,8 +471,8 @@ class JaccardJoin:
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets link."""
         for c in "ab":
-            pairs = self._with_bits(pairs, c, _BITS)
-        pairs = cut(pairs.filter(self._alike("a", "b", _BITS)).select("a", "b"), "alike")
+            pairs = self._with_bits(pairs, c)
+        pairs = cut(pairs.filter(self._alike("a", "b")).select("a", "b"), "alike")
         n = pairs.count()
         num, den = self.bands.num, self.bands.den
         with_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(small(pairs, 24 * n), "b")
@@ -489,16 +486,14 @@ class JaccardJoin:
         drop(pairs)
         return links
 
-    def _with_bits(self, df: DataFrame, c: str, which: list[str]) -> DataFrame:
-        """``df`` with the set size and the parities (whole or folded) of the set of ``c``."""
-        folds = {f: reduce(Column.bitwiseXOR, (F.col(b) for b in _BITS[i::FOLDED])) for i, f in enumerate(_FOLDS)}
-        columns = {"size": F.col("size"), **{x: folds.get(x, F.col(x)) for x in which}}
-        side = self.bits.select(F.col("id").alias(c), *[v.alias(f"{c}_{x}") for x, v in columns.items()])
-        return df.join(small(side, self.n_bits * (16 + 8 * len(which))), c, "left")
+    def _with_bits(self, df: DataFrame, c: str) -> DataFrame:
+        """``df`` with the set size and the parities of the set of ``c``."""
+        side = self.bits.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", *_BITS)])
+        return df.join(small(side, self.n_bits * (16 + 8 * PARITY)), c, "left")
 
-    def _alike(self, a: str, b: str, which: list[str]) -> Column:
+    def _alike(self, a: str, b: str) -> Column:
         """False where sizes or parities tell that sets don't link."""
-        differ = sum((F.bit_count(F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}"))) for x in which), F.lit(0))
+        differ = sum((F.bit_count(F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}"))) for x in _BITS), F.lit(0))
         x, y, num, den = F.col(f"{a}_size"), F.col(f"{b}_size"), self.bands.num, self.bands.den
         near = (F.least(x, y) * den >= num * F.greatest(x, y)) & (differ * (den + num) <= (x + y) * (den - num))
         return F.coalesce(near, F.lit(True))
@@ -615,14 +610,15 @@ class JaccardJoin:
             n = open_.count()
             if not n:
                 return links, labels
-            held = self._cut(now.join(small(open_, n * 16), "bucket", "left_semi"), "held")
+            held = now.join(small(open_, n * 16), "bucket", "left_semi").select("bucket", "m", "s", "component")
+            held = self._cut(held if tried is not None else self._merged(held), "held")
             place = F.row_number().over(Window.partitionBy("bucket").orderBy("m"))
             lead = held.filter(probes).withColumn("place", place).filter(F.col("place") <= most)
             lead = lead.select("bucket", F.col("m").alias("a"), F.col("component").alias("of"))
-            lead = self._cut(self._with_bits(lead, "a", _FOLDS), "leaders")
+            lead = self._cut(self._with_bits(lead, "a"), "leaders")
             n = lead.count()
-            pairs = self._near_sizes(self._with_bits(held, "m", _FOLDS), lead, n)
-            pairs = pairs.filter("of <> component").filter(self._alike("a", "m", _FOLDS))
+            pairs = self._near_sizes(self._with_bits(held, "m"), lead, n)
+            pairs = pairs.filter("of <> component").filter(self._alike("a", "m"))
             pairs = pairs.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -637,6 +633,25 @@ class JaccardJoin:
             self._drop(buckets, open_, held, lead)
             buckets, most = left, most * 4
 
+    def _merged(self, held: DataFrame) -> DataFrame:
+        """Open buckets with one least document as one bucket of all their documents, where that has no more pairs than they have.
+
+        A passage that documents share fills many segments, and each gives a bucket of most of these documents: the same pairs once for
+        each segment.  The merged bucket has every pair of its parts, and as its documents all meet the least one, it doesn't go on to others.
+        """
+        held = self._cut(held, "unmerged")
+        parts = self._cut(held.groupBy("bucket").agg(F.min("m").alias("least"), F.count("*").alias("n")), "parts")
+        side = small(parts.select("bucket", "least"), parts.count() * 24)
+        whole = held.join(side, "bucket").groupBy("least", "m").agg(F.max("s").alias("s"), F.min("component").alias("component"))
+        whole = self._cut(whole, "whole")
+        pairs = parts.groupBy("least").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+        fewer = whole.groupBy("least").agg(F.count("*").alias("n")).join(pairs, "least").filter(F.col("n") * F.col("n") <= F.col("pairs"))
+        fewer = self._cut(fewer.select("least"), "fewer")
+        n = fewer.count() * 16
+        merged = whole.join(small(fewer, n), "least", "left_semi").select(F.col("least").alias("bucket"), "m", "s", "component")
+        gone = parts.join(small(fewer, n), "least", "left_semi").select("bucket")
+        return held.join(small(gone, parts.count() * 16), "bucket", "left_anti").unionByName(merged)
+
     def _near_sizes(self, held: DataFrame, lead: DataFrame, n: int) -> DataFrame:
         """Leaders of buckets with those of its documents whose sets are of a size that can link: a leader meets three
         steps of size, each as wide as the threshold, not the whole bucket."""
@@ -644,9 +659,9 @@ class JaccardJoin:
         step = lambda size: F.floor(F.log(size) / width)
         near = F.explode(F.array(*[step(F.col("a_size")) + k for k in (-1, 0, 1)], F.lit(-9).cast("long")))
         by_size = lead.filter("a_size is not null").withColumn("step", near)
-        pairs = held.withColumn("step", F.coalesce(step(F.col("m_size")), F.lit(-9))).join(small(by_size, n * 4 * 72), ["bucket", "step"]).drop("step")
+        pairs = held.withColumn("step", F.coalesce(step(F.col("m_size")), F.lit(-9))).join(small(by_size, n * 3 * (48 + 8 * PARITY)), ["bucket", "step"]).drop("step")
         # an id with several sets has no one size and meets all
-        return pairs.unionByName(held.join(small(lead.filter("a_size is null"), n * 64), "bucket").select(*pairs.columns))
+        return pairs.unionByName(held.join(small(lead.filter("a_size is null"), n * (32 + 8 * PARITY)), "bucket").select(*pairs.columns))
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles and component_id (least document reachable by links) of every row."""

@@ -133,3 +133,23 @@ def test_parities_never_rule_out_a_similar_pair():
         bits = int(np.unpackbits((jj._parity(a) ^ jj._parity(b)).view(np.uint8)).sum())
         assert bits <= len(np.setxor1d(a, b))
     assert not jj._parity(a[:0]).any()
+
+
+def test_open_buckets_of_the_same_documents_are_merged(spark):
+    """Parts of one group become one bucket; parts that only share their least document stay; every pair keeps a bucket and a probe."""
+    group = [[m for m in range(24) if m == 0 or (m * 7 + b) % 5] for b in range(30)]
+    apart = [[100, *range(1_000 * b + 200, 1_000 * b + 203)] for b in range(20)]
+    rows = [(b, m, 2 * 9 + (m + b) % 2, m) for b, ms in enumerate(group + apart) for m in ms]
+    op = jj.JaccardJoin(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    got = op._merged(spark.createDataFrame(rows, "bucket long, m long, s int, component long")).collect()
+    op.close()
+
+    def pairs(rows):
+        by = {}
+        for b, m, s, _ in rows:
+            by.setdefault(b, []).append((m, s % 2))
+        return [(min(a, m), max(a, m)) for ms in by.values() for a, p in ms if p for m, _ in ms if a != m]
+
+    assert set(pairs(rows)) <= set(pairs(got))
+    assert len(pairs(got)) * 8 < len(pairs(rows)) and len({r.bucket for r in got}) == 1 + len(apart)
+    assert {r.m for r in got if r.bucket == 0} == set(range(24)) and all(r.component == r.m for r in got)
