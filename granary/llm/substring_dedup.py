@@ -3,14 +3,15 @@
 A passage is a window of ``window`` consecutive words.  Of the ``gram``-word hashes inside a
 window the least one is the window's fingerprint, so equal windows have equal fingerprints,
 and a text keeps only about one fingerprint for every twenty words.  The index holds two kinds of immutable
-runs, each dealt into buckets by its key and sorted in them: postings ``(fp, doc_id, part)``, a document that has windows
-under a fingerprint, and edges ``(w, fp, doc_id)``, single windows by their hash.  A new batch of documents
+runs, each dealt into buckets by its key and sorted in them: postings ``(fp, doc_id, part, wins)``, a document that has windows
+under a fingerprint and one hash of these windows, and edges ``(w, fp, doc_id)``, single windows by their hash.  A new batch of documents
 
 1. is turned into postings dealt and sorted in the same way,
 2. is merge-joined with each run of postings, bucket by bucket: history is read where it lies and never
    exchanged; only postings of fingerprints that the batch has, too, are taken from it,
-3. has the windows under fingerprints that another document has, too, hashed, and those of the
-   documents found in the runs, the only texts of history that are looked at; the windows are reduced to
+3. settles the fingerprints under which all documents have the same windows, by ``wins``: their windows all start in the least
+   document, and none is dealt.  Under the others one document of each ``wins`` has its windows dealt by hash; of
+   history only texts of such documents are looked at.  The windows are reduced to
    their least documents, and merge-joined with each run of edges: the verification, by two hashes of 64 bits each, not by the words,
 4. loses each word covered by a window that also starts in a document with a smaller id,
 5. leaves as runs of level 0 its postings of fingerprints that nobody had before it (of those that several of its
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -76,45 +77,87 @@ def _postings(window: int, gram: int):
                 if not starts.any():
                     continue
                 doc, fp = b.doc_of_word()[starts], least[starts]
+                hashes = tk.mix(tk.ngrams(b.hash, window)[np.flatnonzero(starts)])
                 order = np.lexsort((fp, doc))
                 doc, fp = doc[order], fp[order]
                 new = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])])
+                wins = np.add.reduceat(hashes[order], new)
                 doc, fp = b.first + doc[new], fp[new]
-                columns = [pa.array(tk.signed(fp)), pa.array(ids[doc]), pa.array(parts[doc])]
-                yield pa.RecordBatch.from_arrays(columns, names=["fp", "doc_id", "part"])
+                columns = [pa.array(tk.signed(fp)), pa.array(ids[doc]), pa.array(parts[doc]), pa.array(tk.signed(wins))]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "doc_id", "part", "wins"])
 
     return run
 
 
+def _under(least: np.ndarray, b: tk.Block, window: int, wanted: np.ndarray, wanted_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of a block under the fingerprints wanted of their documents: first words, and places in ``wanted``."""
+    at, which = [], []
+    for d in range(b.n_docs):
+        lo, hi = b.at[d], max(b.at[d], b.at[d + 1] - window + 1)
+        begin, end = wanted_at[b.first + d], wanted_at[b.first + d + 1]
+        if hi == lo or begin == end:
+            continue
+        order = np.argsort(wanted[begin:end])
+        mine = wanted[begin:end][order]
+        k = np.minimum(np.searchsorted(mine, least[lo:hi]), end - begin - 1)
+        hit = np.flatnonzero(mine[k] == least[lo:hi])
+        at.append(lo + hit)
+        which.append(begin + order[k[hit]])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *at]), np.concatenate([none, *which])
+
+
 def _windows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "part"))
-            wanted, wanted_at = batch.column("fps").flatten().to_numpy().view(np.uint64), None
-            wanted_at = np.r_[0, np.cumsum(batch.column("fps").value_lengths().to_numpy())]
+            lists = batch.column("fps")
+            fps, *said = lists.flatten().flatten()
+            wanted = fps.to_numpy().view(np.uint64)
+            wanted_at = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
             for b in tk.blocks(batch.column("text"), tk.SPACED, False):
                 if len(b.hash) < window:
                     continue
-                _, least, starts = _window_minima(b, window, gram)
-                hashes = tk.ngrams(b.hash, window)
-                take = []
-                for d in range(b.n_docs):
-                    lo, hi = b.at[d], max(b.at[d], b.at[d + 1] - window + 1)
-                    mine = wanted[wanted_at[b.first + d] : wanted_at[b.first + d + 1]]
-                    take.append(lo + np.flatnonzero(np.isin(least[lo:hi], mine)))
-                at = np.concatenate(take)
+                _, least, _ = _window_minima(b, window, gram)
+                at, which = _under(least, b, window, wanted, wanted_at)
+                hashes = tk.ngrams(b.hash, window)[at]
                 doc = np.searchsorted(b.at, at, side="right") - 1
                 pos, row = at - b.at[doc], b.first + doc
                 columns = [
-                    pa.array(tk.signed(least[at])), pa.array(tk.signed(hashes[at])), pa.array(ids[row]),
-                    pa.array(parts[row]), pa.array(pos.astype(np.int32)),
+                    pa.array(tk.signed(least[at])), pa.array(tk.signed(hashes)), pa.array(ids[row]),
+                    pa.array(parts[row]), pa.array(pos.astype(np.int32)), *(c.take(pa.array(which)) for c in said),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["fp", "w", "doc_id", "part", "pos"])
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "w", "doc_id", "part", "pos", *_SAID])
+
+    return run
+
+
+def _starts(window: int, gram: int):
+    """First words of all windows under the given fingerprints, a row for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("fps")
+            wanted = lists.flatten().to_numpy().view(np.uint64)
+            wanted_at = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            for b in tk.blocks(batch.column("text"), tk.SPACED, False):
+                if len(b.hash) < window:
+                    continue
+                _, least, _ = _window_minima(b, window, gram)
+                at, _ = _under(least, b, window, wanted, wanted_at)
+                n = np.searchsorted(at, b.at)
+                found = pa.array((at - np.repeat(b.at[:-1], np.diff(n))).astype(np.int32))
+                rows = batch.slice(b.first, b.n_docs)
+                columns = [rows.column("doc_id"), rows.column("part"), pa.ListArray.from_arrays(pa.array(n, pa.int32()), found)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "found"])
 
     return run
 
 
-_POSTING, _EDGE = "fp long, doc_id long, part int", "w long, fp long, doc_id long"
+_POSTING, _EDGE = "fp long, doc_id long, part int, wins long", "w long, fp long, doc_id long"
+#: What is known of a posting's class (the documents with one ``fp`` and ``wins``): least document, greatest of the batch, least
+#: of history, and whether the posting stands for the class.
+_SAID = {"lo": "long", "hi": "long", "old": "long", "lead": "boolean"}
 _SPANS = "doc_id long, part int, span_start array<int>, span_end array<int>"
 
 
@@ -270,11 +313,11 @@ class FingerprintIndex:
                     self._remove(r[1])
 
     def known(self, new: DataFrame, run: str) -> DataFrame:
-        """(fp, doc_id, part) of a run for the fingerprints that the bucketed postings ``new`` have, too.
+        """(fp, doc_id, part, wins) of a run for the fingerprints that the bucketed postings ``new`` have, too.
 
         A merge join of two tables bucketed alike: neither side is exchanged.
         """
-        return self._read(run).hint("merge").join(new.select("fp").distinct(), "fp").select("fp", "doc_id", "part")
+        return self._read(run).hint("merge").join(new.select("fp").distinct(), "fp").select("fp", "doc_id", "part", "wins")
 
     def _with_held(self, met: DataFrame, run: str, name: str) -> DataFrame:
         """The bucketed windows ``met`` with ``name``: their least document in a run of edges, joined like ``known``."""
@@ -300,19 +343,36 @@ class FingerprintIndex:
         for _, path in self.runs if history is not None else []:
             found = found.unionByName(self.known(new, path))
         found = cut(found, "known")
-        old = found.select("fp", F.lit(None).cast("long").alias("lo")).distinct()
-        ends = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        # lo: of a fingerprint that is new to the index the least document, which keeps its posting
-        shared = ends.filter("lo < hi").select("fp", "lo").unionByName(old)
-        shared = cut(shared.groupBy("fp").agg(F.when(F.count("lo") == F.count("*"), F.min("lo")).alias("lo")), "shared")
-        few = small(shared, shared.count() * 24)
-        windows = self._windows_of(_keyed(batch), new.join(few, "fp", "left_semi"))
-        every = windows.select("fp", "w", "doc_id", F.lit(True).alias("mine"))
+        old = found.groupBy("fp").agg(F.min("doc_id").alias("old"), F.min("wins").alias("o1"), F.max("wins").alias("o2"))
+        ends = new.groupBy("fp").agg(
+            F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("wins").alias("w1"), F.max("wins").alias("w2")
+        )
+        # settled: all have the same windows under it, and no edge of the index can be of an earlier document
+        settled = (F.least("w1", "o1") == F.greatest("w2", "o2")) & F.expr("old is null or old <= lo")
+        settled = settled & F.lit(history is not None or not self.edges)
+        # lo: of a fingerprint that is new to the index the least document, which keeps its posting; first: the least of all
+        shared = ends.join(old, "fp", "left").filter("lo < hi or old is not null").select(
+            "fp", F.when(F.col("old").isNull(), F.col("lo")).alias("lo"), F.least("lo", "old").alias("first"), settled.alias("settled")
+        )
+        shared = cut(shared, "shared")
+        few = small(shared, shared.count() * 32)
+        apart = few.filter("not settled").select("fp")
+        mine, theirs = new.join(apart, "fp", "left_semi"), found.join(apart, "fp", "left_semi")
+        every = mine.withColumn("mine", F.lit(True)).unionByName(theirs.withColumn("mine", F.lit(False)))
+        classes = every.groupBy("fp", "wins").agg(
+            F.min("doc_id").alias("lo"), F.max(F.when(F.col("mine"), F.col("doc_id"))).alias("hi"),
+            F.min(F.when(~F.col("mine"), F.col("doc_id"))).alias("old"), F.min(F.when(F.col("mine"), F.struct("doc_id", "part"))).alias("head"),
+        )
+        classes = cut(classes, "classes")
+        heads = small(classes, classes.count() * 64)
+        mine = mine.join(heads, ["fp", "wins"]).withColumn("lead", F.col("head") == F.struct("doc_id", "part"))
+        windows = self._windows_of(_keyed(batch), mine)
+        every = windows.filter("lead").select("fp", "w", "lo", "hi", "old")
         if history is not None and not found.isEmpty():
-            theirs = self._windows_of(_keyed(history), found)
-            every = every.unionByName(theirs.select("fp", "w", "doc_id", F.lit(False).alias("mine")))
-        hi = F.max(F.when(F.col("mine"), F.col("doc_id"))).alias("hi")
-        least = every.groupBy("w").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("lo"), F.min(F.when(~F.col("mine"), F.col("doc_id"))).alias("old"), hi)
+            # texts of history only for classes that no document of the batch is in
+            theirs = theirs.join(heads.filter("hi is null"), ["fp", "wins"]).withColumn("lead", F.lit(True))
+            every = every.unionByName(self._windows_of(_keyed(history), theirs).select("fp", "w", "lo", "hi", "old"))
+        least = every.groupBy("w").agg(*[f(c).alias(c) for f, c in ((F.min, "fp"), (F.min, "lo"), (F.min, "old"), (F.max, "hi"))])
         self._bucketed(least.filter("hi is not null"), met, dealt=True)
         held = [f"held{k}" for k in range(len(self.edges))]
         met_ = self._read(met, "w long, fp long, lo long, old long, hi long")
@@ -324,16 +384,18 @@ class FingerprintIndex:
         # read anew, so that the join can split a hot window where it isn't broadcast
         later = windows.select("w", "doc_id", "part", "pos").join(small(first, first.count() * 16), "w").filter("doc_id > lo")
         spans = later.groupBy("doc_id", "part").agg(F.collect_set("pos").alias("found"))
+        copied = new.join(few.filter("settled").select("fp", "first"), "fp").filter("doc_id > first").select("fp", "doc_id", "part")
+        spans = spans.unionByName(self._starts_of(_keyed(batch), copied)).groupBy("doc_id", "part").agg(F.flatten(F.collect_set("found")).alias("found"))
         spans = cut(spans.mapInArrow(tidy(_spans(self.window)), _SPANS), "spans")
-        kept = new.join(few.withColumnRenamed("lo", "_lo").withColumn("_met", F.lit(True)), "fp", "left")
-        self._write(self.runs, 0, kept.filter("_met is null or doc_id = _lo").select("fp", "doc_id", "part"))
+        kept = new.join(few.select("fp", F.col("lo").alias("_lo"), F.lit(True).alias("_met")), "fp", "left")
+        self._write(self.runs, 0, kept.filter("_met is null or doc_id = _lo").select("fp", "doc_id", "part", "wins"))
         # windows that start nowhere before the batch, but for those of the document that keeps the posting
         edges = least.filter("(old is null or lo < old) and (held is null or lo < held)").select("w", "fp", F.col("lo").alias("doc_id"))
-        edges = edges.join(few.withColumnRenamed("lo", "_lo"), "fp").filter("_lo is null or _lo <> doc_id").select("w", "fp", "doc_id")
+        edges = edges.join(few.select("fp", F.col("lo").alias("_lo")), "fp").filter("_lo is null or _lo <> doc_id").select("w", "fp", "doc_id")
         self._write(self.edges, 0, edges)
         self._remove(fresh)
         self._remove(met)
-        drop(found, shared, least, first, *self._lists)
+        drop(found, shared, classes, least, first, *self._lists)
         self._lists = []
         self.compact()
         size = spans.agg(F.sum(F.size("span_start") * 8 + 48)).first()[0] or 0
@@ -344,13 +406,23 @@ class FingerprintIndex:
 
     _lists: list[DataFrame] = []
 
-    def _windows_of(self, rows: DataFrame, postings: DataFrame) -> DataFrame:
-        """Hashed windows under the given postings, from the texts of their documents only."""
-        lists = cut(postings.groupBy("doc_id", "part").agg(F.collect_set("fp").alias("fps")), "fps")
+    def _texts_of(self, rows: DataFrame, postings: DataFrame, what: Column, n_bytes: int) -> DataFrame:
+        """Texts of the documents of the postings, each with the list ``fps`` of its own."""
+        lists = cut(postings.groupBy("doc_id", "part").agg(F.collect_set(what).alias("fps")), "fps")
         self._lists = [*self._lists, lists]
-        size = lists.agg(F.sum(F.size("fps") * 8 + 48)).first()[0] or 0
-        texts = rows.filter("text is not null").join(small(lists, size), ["doc_id", "part"])
-        return texts.mapInArrow(tidy(_windows(self.window, self.gram)), "fp long, w long, doc_id long, part int, pos int")
+        size = lists.agg(F.sum(F.size("fps") * n_bytes + 48)).first()[0] or 0
+        return rows.filter("text is not null").join(small(lists, size), ["doc_id", "part"])
+
+    def _windows_of(self, rows: DataFrame, postings: DataFrame) -> DataFrame:
+        """Hashed windows under the given postings with what is known of these, from the texts of their documents only."""
+        texts = self._texts_of(rows, postings, F.struct("fp", *_SAID), 64)
+        known = ", ".join(f"{c} {kind}" for c, kind in _SAID.items())
+        return texts.mapInArrow(tidy(_windows(self.window, self.gram)), f"fp long, w long, doc_id long, part int, pos int, {known}")
+
+    def _starts_of(self, rows: DataFrame, postings: DataFrame) -> DataFrame:
+        """First words of all windows under the given postings, from the texts of their documents only."""
+        texts = self._texts_of(rows, postings, F.col("fp"), 8)
+        return texts.mapInArrow(tidy(_starts(self.window, self.gram)), "doc_id long, part int, found array<int>")
 
 
 def deduplicate_substrings(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -111,3 +111,24 @@ def test_batches_in_any_order(spark):
     out = got(index.deduplicate(df.filter("doc_id > 180"), df.filter("doc_id <= 180")))
     assert out == [r for r in brute(rows, 6) if r[0] > 180]
     index.remove()
+
+
+def test_equal_windows_under_a_fingerprint_are_compared_at_once(spark, monkeypatch):
+    """Copies deal no windows, and of near copies one of each kind deals those under its fingerprints."""
+    base = [f"s{k}" for k in range(80)]
+    near = [*base[:40], "other", *base[41:]]
+    rows = [(i, " ".join(near if i % 3 == 2 else base)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = []
+    plain = sd.FingerprintIndex._bucketed
+    monkeypatch.setattr(
+        sd.FingerprintIndex, "_bucketed", lambda self, r, path, **k: ("/met-" in path and dealt.append(r.count())) or plain(self, r, path, **k)
+    )
+    index = sd.FingerprintIndex(spark, window=8, gram=4)
+    copies = df.filter("doc_id % 3 <> 2")
+    out = got(index.deduplicate(copies.filter("doc_id < 20"))) + got(index.deduplicate(copies.filter("doc_id >= 20"), copies.filter("doc_id < 20")))
+    assert sorted(out, key=str) == brute([r for r in rows if r[0] % 3 != 2], 8) and dealt == [0, 0]
+    index.remove()
+    dealt.clear()
+    assert got(sd.deduplicate_substrings(df, 2, 8, 4)) == brute(rows, 8)
+    assert all(n < 40 for n in dealt)
