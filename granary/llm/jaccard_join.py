@@ -412,6 +412,28 @@ def _sets(size: int):
     return run
 
 
+def _sketches(size: int):
+    """Like ``_sets``, but parity bits, four to eight for a shingle; a sketch of twice the bits folds into one of a smaller set."""
+
+    def bits(s: np.ndarray) -> np.ndarray:
+        n = 64 << max(0, (max(4 * len(s), 1) - 1).bit_length() - 6)
+        at = (tk.mix(s ^ _K3) >> np.uint64(32)).astype(np.int64) % n
+        return np.packbits(np.bincount(at, minlength=n) & 1).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in tk.blocks(batch.column("text"), tk.SPACED, True):
+                sets = list(shingle_sets(b, size))
+                found = [bits(s) for s in sets]
+                at = np.r_[0, np.cumsum([len(x) for x in found])]
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(found)))
+                v = [pa.array(tk.signed(np.array(x, dtype=np.uint64))) for x in zip(*map(_set_hash, sets), strict=True)]
+                ids = batch.column("doc_id").slice(b.first, b.n_docs)
+                yield pa.RecordBatch.from_arrays([ids, *v, pa.array([len(s) for s in sets], pa.int64()), lists], names=["id", "v1", "v2", "n", "bits"])
+
+    return run
+
+
 class JaccardJoin:
     """Links and link components of documents by the Jaccard similarity of their shingles.
 
@@ -468,22 +490,51 @@ class JaccardJoin:
         )
         return self._cut(found, "buckets")
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def _of_texts(self, kernel, what: str, ids: DataFrame, c: str, n: int) -> DataFrame:
+        """What ``kernel`` makes of the sets of the ids in column ``c``, at most ``n``: made where texts are read, as a
+        table of all sets would be several times the texts."""
+        texts = self.docs.join(small(ids.select(F.col(c).alias("doc_id")).distinct(), 16 * n), "doc_id", "left_semi")
+        made = texts.mapInArrow(tidy(kernel(self.shingle)), f"id long, v1 long, v2 long, {what}")
+        if self.several:  # an id with several sets may stand for a class by some of them only
+            made = made.join(small(self.wanted, 32 * self.n_bits), ["id", "v1", "v2"], "left_semi").dropDuplicates(["id", "v1"])
+        return made.drop("v1", "v2").withColumnRenamed("id", c)
+
+    def _closer(self, pairs: DataFrame, n: int) -> DataFrame:
+        """Those of the pairs that longer parities don't rule out: PARITY longs tell little of large sets, and whole sets are dear to move."""
+        a, b = (self._of_texts(_sketches, "n long, bits array<long>", pairs, c, n).withColumnsRenamed({"n": f"n{c}", "bits": f"s{c}"}) for c in "ab")
+        num, den = self.bands.num, self.bands.den
+
+        def fits(x: Column, y: Column) -> Column:
+            differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+            return differ * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)
+
+        def half(x: str, size: Column) -> Column:
+            return F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+
+        m, k = F.size("sa"), F.size("sb")
+        near = F.when(m == k, fits(F.col("sa"), F.col("sb"))).when(m == 2 * k, fits(half("sa", k), F.col("sb")))
+        near = near.when(2 * m == k, fits(F.col("sa"), half("sb", m))).otherwise(True)
+        return b.join(small(pairs, 24 * n), "b").join(a, "a").filter(near).select("a", "b").distinct()
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets link."""
         for c in "ab":
             pairs = self._with_bits(pairs, c)
-        pairs = cut(pairs.filter(self._alike("a", "b")).select("a", "b"), "alike")
-        n = pairs.count()
+        pairs = self._cut(pairs.filter(self._alike("a", "b")).select("a", "b"), "alike")
+        if not (n := pairs.count()):
+            return pairs
+        alike, pairs = pairs, self._cut(self._closer(pairs, n), "closer")
+        self._drop(alike)
+        if not (n := pairs.count()):
+            return pairs
         num, den = self.bands.num, self.bands.den
-        with_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(small(pairs, 24 * n), "b")
-        leaders = small(pairs.select(F.col("a").alias("id")).distinct(), 16 * n)
-        with_a = sets.join(leaders, "id", "left_semi").select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        both = with_b.join(with_a, "a")
+        a, b = (self._of_texts(_sets, "shingles array<long>", pairs, c, n).withColumnRenamed("shingles", f"s{c}") for c in "ab")
+        both = b.join(small(pairs, 24 * n), "b").join(a, "a")
         shared = F.size(F.array_intersect("sa", "sb"))
         similar = den * shared >= num * (F.size("sa") + F.size("sb") - shared)
         quick = F.least(F.size("sa"), F.size("sb")) * den >= num * F.greatest(F.size("sa"), F.size("sb"))
         links = self._cut(both.filter(quick).filter(similar).select("a", "b"), "links")
-        drop(pairs)
+        self._drop(pairs)
         return links
 
     def _with_bits(self, df: DataFrame, c: str) -> DataFrame:
@@ -536,26 +587,22 @@ class JaccardJoin:
         # a doc_id with several sets is its own class several times; its pairs are left to the comparison
         self.bits = wanted.groupBy("id").agg(*[F.when(F.count("*") == 1, F.min(c)).alias(c) for c in ("size", *_BITS)])
         self.bits, self.n_bits = self._cut(self.bits, "bits"), n // 32
-        wanted = wanted.select("id", "v1", "v2")
-        texts = self.docs.join(small(wanted.select(F.col("id").alias("doc_id")).distinct(), n), "doc_id", "left_semi")
-        sets = texts.mapInArrow(tidy(_sets(self.shingle)), "id long, v1 long, v2 long, shingles array<long>")
-        sets = sets.join(small(wanted, n), ["id", "v1", "v2"], "left_semi")
-        named, several = self._twice_named()
-        sets = self._cut(sets.dropDuplicates(["id", "v1"]) if several else sets, "sets")
+        self.wanted = wanted.select("id", "v1", "v2")
+        named, self.several = self._twice_named()
 
         first = self._cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-        links = self._verified(first, sets)
+        links = self._verified(first)
         links = links.unionByName(named)
         labels = self._labels(links)
         rest = stars.join(first.withColumn("done", F.lit(True)), ["a", "b"], "left").filter("done is null").drop("done")
         rest = self._cut(self._apart(rest, labels), "pairs")
         self._drop(stars, first)
         if rest.count():
-            more = self._verified(rest, sets)
+            more = self._verified(rest)
             links = links.unionByName(more)
             labels = self._labels(links) if not more.isEmpty() else labels
         self._drop(rest)
-        return self._settle(members, links, labels, sets)
+        return self._settle(members, links, labels)
 
     def _cut(self, df: DataFrame, what: str) -> DataFrame:
         """A table that ``close`` removes."""
@@ -594,7 +641,7 @@ class JaccardJoin:
             pairs = pairs.join(name, c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
         return pairs.filter("a_in <> b_in").select("a", "b")
 
-    def _settle(self, members: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _settle(self, members: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Compare what is left: in rounds, the least documents that probe of each bucket that isn't in one
         component against its others in other components that sizes and parities don't rule out; then they leave the bucket.  A
         bucket stays in rows, and each task keeps only its least documents to find them, so none is ever gathered."""
@@ -625,7 +672,7 @@ class JaccardJoin:
             pairs = self._cut(pairs, "pairs")
             tried = pairs if tried is None else tried.unionByName(pairs)
             if pairs.count():
-                more = self._verified(pairs, sets)
+                more = self._verified(pairs)
                 links = links.unionByName(more)
                 labels = self._labels(links) if not more.isEmpty() else labels
             gone = small(lead.select("bucket", F.col("a").alias("m")), n * 24)

@@ -153,3 +153,33 @@ def test_open_buckets_of_the_same_documents_are_merged(spark):
     assert set(pairs(rows)) <= set(pairs(got))
     assert len(pairs(got)) * 8 < len(pairs(rows)) and len({r.bucket for r in got}) == 1 + len(apart)
     assert {r.m for r in got if r.bucket == 0} == set(range(24)) and all(r.component == r.m for r in got)
+
+
+def test_sets_are_never_written(spark, monkeypatch):
+    """No table between steps holds the sets, and ids of several rows still have theirs."""
+    rows = corpus(6, 120, vocabulary=30, longest=60, copies=0.6)
+    rows += [(i, t + " more") for i, t in rows[:20]] + rows[20:30]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kinds, plain = [], jj.cut
+    monkeypatch.setattr(jj, "cut", lambda d, what: kinds.extend(d.dtypes) or plain(d, what))
+    assert set(got(jj.JaccardJoin(df).components())) == set(brute(rows))
+    assert kinds and "array<bigint>" not in {kind for _, kind in kinds}
+
+
+def test_longer_parities_rule_out_large_sets(spark, monkeypatch):
+    """Large sets that share a passage, but too little to link, aren't moved whole."""
+    words = lambda k, n: [f"{k}x{i}" for i in range(n)]
+    shared = words("s", 2200)
+    rows = [(i, " ".join(shared + words(f"o{i}", 1200))) for i in range(6)] + [(9, " ".join(shared + words("o1", 1150)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts, plain = {}, jj.cut
+
+    def cut(d, what):
+        out = plain(d, what)
+        if what in ("alike", "closer", "links"):
+            counts[what] = counts.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jj, "cut", cut)
+    assert got(jj.JaccardJoin(df).components()) == brute(rows)
+    assert counts["links"] == counts["closer"] < counts["alike"]
