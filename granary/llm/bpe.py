@@ -22,6 +22,7 @@ import codecs
 import json
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -34,8 +35,8 @@ from .common import bound_batches, tidy
 
 #: Pre-tokens longer than this stream through the transducer and are not remembered.
 REMEMBERED = 64
-#: Entries of one of two generations of remembered pre-tokens.
-GENERATION = 150_000
+#: Entries of one of two generations of remembered pre-tokens, some 130 bytes each.  Bounds a worker's memory, not results.
+GENERATION = 75_000
 #: Neighbours of which it is remembered whether they fit.
 KNOWN_FITS = 1 << 18
 #: Transitions that are remembered.
@@ -75,24 +76,25 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        alphabet = byte_alphabet()
-        spell = lambda t: bytes(alphabet[c] for c in t)
+        alphabet = str.maketrans({c: chr(b) for c, b in byte_alphabet().items()})
+        spell = lambda t: t.translate(alphabet).encode("latin-1")
         self.ids = {spell(t): i for t, i in said["model"]["vocab"].items()}
-        self.bytes_of = {i: t for t, i in self.ids.items()}
         self.added = {t["content"]: t["id"] for t in said["added_tokens"]}
-        self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
-        #: Rank of each merge by its pair (``pair_key``); birth and halves of each token by its first merge.
+        n_ids = 1 + max([*self.ids.values(), *self.added.values()])
+        self.bytes_of: list[bytes | None] = [None] * n_ids
+        for t, i in [*self.ids.items(), *((t.encode(), i) for t, i in self.added.items())]:
+            self.bytes_of[i] = t
+        #: Rank of each merge by its pair (``pair_key``); birth (-1: none) and halves of each token by its first merge.
         self.rank: dict[int, int] = {}
-        self.born: dict[int, int] = {}
-        self.halves: dict[int, tuple[int, int]] = {}
+        self.born, self.left, self.right = (array("i", [-1]) * n_ids for _ in range(3))
         for rank, pair in enumerate(said["model"]["merges"]):
             left, right = (self.ids[spell(t)] for t in (pair if isinstance(pair, list) else pair.split(" ")))
             made = self.ids[self.bytes_of[left] + self.bytes_of[right]]
             self.rank[pair_key(left, right)] = rank
-            self.born.setdefault(made, rank)
-            self.halves.setdefault(made, (left, right))
-        #: Every prefix of a token, with the token that it is, or -1.
-        self.prefixes = {t[:n]: -1 for t in self.ids for n in range(1, len(t))} | self.ids
+            if self.born[made] < 0:
+                self.born[made], self.left[made], self.right[made] = rank, left, right
+        #: Every prefix of a token that isn't one itself.
+        self.begins = {b for t in self.ids for n in range(1, len(t)) if (b := t[:n]) not in self.ids}
         #: The lookahead that is sufficient for this merge list, in bytes.
         self.lookahead = max(len(t) for t in self.ids)
         self.pattern = regex.compile(
@@ -104,16 +106,26 @@ class Vocabulary:
         self.known_fits: dict[int, bool] = {}
         #: Transitions that were met: state and byte to the next state and the tokens that end there, long ones first.
         self.steps: dict[bytes, tuple[bytes, tuple[tuple[int, int], ...]]] = {}
+        #: The states that these lead to, each once, and the tokens that end there with their lengths.
+        self.states: dict[bytes, tuple[bytes, tuple[tuple[int, int], ...]]] = {}
+        self.ends: dict[int, tuple[int, int]] = {}
 
     def step(self, read: bytes) -> tuple[bytes, tuple[tuple[int, int], ...]]:
         """The transition of a state and a byte, given as one."""
-        state = next(t for k in range(len(read) + 1) if not (t := read[k:]) or t in self.prefixes)
-        tokens = ((self.ids.get(state[k:]), len(state) - k) for k in range(len(state)))
+        state = next(t for k in range(len(read) + 1) if not (t := read[k:]) or t in self.ids or t in self.begins)
         if len(self.steps) >= KNOWN_STEPS:
-            self.steps.clear()
-        self.steps[read] = got = state, tuple(t for t in tokens if t[0] is not None)
+            self.forget_steps()
+        if (got := self.states.get(state)) is None:
+            tokens = ((self.ids.get(state[k:]), len(state) - k) for k in range(len(state)))
+            self.states[state] = got = state, tuple(self.ends.setdefault(t[0], t) for t in tokens if t[0] is not None)
+        self.steps[read] = got
         return got
 
+    def forget_steps(self) -> None:
+        self.steps.clear()
+        self.states.clear()
+        self.ends.clear()
+
     def cut(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
         return (self.pattern if _BEYOND.search(text) else _PLAIN).findall(text)
@@ -124,21 +136,21 @@ class Vocabulary:
         Goes back in time, undoing the later birth of the two that touch; a merge of them that
         comes before either is merged away from the border would have been taken.
         """
-        rank, born, halves = self.rank, self.born, self.halves
+        rank, born, left, right = self.rank, self.born, self.left, self.right
         x, y, x_until, y_until = a, b, _FAR, _FAR
         while True:
             r = rank.get(pair_key(x, y))
             if r is not None and r < x_until and r <= y_until:
                 ok = False
                 break
-            x_born, y_born = born.get(x, -1), born.get(y, -1)
+            x_born, y_born = born[x], born[y]
             if x_born < 0 and y_born < 0:
                 ok = True
                 break
             if y_born >= x_born:
-                y, y_until = halves[y][0], y_born
+                y, y_until = left[y], y_born
             else:
-                x, x_until = halves[x][1], x_born
+                x, x_until = right[x], x_born
         if len(self.known_fits) >= KNOWN_FITS:
             self.known_fits.clear()
         self.known_fits[pair_key(a, b)] = ok
@@ -260,7 +272,7 @@ class Codec:
         self.memory.clear()
         self.memory.old = {}
         self.v.known_fits.clear()
-        self.v.steps.clear()
+        self.v.forget_steps()
 
     def encode_stream(self, chunks: Iterable[str]) -> Iterator[bytes]:
         """Ids (unsigned 32 bits, little-endian) of a text without added tokens that comes in chunks."""
@@ -352,9 +364,9 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in batches:
             ids_column, texts = batch.column("doc_id"), batch.column("text")
             i = 0
-            while i < len(texts):  # a few megabytes at a time, whatever the batch
+            while i < len(texts):  # a megabyte or two at a time, whatever the batch
                 ids, decoded, n, begin = [], [], 0, i
-                while i < len(texts) and n < 1 << 22:
+                while i < len(texts) and n < 1 << 20:
                     ids.append(c.encode(texts[i].as_py() or ""))
                     decoded.append(c.decode(ids[-1]))
                     n += len(ids[-1]) + len(decoded[-1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,12 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run`` that gives freed memory back to the system at its end: a worker process lives on for
-    later tasks and stages, and would else keep what its largest task took."""
+    later tasks and stages, and would else keep what its largest task took.  A full collection empties
+    Python's lists of free tuples, each of which would hold a megabyte around it back."""
 
     def tidied(batches: Batches) -> Batches:
         try:
             yield from run(batches)
         finally:
+            gc.collect()
             pa.default_memory_pool().release_unused()
             if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
                 libc.malloc_trim(0)

@@ -1,6 +1,8 @@
 import hashlib
 import random
 import struct
+import subprocess
+import sys
 
 import pytest
 from granary.llm import bpe
@@ -106,3 +108,33 @@ def test_both_ways_agree_at_the_lookahead(both):
             fed = t.feed(data) + t.finish()
             assert t.whole(data) == fed
             assert b"".join(codec.v.bytes_of[i] for i in fed) == data
+
+
+TASK = r"""
+import random, re
+from granary.llm import bpe, common
+
+def taken():
+    return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+begun = taken()
+codec = bpe.codec(bpe.default_vocabulary())
+list(common.tidy(iter)([]))
+loaded, rnd = taken(), random.Random(7)
+
+def run(batches):
+    for n in batches:
+        codec.encode(" ".join("".join(rnd.choices("aeinrstlomkuéö-1", k=rnd.randint(5, 12))) for _ in range(n)))
+        yield taken()
+    codec.forget()
+
+most = max(common.tidy(run)([500] * 700))
+print(loaded - begun, most - loaded, taken() - loaded)
+"""
+
+
+def test_memory_of_a_worker_over_a_task_of_distinct_words():
+    """Vocabulary, what is remembered of 350,000 words at most, and what stays after the task, in MB."""
+    said = subprocess.run([sys.executable, "-c", TASK], check=True, capture_output=True, text=True).stdout
+    vocabulary, remembered, left = map(float, said.split())
+    assert vocabulary < 31 and remembered < 58 and left < 33, said
